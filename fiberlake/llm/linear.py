@@ -9,6 +9,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def best_cut(scores: np.ndarray, y: np.ndarray) -> float:
+    """A quantile of the scores with the best balanced accuracy, half-way between the scores beside it; the middle one of equally good ones."""
+    order = np.argsort(scores, kind="stable")
+    s, ranked = scores[order], y[order]
+    good = np.concatenate(([0], np.cumsum(ranked == 0))) / max(1, (y == 0).sum()) - np.concatenate(([0], np.cumsum(ranked == 1))) / max(1, (y == 1).sum())
+    apart = np.flatnonzero(np.concatenate(([False], s[1:] > s[:-1], [False])))
+    if not len(apart):
+        return float(s[0])
+    best = apart[good[apart] >= good[apart].max() - 1e-12]
+    # where a cut below and one above are as good, the wider gap is the safer one
+    i = best[np.argmax(s[best] - s[best - 1])]
+    return float((s[i - 1] + s[i]) / 2)
+
+
 def bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int, steps: int = 300, l2: float = 1e-3, seed: int = 1) -> np.ndarray:
     """Weights w such that sigmoid(w . (x_winner - x_loser)) fits preference pairs of label 1 over label 0; Adam on the logistic loss."""
     rng = np.random.default_rng(seed)
@@ -41,13 +55,15 @@ class FactorizationMachine:
             pair += np.bincount(docs, col, n) ** 2 - np.bincount(docs, col * col, n)
         return self.w0 + linear + pair / 2
 
-    def fit(self, docs: np.ndarray, ids: np.ndarray, y: np.ndarray, steps: int = 200, l2: float = 2e-4, rate: float = 0.05) -> None:
+    def fit(self, docs: np.ndarray, ids: np.ndarray, y: np.ndarray, steps: int = 400, l2: float = 5e-5, rate: float = 0.05) -> None:
+        """Both classes weigh alike, whatever their counts."""
+        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
         n, terms, factors = len(y), len(self.w), self.v.shape[1]
         theta = np.concatenate(([self.w0], self.w, self.v.ravel()))
         m, s = np.zeros_like(theta), np.zeros_like(theta)
         for t in range(1, steps + 1):
             self.w0, self.w, self.v = theta[0], theta[1 : terms + 1], theta[terms + 1 :].reshape(terms, factors)
-            r = (sigmoid(self.margin(docs, ids, n)) - y) / n
+            r = (sigmoid(self.margin(docs, ids, n)) - y) * weight
             gv = np.empty_like(self.v)
             for f in range(factors):
                 col = self.v[ids, f]

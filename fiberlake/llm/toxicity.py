@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms of a text are its distinct words (A-Z lower-cased, cut at ASCII signs and blanks) and the words' first bytes
-(inflected insults share them), hashed to BUCKETS numbers. The machine adds a weight for each term and an interaction
+Terms of a text are its words (A-Z lower-cased, cut at ASCII signs and blanks) and the words' first bytes (inflected
+insults share them), hashed to BUCKETS numbers; a term that occurs twice or more is a second term as well. The machine adds a weight for each term and an interaction
 <v_i, v_j> for each pair of terms, which catches an insult that is one only beside a mention of a group. Terms that tell
 the classes of the sample apart enter the machine; all others have weight 0.
 
@@ -20,38 +20,51 @@ from pyspark.sql import functions as F
 
 from fiberlake.llm import tokens
 from fiberlake.llm.labelled import sample
-from fiberlake.llm.linear import FactorizationMachine, sigmoid
+from fiberlake.llm.linear import FactorizationMachine, best_cut, sigmoid
 
 SAMPLE, BUCKETS, TERMS, FACTORS, THRESHOLD = 4_000, 1 << 20, 2_048, 4, 0.7
-PREFIXES = (4, 5)
+PREFIXES = (4, 6)
+LEAST_Z = 2.5
+
+
+def again(term: np.ndarray) -> np.ndarray:
+    """The number that says that a term occurs at least twice (a bijection of the buckets)."""
+    return (term * 0x9E3B1 + 0x5A17D) & (BUCKETS - 1)
 
 
 def terms(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text number, term) for each distinct term of each text; only terms marked in wanted."""
-    ends, docs, ids = tokens.separators(True), [], []
+    ends, docs = tokens.separators(True), []
+    if wanted is not None:
+        needed = wanted | wanted[again(np.arange(BUCKETS))]
     for lo, hi in tokens.slices(texts):
         hashes, counts, heads = tokens.words(texts[lo:hi], ends, PREFIXES)
         owner = np.repeat(np.arange(lo, hi, dtype=np.int64), counts)
         for h in (hashes, *heads):
             term = (h >> np.uint64(44)).astype(np.int64)
             if wanted is not None:
-                hit = wanted[term]
+                hit = needed[term]
                 docs.append(owner[hit] * BUCKETS + term[hit])
             else:
                 docs.append(owner * BUCKETS + term)
-    pairs = np.unique(np.concatenate(docs)) if docs else np.empty(0, np.int64)
+    pairs, counts = np.unique(np.concatenate(docs) if docs else np.empty(0, np.int64), return_counts=True)
+    more = pairs[counts > 1]
+    pairs = np.unique(np.concatenate((pairs, more - more % BUCKETS + again(more % BUCKETS))))
+    if wanted is not None:
+        pairs = pairs[wanted[pairs % BUCKETS]]
     return pairs // BUCKETS, pairs % BUCKETS
 
 
 class Model:
     def __init__(self, chosen: np.ndarray, machine: FactorizationMachine):
-        self.chosen, self.machine = chosen, machine
+        self.chosen, self.machine, self.cut = chosen, machine, 0.0
         self.wanted = np.zeros(BUCKETS, bool)
         self.wanted[chosen] = True
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        """0 to 1; THRESHOLD at the cut."""
         docs, ids = terms(texts, self.wanted)
-        return sigmoid(self.machine.margin(docs, np.searchsorted(self.chosen, ids), len(texts)))
+        return sigmoid(self.machine.margin(docs, np.searchsorted(self.chosen, ids), len(texts)) - self.cut + np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
 def fit(docs: np.ndarray, ids: np.ndarray, y: np.ndarray) -> Model | None:
@@ -64,14 +77,16 @@ def fit(docs: np.ndarray, ids: np.ndarray, y: np.ndarray) -> Model | None:
     # separation in standard errors of the difference of the two shares; a term must be in three documents
     z = np.where(a + b >= 3, np.abs(p - q) / np.sqrt((p + q + 1e-9) * (1 / n1 + 1 / n0)), 0)
     chosen = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-    chosen = chosen[z[chosen] > 1.5]
+    chosen = chosen[z[chosen] > LEAST_Z]
     if not len(chosen):
         return None
     keep = np.isin(ids, chosen)
     machine = FactorizationMachine(len(chosen), FACTORS)
-    # both classes count alike, whatever the sample's balance
-    machine.fit(docs[keep], np.searchsorted(chosen, ids[keep]), y.astype(float))
-    return Model(chosen, machine)
+    docs, ids = docs[keep], np.searchsorted(chosen, ids[keep])
+    machine.fit(docs, ids, y.astype(float))
+    model = Model(chosen, machine)
+    model.cut = best_cut(machine.margin(docs, ids, len(y)), y)
+    return model
 
 
 def train(documents: DataFrame, labels: DataFrame, training: Column, most: int = SAMPLE) -> Model | None:
