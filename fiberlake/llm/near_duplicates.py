@@ -34,6 +34,8 @@ from fiberlake.llm.common import cut
 
 #: Shingles of one block of members, on average; two blocks meet in one task.
 BLOCK_SHINGLES = 400_000
+#: As a power of two.
+FILTER_BITS = 26
 SEED = 20_24
 #: Stands for a null doc_id inside tasks.
 NO_ID = 2**63 - 1
@@ -105,14 +107,33 @@ def table_keys(reps: DataFrame, m: int) -> DataFrame:
     return reps.select("doc_id", "keys").mapInPandas(run, "doc_id long, key long")
 
 
-def shingle_sets(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, shingles (sorted 64-bit hashes as bytes)."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits that are set for every doc_id of ids and for few others: 16 bits an id, FILTER_BITS at most.
+
+    The bits are gathered in Spark by word; the driver gets FILTER_BITS / 64 rows at most, however many ids there are.
+    """
+    bits = 1 << min(FILTER_BITS, max(10, (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / F.lit(64)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.collect():
+        out[r.w] = r.b
+    return out.view(np.uint64)
+
+
+def shingle_sets(documents: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    """doc_id, shingles (sorted 64-bit hashes as bytes) of the documents in ids. Texts are not shuffled: a filter of fixed size drops nearly all others beforehand."""
+    bits = documents.sparkSession.sparkContext.broadcast(id_filter(ids))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * len(bits.value)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            at = pdf["at"].to_numpy(np.int64)
+            pdf = pdf[(bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "shingles": [s.tobytes() for s in word_sets(pdf["text"], k)]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, shingles binary")
+    sets = documents.select("doc_id", "text", place.alias("at")).mapInPandas(run, "doc_id long, shingles binary")
+    return sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def linked(shared: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -231,7 +252,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     led = member.union(member.select("leader", F.col("leader").alias("doc_id")).distinct())
     led = cut(led.join(reps.select("doc_id", "n_shingles"), "doc_id").select("leader", "doc_id", "n_shingles"))
     involved = led.select("doc_id").distinct()
-    sets = shingle_sets(docs.join(involved, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"])
+    sets = shingle_sets(docs, k, involved)
     classes = components(confirm(led, sets, percent))
     by_set = equal.join(classes, equal.rep == classes.doc_id, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("_c"))
     out = seen.join(by_set, ["k1", "k2", "n_shingles"], "left")
