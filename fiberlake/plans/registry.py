@@ -1,4 +1,9 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from fiberlake.plans import pixel_queries
+
+_ALL = {**pixel_queries.QUERIES}
+QUERIES = {name: f for name, (f, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
