@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fiberlake.plans import pixel_queries
+from fiberlake.plans import fiber_queries, pixel_queries
 
-_ALL = {**pixel_queries.QUERIES}
+_ALL = {**pixel_queries.QUERIES, **fiber_queries.QUERIES}
 QUERIES = {name: f for name, (f, _) in _ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
