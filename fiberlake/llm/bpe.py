@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiberlake.llm.common import small_batches
+
 CHUNK, OVERLAP = 65_536, 512
 #: Texts above this many code points are cut into rows.
 LONG = 1_000_000
@@ -148,6 +150,7 @@ class Codec:
 
 def encode(documents: DataFrame, ranks_path: str, pattern: str, long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
     """The documents' columns with ids (array<int>) and decoded (binary); digest: doc_id, n_tokens, ids_sha256, decoded_sha256 instead."""
+    small_batches(documents.sparkSession)
     ranks = documents.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     docs = documents.select("doc_id", "text") if digest else documents
     names = docs.columns

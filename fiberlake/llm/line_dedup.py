@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiberlake.llm.common import cut, shuffle_width
+from fiberlake.llm.common import cut, shuffle_width, small_batches
 
 BLANK = b" \t\n\x0b\x0c\r"
 NO_ID = 2**63 - 1
@@ -116,6 +116,7 @@ def keep(text: str, dropped: bytes | None) -> tuple[int, int, str]:
 
 def line_dedup(documents: DataFrame, least: int = 10, digest: bool = False) -> DataFrame:
     """The documents' columns with text replaced by the kept lines, n_lines and n_dropped; digest: kept_sha256 in place of the text."""
+    small_batches(documents.sparkSession)
     maps = bitmaps(documents, least).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("row", "dropped")).alias("_maps"))
     keyed = documents.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
     if digest:

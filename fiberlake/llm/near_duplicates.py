@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiberlake.llm import tokens
-from fiberlake.llm.common import cut
+from fiberlake.llm.common import cut, small_batches
 
 #: Shingles of one block of members, on average; two blocks meet in one task.
 BLOCK_SHINGLES = 400_000
@@ -240,6 +240,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     Links: word shingles of k words, 100 * |intersection| >= percent * |union|; words are runs of non-blank characters
     with A-Z lower-cased.
     """
+    small_batches(documents.sparkSession)
     rows, m = plan_tables(percent / 100)
     docs = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     seen = cut(summarise(docs, k, rows, m))
