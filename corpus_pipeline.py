@@ -6,6 +6,7 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fiberlake.llm import bpe, decontamination, line_dedup, near_duplicates, toxicity
 from fiberlake.llm.common import shared_checkpoints, table
@@ -16,12 +17,15 @@ from fiberlake.llm.queries import VOCABULARY
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not reject."""
     model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(3, 1))
-    return toxicity.score(docs, model).where(f"score < {toxicity.THRESHOLD}").select(*docs.columns)
+    return toxicity.score(docs, model).where(f"score < {toxicity.THRESHOLD}").select("document.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines held by an earlier document go; every document stays. n_chars follows the text."""
-    return line_dedup.line_dedup(docs).selectExpr(*["cast(char_length(text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
+    """Lines held by an earlier document go, and documents of which nothing else is left. n_chars follows the text."""
+    out = line_dedup.line_dedup(docs).where(r"n_dropped = 0 or document.text rlike '\\S'").select("document")
+    if "n_chars" in docs.columns:
+        out = out.select(F.col("document").withField("n_chars", F.char_length("document.text").cast(docs.schema["n_chars"].dataType)).alias("document"))
+    return out.select("document.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, and their digest columns; the ids decode to the text's bytes."""
     out = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    return out.selectExpr("doc_id", "cast(size(ids) as bigint) as n_tokens", "ids", "sha2(decoded, 256) as decoded_sha256")
+    return out.selectExpr("document.doc_id", "cast(size(ids) as bigint) as n_tokens", "ids", "sha2(decoded, 256) as decoded_sha256")
 
 
 STAGES = [

@@ -149,11 +149,10 @@ class Codec:
 
 
 def encode(documents: DataFrame, ranks_path: str, pattern: str, long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
-    """The documents' columns with ids (array<int>) and decoded (binary); digest: doc_id, n_tokens, ids_sha256, decoded_sha256 instead."""
+    """document (a struct of the documents' columns), ids (array<int>) and decoded (binary); digest: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     small_batches(documents.sparkSession)
     ranks = documents.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     docs = documents.select("doc_id", "text") if digest else documents
-    names = docs.columns
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
     made = [x.split()[0] for x in schema.split(", ")]
 
@@ -180,14 +179,14 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, long: int = LONG
             yield pd.DataFrame([row(codec, codec.encode(t, joined(codec.pattern, t, [(int(p["begin"]), [int(x) for x in p["ends"]]) for p in ps]))) for t, ps in zip(texts, parts)], columns=made)
 
     text = F.coalesce("text", F.lit(""))
-    given = docs.select(F.struct(*names).alias("_d"), text.alias("_t"), (F.char_length(text) > long).alias("_long"))
-    short = given.where("not _long").select("_d.*", whole("_t").alias("_o"))
+    given = docs.select(F.struct("*").alias("document"), text.alias("_t"), (F.char_length(text) > long).alias("_long"))
+    short = given.where("not _long").select("document", whole("_t").alias("_o"))
     step = chunk - overlap
     spans = F.expr(f"transform(sequence(0L, greatest(0L, ceil((char_length(_t) - {chunk}) / {step}.0D))), i -> struct(cast(i * {step} as int) as begin, cast(least(char_length(_t), i * {step} + {chunk}) as int) as end))")
     lengthy = given.where("_long").withColumn("_uid", F.monotonically_increasing_id())
     cut = lengthy.select("_uid", "_t", F.explode(spans).alias("_s")).select("_uid", "_s.begin", F.expr("substring(_t, _s.begin + 1, _s.end - _s.begin)").alias("_c"))
     ends = cut.repartition("_uid", "begin").select("_uid", "begin", ends_of("_c", "begin").alias("ends"))
     parts = ends.groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("begin", "ends"))).alias("_p"))
-    stitched = lengthy.join(parts, "_uid").select("_d.*", from_chunks("_t", "_p").alias("_o"))
+    stitched = lengthy.join(parts, "_uid").select("document", from_chunks("_t", "_p").alias("_o"))
     out = short.unionByName(stitched)
-    return out.select("doc_id", "_o.*") if digest else out.select(*names, "_o.*")
+    return out.select("document.doc_id", "_o.*") if digest else out.select("document", "_o.*")

@@ -151,4 +151,4 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no passage of the benchmark; columns stay."""
     hit = overlaps(documents, benchmark).select("doc_id").distinct()
-    return documents.join(hit, "doc_id", "left_anti").select(*documents.columns)
+    return documents.join(hit, "doc_id", "left_anti")

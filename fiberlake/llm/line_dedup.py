@@ -8,9 +8,8 @@ can go on in a neighbouring batch or partition; their rows are passed on undecid
 document of their hash (a pre-aggregated minimum). The result is a compressed bitmap of kept lines for each document that loses any; texts are
 moved only to apply it.
 
-A null or empty text is one empty line. Documents with equal doc_id count as one holder: their lines are numbered per
-row, so each row of a repeated doc_id loses the same lines if their texts are equal, else rows are told apart by text.
-Null doc_ids hold no first occurrence before others (they sort last) and are kept apart by text.
+A null or empty text is one empty line. Rows of one doc_id are one holder: they lose no line to each other, each loses
+the lines that an earlier document holds, told apart by text. Null doc_ids count as one holder that comes last.
 """
 
 from __future__ import annotations
@@ -115,13 +114,11 @@ def keep(text: str, dropped: bytes | None) -> tuple[int, int, str]:
 
 
 def line_dedup(documents: DataFrame, least: int = 10, digest: bool = False) -> DataFrame:
-    """The documents' columns with text replaced by the kept lines, n_lines and n_dropped; digest: kept_sha256 in place of the text."""
+    """document (a struct of the documents' columns, its text the kept lines), n_lines, n_dropped; digest: doc_id, n_lines, n_dropped, kept_sha256."""
     small_batches(documents.sparkSession)
     maps = bitmaps(documents, least).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("row", "dropped")).alias("_maps"))
-    keyed = documents.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    if digest:
-        keyed = keyed.select("doc_id", "text", "_id")
-    met = keyed.join(maps, "_id", "left").drop("_id")
+    keyed = (documents.select("doc_id", "text") if digest else documents).select(F.struct("*").alias("_d"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
+    met = keyed.join(maps, "_id", "left")
 
     def apply(texts: pd.Series, maps: pd.Series) -> pd.DataFrame:
         out = []
@@ -135,8 +132,8 @@ def line_dedup(documents: DataFrame, least: int = 10, digest: bool = False) -> D
         return pd.DataFrame(out, columns=["n", "gone", "left"])
 
     applied = F.pandas_udf(apply, "n long, gone long, left string")
-    met = met.withColumn("_out", applied("text", "_maps"))
+    met = met.select("_d", applied("_d.text", "_maps").alias("_out"))
     n = [F.col("_out.n").alias("n_lines"), F.col("_out.gone").alias("n_dropped")]
     if digest:
-        return met.select("doc_id", *n, F.col("_out.left").alias("kept_sha256"))
-    return met.select(*[F.col("_out.left").alias("text") if c == "text" else F.col(c) for c in documents.columns], *n)
+        return met.select("_d.doc_id", *n, F.col("_out.left").alias("kept_sha256"))
+    return met.select(F.col("_d").withField("text", F.col("_out.left")).alias("document"), *n)

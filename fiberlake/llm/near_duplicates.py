@@ -16,8 +16,9 @@ A pair at the threshold shares no key with probability below 0.0005 for the defa
 leader with many members gets more blocks, and all pairs of its blocks are visited, unless all its members were linked
 to it in the first pass.
 
-Null, empty and blank texts have an empty set and are linked with nothing. Rows with equal doc_id are each returned;
-null doc_ids are in no class but their own (component_id null). Ties of equal sets go to the smallest doc_id.
+Null, empty and blank texts have an empty set and are linked with nothing. Repeated rows are each returned; where rows of
+one doc_id have different texts, they are one document, and the set with the smallest key stands for its links. Rows with
+a null doc_id are in no class (component_id null) and are kept. Ties of equal sets go to the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -60,6 +61,12 @@ def sub_keys(shingles: np.ndarray, rows: int, m: int) -> np.ndarray:
     return tokens.mix(out)
 
 
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Two longs that stand for a set."""
+    with np.errstate(over="ignore"):
+        return int(tokens.mix(s).sum(dtype=np.uint64).view(np.int64)), int(tokens.mix(s + tokens._P).sum(dtype=np.uint64).view(np.int64))
+
+
 def word_sets(texts, k: int) -> Iterator[np.ndarray]:
     raw = tokens.as_bytes(texts)
     ends = tokens.separators(False)
@@ -79,9 +86,7 @@ def summarise(documents: DataFrame, k: int, rows: int, m: int) -> DataFrame:
             out = []
             for s in word_sets(pdf["text"], k):
                 if len(s):
-                    with np.errstate(over="ignore"):
-                        one, two = tokens.mix(s).sum(), tokens.mix(s + tokens._P).sum()
-                    out.append((len(s), one.view(np.int64), two.view(np.int64), sub_keys(s, rows, m).tobytes()))
+                    out.append((len(s), *set_key(s), sub_keys(s, rows, m).tobytes()))
                 else:
                     out.append((0, 0, 0, b""))
             n, one, two, keys = zip(*out) if out else ((), (), (), ())
@@ -122,7 +127,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(documents: DataFrame, k: int, ids: DataFrame) -> DataFrame:
-    """doc_id, shingles (sorted 64-bit hashes as bytes) of the documents in ids. Texts are not shuffled: a filter of fixed size drops nearly all others beforehand."""
+    """doc_id, shingles (sorted 64-bit hashes as bytes) of the documents in ids (doc_id, k1, k2). Texts are not shuffled: a filter of fixed size drops nearly all others beforehand."""
     bits = documents.sparkSession.sparkContext.broadcast(id_filter(ids))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * len(bits.value)))
 
@@ -130,10 +135,12 @@ def shingle_sets(documents: DataFrame, k: int, ids: DataFrame) -> DataFrame:
         for pdf in batches:
             at = pdf["at"].to_numpy(np.int64)
             pdf = pdf[(bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "shingles": [s.tobytes() for s in word_sets(pdf["text"], k)]})
+            sets = list(word_sets(pdf["text"], k))
+            one, two = zip(*map(set_key, sets)) if sets else ((), ())
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "k1": np.array(one, np.int64), "k2": np.array(two, np.int64), "shingles": pd.Series([s.tobytes() for s in sets], dtype=object)})
 
-    sets = documents.select("doc_id", "text", place.alias("at")).mapInPandas(run, "doc_id long, shingles binary")
-    return sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = documents.select("doc_id", "text", place.alias("at")).mapInPandas(run, "doc_id long, k1 long, k2 long, shingles binary")
+    return sets.join(ids, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles")
 
 
 def linked(shared: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -208,7 +215,7 @@ def confirm(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     met = dealt.withColumn("at", F.explode(F.when(small, F.expr("array(struct(0 as x, 0 as y))")).when(F.col("doc_id") == F.col("leader"), every).otherwise(pairs)))
     met = met.select("leader", "doc_id", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "part").join(sets, "doc_id")
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         leader, x, y = key
         pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
         ids = pdf["doc_id"].to_numpy(np.int64)
@@ -246,13 +253,15 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     seen = cut(summarise(docs, k, rows, m))
     full = seen.where(f"n_shingles > 0 and doc_id <> {NO_ID}")
     equal = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = full.join(equal.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
+    # one set for each document, also where rows of one doc_id have different texts
+    reps = reps.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_shingles", "keys")).alias("r")).select("doc_id", "r.*")
     keyed = table_keys(reps, m)
     leaders = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader")
     member = keyed.join(leaders, "key").where("doc_id <> leader").select("leader", "doc_id").distinct()
     led = member.union(member.select("leader", F.col("leader").alias("doc_id")).distinct())
     led = cut(led.join(reps.select("doc_id", "n_shingles"), "doc_id").select("leader", "doc_id", "n_shingles"))
-    involved = led.select("doc_id").distinct()
+    involved = reps.join(led.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "k1", "k2")
     sets = shingle_sets(docs, k, involved)
     classes = components(confirm(led, sets, percent))
     by_set = equal.join(classes, equal.rep == classes.doc_id, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("_c"))
@@ -265,4 +274,4 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 def drop_near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without all but the first of each class; columns stay."""
     gone = near_duplicates(documents, k, percent).where("not kept").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    return documents.join(gone, "doc_id", "left_anti")

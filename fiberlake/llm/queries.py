@@ -21,7 +21,7 @@ def _scored(module, label: str, modulus: int, remainder: int, spark: SparkSessio
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = module.train(docs, table(spark, sf_dir, "labels"), ~held_out(modulus, remainder))
     out = module.score(docs, model)
-    return out.select("doc_id", held_out(modulus, remainder).alias("held_out"), "score", (F.col("score") >= module.THRESHOLD).cast("int").alias("predicted"))
+    return out.select("document.doc_id", held_out(modulus, remainder, "document.doc_id").alias("held_out"), "score", (F.col("score") >= module.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

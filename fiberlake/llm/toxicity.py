@@ -109,11 +109,11 @@ def train(documents: DataFrame, labels: DataFrame, training: Column, most: int =
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:
-    """The documents' columns and score double."""
+    """document (a struct of the documents' columns) and score double."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(np.zeros(len(texts)) if held.value is None else held.value.score(tokens.as_bytes(texts)))
 
-    return documents.select(*documents.columns, scored("text").alias("score"))
+    return documents.select(F.struct("*").alias("document"), scored("text").alias("score"))
