@@ -325,9 +325,10 @@ def suggest(spark, d):
 
     def score_round(combos):
         # the sensitivity axis drives the level here; the others are a tracer's
-        level = combos.select("combo_id", (F.lit(float(height)) * (1 - F.col("sensitivity"))).alias("level"))
-        n = _sweep(spark, points, level).groupBy("combo_id").agg(F.count(F.lit(1)).alias("n"))
-        return combos.select("combo_id").join(n, "combo_id", "left").select("combo_id", (1.0 / (1.0 + F.abs(F.coalesce("n", F.lit(0)) - 5))).alias("score"))
+        # combos of one level share a detection
+        level = combos.groupBy("sensitivity").agg(F.min("combo_id").alias("combo_id")).select("combo_id", "sensitivity", (F.lit(float(height)) * (1 - F.col("sensitivity"))).alias("level"))
+        n = _sweep(spark, points, level).groupBy("combo_id").agg(F.count(F.lit(1)).alias("n")).join(level.select("combo_id", "sensitivity"), "combo_id").select("sensitivity", "n")
+        return combos.select("combo_id", "sensitivity").join(n, "sensitivity", "left").select("combo_id", (1.0 / (1.0 + F.abs(F.coalesce("n", F.lit(0)) - 5))).alias("score"))
 
     return tuning.suggest(spark, score_round, {"seed": [2, 8], "sensitivity": [0.05, 0.15, 0.3], "bend": [65], "link": [35]}, rounds=2).select("combo_key", "round", "score")
 
