@@ -65,7 +65,22 @@ QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_pairwise_quality, o
 
 _RECORD = """'WARC/1.0' || e'\\r\\n' || 'WARC-Type: response' || e'\\r\\n' || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e'\\r\\n' || 'WARC-Target-URI: ' || coalesce(url, '') || e'\\r\\n' || 'Content-Length: ' || strlen(coalesce(html, '')) || e'\\r\\n\\r\\n' || coalesce(html, '') || e'\\r\\n\\r\\n'"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    # all pairs of documents that share a shingle, and everything that links reach
+    "op5_minhash_near_duplicates": f"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)] end) sh from w),
+x as (select doc_id, len(sh) n, unnest(sh) h from s),
+pairs as (select a.doc_id a, b.doc_id b from x a join x b on a.h = b.h and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach as (select doc_id a, doc_id b from documents union select r.a, p.b from reach r join pairs p on p.a = r.b)
+select s.doc_id, len(sh)::bigint n_shingles, c component_id, c = s.doc_id kept from s join (select a, min(b) c from reach group by a) r on r.a = s.doc_id""",
+    "op6_line_dedup": """
+with l as (select doc_id, i, ls[i] line, translate(trim(ls[i], e' \\t\\n\\x0b\\x0c\\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents))),
+f as (select k, min(doc_id) first from l where length(k) >= 10 group by k having count(distinct doc_id) > 1),
+d as (select l.*, f.first is not null and f.first <> doc_id gone from l left join f on f.k = l.k)
+select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256 from d group by doc_id""",
     # every record is hashed on both sides and compared; the audit must find the same by descent
     "op8_warc_fixity_audit": f"""
 with r as (select page_id, row_number() over (order by page_id, url, html) - 1 as n, {_RECORD} as record from pages),

@@ -123,3 +123,12 @@ def test_main_text(spark, sf):
         assert r.text == "\n".join(b for b in want if b)
         assert (r.url, r.n_chars) == (pages[r.page_id].url, len(r.text))
         assert 0 <= r.n_repeated <= r.n_outside
+
+
+@pytest.mark.parametrize("name", ["op5_minhash_near_duplicates", "op6_line_dedup"])
+def test_against_sql(spark, name):
+    from tests.compare import connection, rows_of
+
+    sf = "/root/testdata/sf0.001"
+    columns, got, want = rows_of(spark, sf, connection(sf), QUERIES[name], ORACLES[name])
+    assert got == want and want
