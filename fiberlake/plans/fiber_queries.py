@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fiberlake.functions import geometry as g
 from fiberlake.functions import params
 from fiberlake.operators import boundary, detect, fibers, pipeline, rounds, seams, tiles, tuning
-from fiberlake.plans.pixel_queries import REGIONS, gray_of, longs, r6, regions
+from fiberlake.plans.pixel_queries import GRAY, REGIONS, STATS, gray_of, longs, r6, regions
 from fiberlake.sources import fixtures as fx
 from fiberlake.sources.pixels import fibers_from_json, fibers_to_json
 from fiberlake.streaming import streams
@@ -462,7 +462,10 @@ union all select event_id, 's_xlinkbox', case when event_id % 5 = 0 then 'wide'
     "gt_in_piece": (gt_in_piece, f"{fx.with_tables('gt', 'rings')}, {_SEG}, c as (select image_id, line_id, list_avg([p.x for p in points]) x, list_avg([p.y for p in points]) y from gt_lines) select c.image_id, line_id, annotation_id::bigint annotation_id, part_id::bigint part_id from c join segs s on s.image_id = c.image_id and (ay > y) <> (\"by\" > y) and x < ax + (y - ay) * (bx - ax) / (\"by\" - ay) group by all having count(*) % 2 = 1"),
     "rasterize_polygon": (rasterize_polygon, f"{_WITH3}, {_SEG}, local as (select image_id, annotation_id, (ax - 180) / 1.5::double ax, (bx - 180) / 1.5::double bx, (ay - 10) / 1.5::double ay, (\"by\" - 10) / 1.5::double \"by\" from segs), px as (select image_id, annotation_id, xx::bigint x, yy::bigint y from (select distinct image_id, annotation_id from local), range(200) a(xx), range(80) b(yy)) select p.image_id, p.annotation_id::bigint annotation_id, p.x, p.y from px p join local l on l.image_id = p.image_id and l.annotation_id = p.annotation_id and (ay > p.y + 0.5::double) <> (\"by\" > p.y + 0.5::double) and p.x + 0.5::double < ax + (p.y + 0.5::double - ay) * (bx - ax) / (\"by\" - ay) group by all having count(*) % 2 = 1"),
     "rasterize_fibers": (rasterize_fibers, f"{fx.with_tables('fibers')}, {_RASTER.format(n=512)} select image_id, count(*) pixels, sum(x)::bigint sum_x, sum(y)::bigint sum_y from fpx group by image_id"),
-    "score_unsupervised": (score_unsupervised, None),
+    "score_unsupervised": (score_unsupervised, f"""{fx.with_tables('px_multi', 'measured')}, {STATS.format(px='px_multi')}, {GRAY.format(px='px_multi')}, {_RASTER.format(n=128)}, fg as (select image_id, x::bigint x, y from gray where channel = 0 and g > t),
+cov as (select image_id, count(f.x) / count(*)::double c from (select fg.image_id, fpx.x from fg left join fpx on fpx.image_id = fg.image_id and fpx.x = fg.x and fpx.y = fg.y) f group by image_id), a as (select image_id, count(*) n, quantile_cont(straightness, 0.5) st, stddev_pop(angle) sd from fibers group by image_id),
+b as (select *, case when c is null then true else sd < 8 and n > 3 end deg, least(1, greatest(0, n / 20::double - 1)) run from a left join cov using (image_id))
+select image_id, n, round_even(case when c is null then -1 else c + 0.4::double * st - case when deg then 0.5::double else 0 end - 0.3::double * run end, 4) score, round_even(coalesce(c, 0), 3) coverage, round_even(st, 3) straightness, round_even(sd, 1) angle_std, deg degenerate, round_even(run, 3) runaway from b"""),
     "dedup_candidates": (dedup_candidates, f"{_DEDUP} select image_id, better, worse from pairs"),
     "dedup": (dedup, f"{_DEDUP} select image_id, tile_id, fiber_id from fibers f where not exists (select 1 from pairs p where p.image_id = f.image_id and p.worse = f.fiber_id)"),
     "dedup_rounds": (dedup_rounds, None),
