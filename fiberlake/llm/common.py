@@ -30,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Whole texts go to Python in batches of this size, where the session still has Spark's defaults: an executor of 3 GB holds several at once.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
 
 
 def small_batches(spark: SparkSession) -> None:

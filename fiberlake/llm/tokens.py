@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of texts that are hashed together; a longer text is hashed alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _P = np.uint64(0x9E3779B97F4A7C55)
 
