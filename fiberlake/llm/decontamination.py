@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fiberlake.llm import tokens
 from fiberlake.llm.common import small_batches
 
-#: Fixed masks: 1 is compared, 0 ignored. Weight 7; for any two replaced tokens in 14, some window of some mask misses both.
+#: Fixed masks: 1 is compared, 0 ignored. Some window of some mask misses any one replaced token in 12, any two in 16, any three in 21.
 MASKS = ("1111111", "11011011011", "1110010110011", "110100110111", "101011001101001")
 SHORTEST, LEAST_MATCHED, IDENTITY, PENALTY = 5, 13, 0.75, 2
 BLOCK_BYTES, BITS = 32 << 20, 22

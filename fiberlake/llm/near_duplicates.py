@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from fiberlake.llm import tokens
 from fiberlake.llm.common import cut, small_batches
 
-#: Shingles of one block of members, on average; two blocks meet in one task.
-BLOCK_SHINGLES = 400_000
+#: Shingles and sets of one block of members at most, on average; two blocks meet in one task.
+BLOCK_SHINGLES, BLOCK_SETS = 400_000, 2_000
 #: As a power of two.
 FILTER_BITS = 26
 SEED = 20_24
@@ -170,21 +170,12 @@ class Sets:
 
 def block_links(ids: np.ndarray, blobs: list[bytes], first: int, percent: int, sides: np.ndarray | None) -> list[tuple[int, int]]:
     """Links that join classes among one block, or between two (sides says which a set is of). first: index of the leader, in every block."""
-    sets, root = Sets(blobs), np.arange(len(ids))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out, near = [], np.zeros(len(ids))
+    sets, label, out = Sets(blobs), np.arange(len(ids)), []
 
     def join(i: int, js: np.ndarray) -> None:
         for j in js:
-            a, b = find(i), find(int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
                 out.append((int(ids[i]), int(ids[j])))
 
     counts = sets.shared(first)
@@ -194,8 +185,7 @@ def block_links(ids: np.ndarray, blobs: list[bytes], first: int, percent: int, s
     # Jaccard distance is a metric: a set beyond twice the allowed distance from the leader links with none of the leader's.
     far = near < 2 * (percent / 100) - 1 - 1e-9
     for i in np.flatnonzero(~hit):
-        mine = find(i)
-        other = np.array([find(x) != mine for x in range(len(ids))]) & ~(hit & far[i])
+        other = (label != label[i]) & ~(hit & far[i])
         if sides is not None:
             other &= sides != sides[i]
         if other.any():
@@ -206,7 +196,7 @@ def block_links(ids: np.ndarray, blobs: list[bytes], first: int, percent: int, s
 
 def confirm(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: exact links among the members of each leader. led: leader, doc_id, n_shingles (the leader is one of its members)."""
-    blocks = led.groupBy("leader").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks = led.groupBy("leader").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
     dealt = led.join(blocks, "leader").withColumn("part", F.pmod(F.xxhash64("doc_id", "leader"), F.col("blocks")).cast("int"))
     # every unordered pair of parts; a leader is sent to each of them
     pairs = F.expr("transform(sequence(0, blocks - 1), p -> struct(least(p, part) as x, greatest(p, part) as y))")
