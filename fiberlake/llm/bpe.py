@@ -15,6 +15,8 @@ import base64
 import bisect
 import hashlib
 import heapq
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +29,8 @@ from fiberlake.llm.common import small_batches
 CHUNK, OVERLAP = 65_536, 512
 #: Texts above this many code points are cut into rows.
 LONG = 1_000_000
-CACHE = 200_000
+CACHE = 70_000
+NONE = 1 << 60
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,9 +40,27 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: the pair of lowest rank is merged first, the leftmost of equal ones; O(n log n)."""
+    """Token ids of one pre-token: the pair of lowest rank is merged first, the leftmost of equal ones."""
     if piece in ranks:
         return [ranks[piece]]
+    if len(piece) > 100:
+        return _merge_long(piece, ranks)
+    rank = ranks.get
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [rank(a + b, NONE) for a, b in zip(parts, parts[1:])]
+    while pairs and (low := min(pairs)) != NONE:
+        i = pairs.index(low)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], NONE)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], NONE)
+    return [ranks[x] for x in parts]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same with a heap, O(n log n)."""
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that starts at i
     prev = list(range(-1, n - 1))
@@ -115,32 +136,66 @@ def pretokenise(pattern: regex.Pattern, text: str, size: int = CHUNK, overlap: i
     return joined(pattern, text, [(begin, boundaries(pattern, text[begin:end], begin)) for begin, end in chunks(len(text), size, overlap)])
 
 
+def narrow(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of code points below 0x300, with its Unicode classes spelt out: the standard library matches those faster. None if it uses other classes."""
+    known = {"L": lambda c: unicodedata.category(c)[0] == "L", "N": lambda c: unicodedata.category(c)[0] == "N", "s": lambda c: c in " \t\n\r\f\v\x85\xa0"}
+    spelt = {k: "".join(f"\\u{i:04x}" for i in range(0x300) if test(chr(i))) for k, test in known.items()}
+    out, inside, at = [], False, 0
+    for m in re.finditer(r"\\p\{(\w+)\}|\\(.)|([\[\]])", pattern):
+        out.append(pattern[at : m.start()])
+        at = m.end()
+        name = m[1] or m[2]
+        if m[3]:
+            inside = m[3] == "["
+            out.append(m[3])
+        elif name in spelt and (m[1] or name == "s"):
+            out.append(spelt[name] if inside else f"[{spelt[name]}]")
+        elif name == "S" and not m[1] and not inside:
+            out.append(f"[^{spelt['s']}]")
+        elif m[1] or name.isalnum():
+            return None
+        else:
+            out.append(m[0])
+    return re.compile("".join(out) + pattern[at:])
+
+
+WIDE = re.compile("[^\x00-\u02ff]")
+
+
 class Codec:
     """Encodes with a cache of pre-tokens; lives in one task's worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern, self.cache = ranks, regex.compile(pattern), {}
-        self.token = {i: t for t, i in ranks.items()}
-
-    def piece(self, s: str) -> list[int]:
+        self.ranks, self.pattern, self.cache, self.older = ranks, regex.compile(pattern), {}, {}
+        self.narrow = narrow(pattern)
+        self.token = [b""] * (max(ranks.values(), default=-1) + 1)
+        for t, i in ranks.items():
+            self.token[i] = t
+        self.decimal = [str(i) for i in range(len(self.token))]
+
+    def piece(self, s: str) -> tuple[int, ...]:
+        """Ids of a pre-token. Two generations of at most CACHE entries: what was used lately outlives a change."""
         got = self.cache.get(s)
         if got is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            got = merge(s.encode("utf-8", "surrogatepass"), self.ranks)
+            got = self.older.get(s)
+            if got is None:
+                got = tuple(merge(s.encode("utf-8", "surrogatepass"), self.ranks))
             if len(s) <= 64:
+                if len(self.cache) >= CACHE:
+                    self.cache, self.older = {}, self.cache
                 self.cache[s] = got
         return got
 
     def encode(self, text: str, ends: list[int] | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        cached, out, at = self.cache.get, [], 0
+        cached, piece, out, at = self.cache.get, self.piece, [], 0
         if ends is None and len(text) <= size:
-            for s in self.pattern.findall(text):
+            plain = self.narrow is not None and (text.isascii() or not WIDE.search(text))
+            for s in (self.narrow if plain else self.pattern).findall(text):
                 got = cached(s)
-                out += self.piece(s) if got is None else got
+                out += piece(s) if got is None else got
             return out
         for end in pretokenise(self.pattern, text, size, overlap) if ends is None else ends:
-            out += self.piece(text[at:end])
+            out += piece(text[at:end])
             at = end
         return out
 
@@ -158,7 +213,7 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, long: int = LONG
 
     def row(codec: Codec, ids: list[int]) -> tuple:
         raw = codec.decode(ids)
-        return (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) if digest else (ids, raw)
+        return (len(ids), hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) if digest else (ids, raw)
 
     @F.pandas_udf(schema)
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
