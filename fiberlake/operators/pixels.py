@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,31 +116,29 @@ def kernel(sigma: float) -> list[float]:
     return [v / sum(k) for v in k]
 
 
-def _blur_pass(gray: DataFrame, axis: str, size: Column, weights: list[float], level: str) -> DataFrame:
-    """Each target sums its clamped neighbours: a source is sent to the targets whose window reaches it, edge sources also for the window's part beyond the edge."""
-    radius = len(weights) // 2
-    w = F.array(*[F.lit(v) for v in weights])
-    at, top = F.col(axis), size - 1
-    offsets = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-    # targets t with clamp(t + i) = source: t = source - i, plus, at an edge, every t + i beyond it
-    spread = gray.withColumn("_top", top).withColumn("_i", offsets)
-    plain = spread.withColumn("_t", at - F.col("_i")).where("_t >= 0 and _t <= _top")
-    before = spread.where(at == 0).withColumn("_t", F.explode(F.when(F.col("_i") < 0, F.sequence(F.lit(0), F.least(-F.col("_i") - 1, F.col("_top")).cast("int")))))
-    after = spread.where(at == top).withColumn("_t", F.explode(F.when(F.col("_i") > 0, F.sequence(F.greatest(F.col("_top") - F.col("_i") + 1, F.lit(0)).cast("int"), F.col("_top").cast("int")))))
-    moved = plain.select(*plain.columns).unionByName(before).unionByName(after)
-    other = "y" if axis == "x" else "x"
-    keys = ["image_id", other, "width", "height"]
-    return moved.groupBy(*keys, F.col("_t").cast("int").alias(axis)).agg(F.sum(F.col(level) * F.get(w, F.col("_i") + radius)).alias(level))
+def _line(along: str, across: str):
+    """Window over one pixel row or column of a dense image."""
+    return Window.partitionBy("image_id", across).orderBy(along)
+
+
+def _blur_pass(gray: DataFrame, along: str, across: str, weights: list[float]) -> DataFrame:
+    """Weighted sum of the neighbours along a line; beyond the ends the end pixel counts."""
+    w, radius, g = _line(along, across), len(weights) // 2, F.col("g")
+    line = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = gray.withColumn("_first", F.first("g").over(line)).withColumn("_last", F.last("g").over(line))
+    near = lambda i: g if i == 0 else F.coalesce(F.lag("g", -i).over(w), F.col("_first")) if i < 0 else F.coalesce(F.lead("g", i).over(w), F.col("_last"))
+    total = reduce(lambda acc, i: acc + near(i) * F.lit(weights[i + radius]), range(-radius, radius + 1), F.lit(0.0))
+    return ends.withColumn("_sum", total).drop("_first", "_last", "g").withColumnRenamed("_sum", "g")
 
 
 def gaussian_blur(gray: DataFrame, sigma: float) -> DataFrame:
-    """Separable blur of dense grey images (image_id, x, y, g, width, height); edges are clamped, rounding happens once at the end."""
+    """Separable blur of dense grey images (image_id, x, y, g, width, height); edges are clamped, rounding happens once at the end. One shuffle a pass."""
     if sigma <= 0.05:
         return gray
     k = kernel(sigma)
     g = gray.withColumn("g", F.col("g").cast("double"))
-    out = _blur_pass(_blur_pass(g, "x", F.col("width"), k, "g"), "y", F.col("height"), k, "g")
-    # sums of one pixel may differ in the last bit by their order; nothing else can move a pixel across a half
+    out = _blur_pass(_blur_pass(g, "x", "y", k), "y", "x", k)
+    # a sum that should end on a half may miss it by its last bit
     return out.withColumn("g", half_up(F.round(F.col("g"), 9)).cast("int")).select("image_id", "x", "y", "g", "width", "height")
 
 
@@ -174,11 +173,14 @@ def local_maxima(dist: DataFrame, box: int, least: float, value: str = "distance
 
 
 def sobel(gray: DataFrame) -> DataFrame:
-    """gx, gy of dense grey images for inner pixels."""
-    taps = F.expr("array(" + ", ".join(f"struct({dx} as dx, {dy} as dy, {wx} as wx, {wy} as wy)" for dx, dy, wx, wy in ((-1, -1, -1, -1), (0, -1, 0, -2), (1, -1, 1, -1), (-1, 0, -2, 0), (1, 0, 2, 0), (-1, 1, -1, 1), (0, 1, 0, 2), (1, 1, 1, 1))) + ")")
-    sent = gray.withColumn("_t", F.explode(taps)).select("image_id", "width", "height", (F.col("x") - F.col("_t.dx")).alias("x"), (F.col("y") - F.col("_t.dy")).alias("y"), (F.col("g") * F.col("_t.wx")).alias("a"), (F.col("g") * F.col("_t.wy")).alias("b"))
-    inner = sent.where("x > 0 and y > 0 and x < width - 1 and y < height - 1")
-    return inner.groupBy("image_id", "width", "height", "x", "y").agg(F.sum("a").alias("gx"), F.sum("b").alias("gy"))
+    """gx, gy of dense grey images for inner pixels: separable, one shuffle for columns and one for rows."""
+    column, row = _line("y", "x"), _line("x", "y")
+    around = lambda c, w: (F.lag(c).over(w), F.col(c), F.lead(c).over(w))
+    above, here, below = around("g", column)
+    first = gray.withColumn("_smooth", above + 2 * here + below).withColumn("_step", below - above)
+    (s0, _, s2), (d0, d1, d2) = around("_smooth", row), around("_step", row)
+    both = first.withColumn("gx", s2 - s0).withColumn("gy", d0 + 2 * d1 + d2)
+    return both.where("x > 0 and y > 0 and x < width - 1 and y < height - 1").select("image_id", "width", "height", "x", "y", "gx", "gy")
 
 
 def thin_edges(gray: DataFrame, low: int = 40, high: int = 120) -> DataFrame:
