@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiberlake.llm.common import small_batches
+from fiberlake.llm.tokens import give_back
 
 CHUNK, OVERLAP = 65_536, 512
 #: Texts above this many code points are cut into rows.
@@ -220,6 +221,8 @@ def encode(documents: DataFrame, ranks_path: str, pattern: str, long: int = LONG
         codec = Codec(ranks.value, pattern)
         for texts in batches:
             yield pd.DataFrame([row(codec, codec.encode(t, size=chunk, overlap=overlap)) for t in texts], columns=made)
+        del codec
+        give_back()
 
     @F.pandas_udf("array<int>")
     def ends_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -129,6 +129,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = index.value
             for pdf in batches:
+                tokens.give_back()
                 texts, out = tokens.as_bytes(pdf["text"]), []
                 doc_ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
                 for lo, hi in tokens.slices(texts):

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiberlake.llm.common import cut, shuffle_width, small_batches
+from fiberlake.llm.tokens import give_back
 
 BLANK = b" \t\n\x0b\x0c\r"
 NO_ID = 2**63 - 1
@@ -43,6 +44,7 @@ def hashed_lines(documents: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            give_back()
             ids, rows, ats, hashes = [], [], [], bytearray()
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
@@ -129,6 +131,7 @@ def line_dedup(documents: DataFrame, least: int = 10, digest: bool = False) -> D
                 dropped = next((m["dropped"] for m in found if m["row"] == row), None)
             n, gone, left = keep(text, dropped)
             out.append((n, gone, hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest() if digest else left))
+        give_back()
         return pd.DataFrame(out, columns=["n", "gone", "left"])
 
     applied = F.pandas_udf(apply, "n long, gone long, left string")

@@ -83,6 +83,7 @@ def summarise(documents: DataFrame, k: int, rows: int, m: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            tokens.give_back()
             out = []
             for s in word_sets(pdf["text"], k):
                 if len(s):
@@ -101,6 +102,7 @@ def table_keys(reps: DataFrame, m: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pair = np.arange(m * m, dtype=np.uint64)
         for pdf in batches:
+            tokens.give_back()
             for lo in range(0, len(pdf), 2_000):
                 part = pdf.iloc[lo : lo + 2_000]
                 subs = np.frombuffer(b"".join(part["keys"]), np.uint64).reshape(len(part), 2 * m)
@@ -133,6 +135,7 @@ def shingle_sets(documents: DataFrame, k: int, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            tokens.give_back()
             at = pdf["at"].to_numpy(np.int64)
             pdf = pdf[(bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
             sets = list(word_sets(pdf["text"], k))
@@ -207,6 +210,7 @@ def confirm(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         leader, x, y = key
+        tokens.give_back()
         pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
         ids = pdf["doc_id"].to_numpy(np.int64)
         first = int(np.flatnonzero(ids == leader)[0])

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of texts that are hashed together; a longer text is hashed alone.
 SLICE = 1 << 18
@@ -10,6 +13,14 @@ BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 _P = np.uint64(0x9E3779B97F4A7C55)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later stages, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64 bits (constants of the splitmix64 generator)."""
     with np.errstate(over="ignore"):

@@ -33,11 +33,9 @@ def again(term: np.ndarray) -> np.ndarray:
     return (term * 0x9E3B1 + 0x5A17D) & (BUCKETS - 1)
 
 
-def terms(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, term) for each distinct term of each text; only terms marked in wanted."""
+def terms(texts: list[bytes], wanted: np.ndarray | None = None, needed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, term) for each distinct term of each text; only terms marked in wanted (needed marks those and the terms that they repeat)."""
     ends, docs = tokens.separators(True), []
-    if wanted is not None:
-        needed = wanted | wanted[again(np.arange(BUCKETS))]
     for lo, hi in tokens.slices(texts):
         hashes, counts, heads = tokens.words(texts[lo:hi], ends, PREFIXES)
         owner = np.repeat(np.arange(lo, hi, dtype=np.int64), counts)
@@ -61,10 +59,11 @@ class Model:
         self.chosen, self.machine, self.cut = chosen, machine, 0.0
         self.wanted = np.zeros(BUCKETS, bool)
         self.wanted[chosen] = True
+        self.needed = self.wanted | self.wanted[again(np.arange(BUCKETS))]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """0 to 1; THRESHOLD at the cut."""
-        docs, ids = terms(texts, self.wanted)
+        docs, ids = terms(texts, self.wanted, self.needed)
         return sigmoid(self.machine.margin(docs, np.searchsorted(self.chosen, ids), len(texts)) - self.cut + np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
@@ -95,9 +94,12 @@ def train(documents: DataFrame, labels: DataFrame, training: Column, most: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            docs, ids = terms(tokens.as_bytes(pdf["text"]))
-            cuts = np.searchsorted(docs, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"ids": [ids[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:])], "y": pdf["y"].array})
+            for lo in range(0, len(pdf), 200):
+                part = pdf.iloc[lo : lo + 200]
+                docs, ids = terms(tokens.as_bytes(part["text"]))
+                cuts = np.searchsorted(docs, np.arange(len(part) + 1))
+                yield pd.DataFrame({"ids": [ids[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:])], "y": part["y"].array})
+            tokens.give_back()
 
     rows = sample(documents, labels, "toxic", training, most).mapInPandas(run, "ids binary, y int").collect()
     rows.sort(key=lambda r: (r.y, bytes(r.ids)))
@@ -114,6 +116,8 @@ def score(documents: DataFrame, model: Model | None) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.zeros(len(texts)) if held.value is None else held.value.score(tokens.as_bytes(texts)))
+        out = np.zeros(len(texts)) if held.value is None else held.value.score(tokens.as_bytes(texts))
+        tokens.give_back()
+        return pd.Series(out)
 
     return documents.select(F.struct("*").alias("document"), scored("text").alias("score"))
