@@ -8,11 +8,13 @@ the items; around each hit, document and item are compared token by token on the
 The item index is broadcast in blocks of at most BLOCK_BYTES of item text; a larger benchmark takes more passes over the
 documents. Documents are never shuffled. Items of fewer than SHORTEST tokens occur by chance and are not searched; items
 shorter than a mask are searched as whole sequences. Null and empty texts have no overlap; repeated rows are reported
-once each; null ids are returned as null.
+once each; null ids are returned as null. Case and composition of characters don't count, in any script; positions are
+those of the folded text's tokens.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,6 +32,11 @@ SHORTEST, LEAST_MATCHED, IDENTITY, PENALTY = 5, 13, 0.75, 2
 BLOCK_BYTES, BITS = 32 << 20, 22
 
 
+def folded(text: str) -> str:
+    """Canonical caseless form; tokens.words folds ASCII by itself."""
+    return text if text.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).casefold())
+
+
 def masked(h: np.ndarray, mask: str) -> np.ndarray:
     """Hash of each window's compared tokens."""
     n = len(h) - len(mask) + 1
@@ -123,14 +130,14 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     def against(block: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         rows = sorted(rows, key=lambda r: (r.item_id is not None, r.item_id or 0, r.text))
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text.encode("utf-8", "surrogatepass") for r in rows]))
+        index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], tokens.as_bytes(folded(r.text) for r in rows)))
         ends = tokens.separators(True)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = index.value
             for pdf in batches:
                 tokens.give_back()
-                texts, out = tokens.as_bytes(pdf["text"]), []
+                texts, out = tokens.as_bytes(folded(t) if isinstance(t, str) else None for t in pdf["text"]), []
                 doc_ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
                 for lo, hi in tokens.slices(texts):
                     h, counts, _ = tokens.words(texts[lo:hi], ends)

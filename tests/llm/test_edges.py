@@ -203,6 +203,17 @@ def test_decontamination(spark, edge, none):
     assert decontamination.overlaps(none, bench).count() == 0 and decontamination.overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_any_case(spark):
+    import unicodedata
+
+    item = " ".join(f"éñtoken{i} straße{i} źdźbło{i}" for i in range(7))
+    docs = [(1, item), (2, item.upper()), (3, unicodedata.normalize("NFD", item)), (4, unicodedata.normalize("NFD", item.upper())), (5, item.replace("é", "e"))]
+    bench = spark.createDataFrame([(1, item.title())], "item_id long, text string")
+    got = {r.doc_id: (r.doc_start, r.n_tokens, r.n_matched) for r in decontamination.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {i: got[i] for i in (1, 2, 3, 4)} == {i: (0, 21, 21) for i in (1, 2, 3, 4)} and got.get(5, (0, 0, 0))[2] < 21
+    assert {r.doc_id for r in decontamination.decontaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()} <= {5}
+
+
 def test_decontamination_in_blocks(spark, edge, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join("abcdefghijklm"[i : i + 5])) for i in range(9)], "item_id long, text string")
     whole = sorted(map(tuple, decontamination.overlaps(edge, bench).collect()))
