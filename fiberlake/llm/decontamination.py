@@ -2,12 +2,14 @@
 
 Fixed masks pick some positions of a window of tokens and ignore the others, so a passage whose words were partly
 replaced still shares hashes with the benchmark item. Hashes of all windows of all documents are joined with those of
-the items; around each hit, document and item are compared token by token on the hit's diagonal, and the best run
-(+1 for an equal token, -PENALTY for another) is reported if it is long and equal enough.
+the items; around each hit, document and item are compared token by token on the hit's diagonal. The best run (+1 for an
+equal token, -PENALTY for another) is reported if it is long and equal enough; otherwise the whole overlap, from its first
+to its last equal token, if it has IDENTITY of the item's tokens. The masks miss no such place: any IDENTITY of 5 to 10
+tokens holds one of SHORT_MASKS, and of 11 to 23 tokens one of LONG_MASKS; longer ones can be cut into stretches of 12 to
+23, of which one is as equal as the whole.
 
 The item index is broadcast in blocks of at most BLOCK_BYTES of item text; a larger benchmark takes more passes over the
-documents. Documents are never shuffled. Items of fewer than SHORTEST tokens occur by chance and are not searched; items
-shorter than a mask are searched as whole sequences. Null and empty texts have no overlap; repeated rows are reported
+documents. Documents are never shuffled. Items of fewer than SHORTEST tokens occur by chance and are not searched. Null and empty texts have no overlap; repeated rows are reported
 once each; null ids are returned as null. Case and composition of characters don't count, in any script; positions are
 those of the folded text's tokens.
 """
@@ -26,10 +28,14 @@ from pyspark.sql import functions as F
 from fiberlake.llm import tokens
 from fiberlake.llm.common import small_batches
 
-#: Fixed masks: 1 is compared, 0 ignored. Some window of some mask misses any one replaced token in 12, any two in 16, any three in 21.
-MASKS = ("1111111", "11011011011", "1110010110011", "110100110111", "101011001101001")
+#: Fixed masks: 1 is compared, 0 ignored. For items of fewer than LONG tokens, and for others.
+SHORT_MASKS = ("1111", "11011", "10111", "11101", "111001")
+LONG_MASKS = ("11111", "110111", "101111", "111011", "111101", "11010011")
+LONG = 11
 SHORTEST, LEAST_MATCHED, IDENTITY, PENALTY = 5, 13, 0.75, 2
 BLOCK_BYTES, BITS = 32 << 20, 22
+#: Hits, and then tokens, that are compared at once.
+PIECE = 1 << 19
 
 
 def folded(text: str) -> str:
@@ -59,20 +65,22 @@ class Index:
         ends = tokens.separators(True)
         for t in texts:
             self.items.append(tokens.words([t], ends)[0])
-        short = {len(x) for x in self.items if SHORTEST <= len(x) < max(map(len, MASKS))}
-        self.masks = [*MASKS, *("1" * n for n in sorted(short) if "1" * n not in MASKS)]
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.concatenate([*self.items, np.empty(0, np.uint64)])
+        self.least = np.minimum(LEAST_MATCHED, np.ceil(IDENTITY * self.sizes).astype(np.int64))
+        masks = {False: SHORT_MASKS, True: LONG_MASKS}
+        self.masks = [m for long in masks if any(len(x) >= SHORTEST and (len(x) >= LONG) == long for x in self.items) for m in masks[long]]
         seeds, item, at = [], [], []
         for i, x in enumerate(self.items):
             if len(x) < SHORTEST:
                 continue
-            for mask in self.masks:
-                if set(mask) == {"1"} and mask not in MASKS and len(mask) != len(x):
-                    continue
+            for mask in masks[len(x) >= LONG]:
                 s = masked(x, mask)
                 seeds.append(s)
-                item.append(np.full(len(s), i))
-                at.append(np.arange(len(s)))
-        none = np.empty(0, np.int64)
+                item.append(np.full(len(s), i, np.int32))
+                at.append(np.arange(len(s), dtype=np.int32))
+        none = np.empty(0, np.int32)
         seeds = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         order = np.argsort(seeds, kind="stable")
         self.seeds = seeds[order]
@@ -82,8 +90,8 @@ class Index:
         self.bits[(self.seeds >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
     def hits(self, h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Distinct rows (text, item, diagonal), for texts' tokens h[start:stop]."""
-        found = []
+        """Distinct rows (text, item, diagonal) with enough equal tokens, for texts' tokens h[start:stop]."""
+        found = [np.empty((0, 3), np.int64)]
         for mask in self.masks:
             s = masked(h, mask)
             if not len(s):
@@ -93,10 +101,36 @@ class Index:
             doc = np.searchsorted(stops, p, "right")
             ok = (hi > lo) & (p + len(mask) <= stops[np.minimum(doc, len(stops) - 1)])
             p, lo, n, doc = p[ok], lo[ok], (hi - lo)[ok], doc[ok]
-            if len(p):
-                k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                found.append(np.unique(np.stack([np.repeat(doc, n), self.item[k], np.repeat(p - starts[doc], n) - self.at[k]], 1), axis=0))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+            for i, j in pieces(n):
+                m = n[i:j]
+                k = np.repeat(lo[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                rows = np.stack([np.repeat(doc[i:j], m), self.item[k].astype(np.int64), np.repeat(p[i:j] - starts[doc[i:j]], m) - self.at[k]], 1)
+                found.append(self.equal_enough(rows, h, starts, stops))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def equal_enough(self, rows: np.ndarray, h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The rows (text, item, diagonal) on whose whole diagonal as many tokens are equal as any result needs."""
+        doc, item, diagonal = rows.T
+        a = np.maximum(0, -diagonal)
+        n = np.minimum(self.sizes[item], stops[doc] - starts[doc] - diagonal) - a
+        left, right = starts[doc] + diagonal + a, self.offsets[item] + a
+        keep = np.zeros(len(rows), bool)
+        for i, j in pieces(n):
+            m = n[i:j]
+            first = np.cumsum(m) - m
+            step = np.arange(m.sum()) - np.repeat(first, m)
+            same = h[np.repeat(left[i:j], m) + step] == self.flat[np.repeat(right[i:j], m) + step]
+            keep[i:j] = np.add.reduceat(same, first, dtype=np.int64) >= self.least[item[i:j]]
+        return rows[keep]
+
+
+def pieces(sizes: np.ndarray):
+    """Runs (first, last + 1) of sizes that add up to about PIECE."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PIECE, "right")))
+        yield i, j
+        i = j
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
@@ -112,9 +146,14 @@ def verified(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
     """(document start, item start, length, matches) if the overlap around a hit counts."""
     a = max(0, -diagonal)
     b = min(len(item), len(doc) - diagonal)
-    start, n, same = best_run(doc[a + diagonal : b + diagonal] == item[a:b])
-    if n and same >= min(LEAST_MATCHED, len(item)) and same >= IDENTITY * n:
+    equal = doc[a + diagonal : b + diagonal] == item[a:b]
+    start, n, same = best_run(equal)
+    if same >= LEAST_MATCHED and same >= IDENTITY * n:
         return a + diagonal + start, a + start, n, same
+    at = np.flatnonzero(equal)
+    if len(at) >= IDENTITY * len(item):
+        start, n = int(at[0]), int(at[-1] - at[0]) + 1
+        return a + diagonal + start, a + start, n, len(at)
     return None
 
 

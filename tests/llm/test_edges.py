@@ -214,6 +214,36 @@ def test_decontamination_in_any_case(spark):
     assert {r.doc_id for r in decontamination.decontaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()} <= {5}
 
 
+def test_decontamination_of_reworded_items():
+    """Every place of up to three replaced words that leaves three quarters of an item."""
+    from itertools import combinations
+
+    from fiberlake.llm import tokens
+
+    for n in range(decontamination.SHORTEST, 19):
+        words = [f"t{j}" for j in range(n)]
+        index = decontamination.Index([n], [" ".join(words).encode()])
+        gone = [c for k in range(4) for c in combinations(range(n), k)]
+        texts = [" ".join(["before", *(f"other{j}" if j in c else w for j, w in enumerate(words)), "after"]).encode() for c in gone]
+        h, counts, _ = tokens.words(texts, tokens.separators(True))
+        stops = np.cumsum(counts)
+        starts = stops - counts
+        found = {int(d) for d, i, diagonal in index.hits(h, starts, stops) if decontamination.verified(h[starts[d] : stops[d]], index.items[i], int(diagonal))}
+        assert {d for d, c in enumerate(gone) if 4 * len(c) <= n} <= found
+        assert all(4 * len(c) <= n or n - len(c) >= decontamination.LEAST_MATCHED for c in (gone[d] for d in found))
+
+
+def test_masks_miss_no_place():
+    from itertools import combinations
+
+    for n in range(decontamination.SHORTEST, 24):
+        masks = decontamination.LONG_MASKS if n >= decontamination.LONG else decontamination.SHORT_MASKS
+        held = [int(m, 2) << a for m in masks for a in range(n - len(m) + 1)]
+        for gone in combinations([1 << i for i in range(n)], n // 4):
+            left = (1 << n) - 1 - sum(gone)
+            assert any(left & x == x for x in held), (n, gone)
+
+
 def test_decontamination_in_blocks(spark, edge, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join("abcdefghijklm"[i : i + 5])) for i in range(9)], "item_id long, text string")
     whole = sorted(map(tuple, decontamination.overlaps(edge, bench).collect()))
