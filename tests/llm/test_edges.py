@@ -285,6 +285,21 @@ def test_html(spark):
     assert html_text.extract(df).count() == len(pages) and html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'>{}</div>", "<div class=has-sidebar>{}</div>", "<div class='site sidebar'>{}</div>", "<form id=aspnetForm>{}</form>", "<div id=search><div class=widget>{}</div></div>",
+        "{}<section id=comments><article><p>said</article></section>", "<div class=widget>{}<section id=comments><article><p>said</article></section></div>", "{}<article class=comment><p>said</article>",
+    ],
+)
+@pytest.mark.parametrize("tag", ["<article>", "<main class=search-page>", "<main class=search>"])
+def test_html_layout_wrappers(page, tag):
+    body = f"{tag}<h1>Title</h1><section id='related-work'><p>Earlier work</section><div class='ad-slot-1'>buy</div><div class='related-posts'>more</div><p>end</{tag[1:].split('>')[0].split()[0]}>"
+    found = html_text.blocks("<nav>menu</nav><body class='has-sidebar'>" + page.format(body) + "<footer>foot</footer>")
+    assert [t for inside, _, t in found if inside] == ["Title", "Earlier work", "end"]
+    assert {t for inside, kind, t in found if kind == html_text.STRUCTURE} >= {"menu", "buy", "more", "foot"}
+
+
 def test_pipeline(spark, tmp_path):
     insult = "idiot moron scum"
     clean = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20, 60)]
