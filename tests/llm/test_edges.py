@@ -300,6 +300,19 @@ def test_html_layout_wrappers(page, tag):
     assert {t for inside, kind, t in found if kind == html_text.STRUCTURE} >= {"menu", "buy", "more", "foot"}
 
 
+def test_html_repeats_inside_the_article(spark):
+    """A line in the articles of most pages of a host goes; passages that few share, and copies of an article, stay."""
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    shared = "a passage of several words that two of the pages share"
+    pages = [(i, f"http://a.org/{i}", f"<article><h1>Title {i}</h1><p>{own(i)}<p>{shared if i < 2 else own(100 + i)}<p>Share this story with all of your friends</article>") for i in range(5)]
+    pages += [(10 + i, f"http://b.org/{i}", f"<article><h1>Same</h1><p>{own(50)}</article>") for i in range(4)]
+    pages += [(20 + i, f"http://c.org/{i}", f"<article><p>{own(60 + i)}<p>Share this story</article>") for i in range(2)]
+    got = {r.page_id: r.text.split("\n") for r in html_text.extract(spark.createDataFrame(pages + pages[:1], "page_id long, url string, html string")).collect()}
+    assert all(got[i] == [f"Title {i}", own(i), shared if i < 2 else own(100 + i)] for i in range(5))
+    assert all(got[10 + i] == ["Same", own(50)] for i in range(4))
+    assert all(got[20 + i] == [own(60 + i), "Share this story"] for i in range(2))
+
+
 def test_pipeline(spark, tmp_path):
     insult = "idiot moron scum"
     clean = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20, 60)]
