@@ -49,7 +49,7 @@ def masked(h: np.ndarray, mask: str) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.full(n, np.uint64(int(mask, 2)), np.uint64)
-    c = tokens.powers(len(mask) + 2)
+    c = tokens._P ** np.arange(len(mask) + 2, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j, bit in enumerate(mask):
             if bit == "1":

@@ -29,6 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Masks of the first n bytes of eight.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def separators(punctuation: bool) -> np.ndarray:
     """Which bytes end a word: blanks, and ASCII characters other than letters and digits if asked for."""
     out = np.zeros(256, bool)
@@ -38,16 +42,6 @@ def separators(punctuation: bool) -> np.ndarray:
     return out
 
 
-_powers = _P ** np.arange(256, dtype=np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if n > len(_powers):
-        _powers = _P ** np.arange(2 * n, dtype=np.uint64)
-    return _powers
-
-
 def slices(texts: list[bytes]):
     """Runs of texts (first, last + 1) of about SLICE bytes."""
     first, size = 0, 0
@@ -61,7 +55,11 @@ def slices(texts: list[bytes]):
 
 
 def words(texts: list[bytes], ends: np.ndarray, prefixes: tuple[int, ...] = ()):
-    """(hash of each word, words of each text, hashes of the words' first bytes for each of prefixes); A-Z count as a-z."""
+    """(hash of each word, words of each text, hashes of the words' first bytes for each of prefixes, 8 at most); A-Z count as a-z.
+
+    A word is read as numbers of eight bytes. Each number is mixed with its place by itself before they are added up, so
+    that no repetitive pattern cancels out as it does in a polynomial modulo 2**64.
+    """
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
     inside = ~ends[raw]
@@ -73,13 +71,18 @@ def words(texts: list[bytes], ends: np.ndarray, prefixes: tuple[int, ...] = ()):
         none = np.empty(0, np.uint64)
         return none, per_text, [none for _ in prefixes]
     size = end - begin
-    chars = raw[inside].astype(np.uint64) + np.uint64(1)
-    offset = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
-    starts = np.cumsum(size) - size
+    pieces = (size + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    at = np.repeat(begin, pieces) + 8 * place
+    room = np.minimum(np.repeat(end, pieces) - at, 8)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    number = np.lib.stride_tricks.sliding_window_view(padded, 8)[at].copy().view("<u8")[:, 0].astype(np.uint64)
+    number &= _LOW[room]
     with np.errstate(over="ignore"):
-        terms = chars * powers(int(size.max()))[offset]
-        out = mix(np.add.reduceat(terms, starts) + size.astype(np.uint64))
-        heads = [mix(np.add.reduceat(np.where(offset < p, terms, np.uint64(0)), starts) + np.uint64(p << 32)) for p in prefixes]
+        out = np.add.reduceat(mix(mix(number ^ _P) + place.astype(np.uint64) * _P), first)
+        out = mix(out + size.astype(np.uint64) * _P)
+        heads = [mix((number[first] & _LOW[np.minimum(size, p)]) + np.uint64(p) * _P) for p in prefixes]
     return out, per_text, heads
 
 
