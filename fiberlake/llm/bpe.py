@@ -1,35 +1,40 @@
 """Byte-level BPE: overlapping chunk encoding, and decoding by concatenating raw bytes.
 
-A text is cut into chunks that overlap. Each chunk is pre-tokenised by itself (long texts: in rows of their own, dealt
-to all executors). Inside an overlap, the earlier chunk's pre-token boundaries and the later one's agree from some place
-on; there the streams are stitched. If they agree nowhere (one pre-token fills the overlap), the rest of the text is
-pre-tokenised from the last sure boundary. Then each pre-token is encoded, with a bounded cache, by merging its lowest-ranked pair.
+Every text is cut into chunks of CHUNK code points that overlap. Each chunk is pre-tokenised by itself. Inside an overlap,
+the earlier chunk's pre-token boundaries and the later one's agree from some place on; there the streams are stitched. If
+they agree nowhere (one pre-token fills the overlap), the rest is pre-tokenised from the last sure boundary. Then each
+pre-token is encoded, with a bounded cache, by merging its lowest-ranked pair.
 
-Null counts as empty; an empty text has no tokens. Ranks and pattern are parameters; the vocabulary file is read on
-the driver and broadcast: its size is that of the vocabulary, whatever the input.
+Texts of more than LONG code points are first cut into spans of that length, which overlap as well; spans are rows of
+their own, dealt to all executors, and their streams are stitched in the same way.
+
+Null counts as empty; an empty text has no tokens. Long texts meet their spans by a hash of the text, so equal ones share
+them. The pattern must match every code point, as those of byte-level vocabularies do. Ranks and pattern are parameters;
+the vocabulary file is read on the driver and broadcast: its size is that of the vocabulary, whatever the input.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
 import hashlib
 import heapq
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiberlake.llm.common import small_batches
 from fiberlake.llm.tokens import give_back
 
-CHUNK, OVERLAP = 65_536, 512
-#: Texts above this many code points are cut into rows.
-LONG = 1_000_000
+CHUNK, OVERLAP = 1_024, 48
+#: Code points of a span; texts above are cut into spans, each a row.
+LONG = 65_536
+#: Pre-tokens before a chunk's end whose boundaries the cut may have moved.
+UNSURE = 2
 CACHE = 70_000
 NONE = 1 << 60
 
@@ -100,41 +105,52 @@ def chunks(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
         at += size - overlap
 
 
-def boundaries(pattern: regex.Pattern, text: str, begin: int = 0) -> list[int]:
-    """Ends of the pre-tokens of a chunk, as places in the whole text."""
-    return [begin + m.end() for m in pattern.finditer(text)]
-
-
-def stitch(left: list[int], right: list[int], begin: int) -> list[int] | None:
-    """One stream of boundaries from those of two chunks, the second of which begins at `begin`; None if they never meet.
+def meeting(left: list[str], end: int, right: list[str], begin: int) -> tuple[int, int] | None:
+    """(pre-tokens of left, pre-tokens of right to leave out) where two streams share a boundary; None if they never do.
 
-    A match of the pattern depends on the text from its start on only, so all boundaries of a chunk from a true one on
-    are true, but for the last two, which the chunk's end may have moved.
+    left ends at place `end` of the text, right begins at `begin`. A match of the pattern depends on the text from its
+    start on only, so all boundaries of a chunk from a true one on are true, but for the last UNSURE.
     """
-    later = set(right)
-    for i in range(len(left) - 3, -1, -1):
-        if left[i] <= begin:
+    seen, at = {}, begin
+    for k, s in enumerate(right):
+        seen[at] = k
+        if at > end:
+            break
+        at += len(s)
+    else:
+        seen[at] = len(right)
+    at = end
+    for i in range(len(left), 0, -1):
+        if at <= begin:
             return None
-        if left[i] in later:
-            return left[: i + 1] + right[bisect.bisect_right(right, left[i]) :]
+        if i <= len(left) - UNSURE and at in seen:
+            return i, seen[at]
+        at -= len(left[i - 1])
     return None
 
 
-def joined(pattern: regex.Pattern, text: str, parts: list[tuple[int, list[int]]]) -> list[int]:
-    """Ends of all pre-tokens from the chunks' (begin, ends). Where streams don't meet, the rest is pre-tokenised from the last sure boundary."""
-    done = parts[0][1]
-    for begin, ends in parts[1:]:
-        met = stitch(done, ends, begin)
-        if met is None:
-            at = done[-3] if len(done) > 2 else 0
-            return done[:-2] + boundaries(pattern, text[at:], at)
-        done = met
+def joined(find: Callable[[str], list[str]], text: str, parts: Iterator[tuple[int, list[str]]]) -> list[str]:
+    """All pre-tokens from the chunks' (begin, pre-tokens). Where streams don't meet, the rest is pre-tokenised from the last sure boundary."""
+    done: list[str] = []
+    end = 0
+    for begin, own in parts:
+        stop = begin + sum(map(len, own))
+        if done:
+            met = meeting(done, end, own, begin)
+            if met is None:
+                return done[:-UNSURE] + find(text[end - sum(map(len, done[-UNSURE:])) :])
+            del done[met[0] :]
+            own = own[met[1] :]
+        done += own
+        end = stop
     return done
 
 
-def pretokenise(pattern: regex.Pattern, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Ends of all pre-tokens of a text, chunk by chunk."""
-    return joined(pattern, text, [(begin, boundaries(pattern, text[begin:end], begin)) for begin, end in chunks(len(text), size, overlap)])
+def pretokenise(find: Callable[[str], list[str]], text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """All pre-tokens of a text, chunk by chunk."""
+    if len(text) <= size:
+        return find(text)
+    return joined(find, text, ((begin, find(text[begin:end])) for begin, end in chunks(len(text), size, overlap)))
 
 
 def narrow(pattern: str) -> re.Pattern | None:
@@ -187,17 +203,18 @@ class Codec:
                 self.cache[s] = got
         return got
 
-    def encode(self, text: str, ends: list[int] | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        cached, piece, out, at = self.cache.get, self.piece, [], 0
-        if ends is None and len(text) <= size:
-            plain = self.narrow is not None and (text.isascii() or not WIDE.search(text))
-            for s in (self.narrow if plain else self.pattern).findall(text):
-                got = cached(s)
-                out += piece(s) if got is None else got
-            return out
-        for end in pretokenise(self.pattern, text, size, overlap) if ends is None else ends:
-            out += piece(text[at:end])
-            at = end
+    def finder(self, text: str) -> Callable[[str], list[str]]:
+        plain = self.narrow is not None and (text.isascii() or not WIDE.search(text))
+        return (self.narrow if plain else self.pattern).findall
+
+    def encode(self, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+        return self.ids(pretokenise(self.finder(text), text, size, overlap))
+
+    def ids(self, pieces: list[str]) -> list[int]:
+        cached, piece, out = self.cache.get, self.piece, []
+        for s in pieces:
+            got = cached(s)
+            out += piece(s) if got is None else got
         return out
 
     def decode(self, ids) -> bytes:
@@ -205,46 +222,61 @@ class Codec:
 
 
 def encode(documents: DataFrame, ranks_path: str, pattern: str, long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
-    """document (a struct of the documents' columns), ids (array<int>) and decoded (binary); digest: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    small_batches(documents.sparkSession)
+    """document (a struct of the documents' columns), ids (array<int>) and decoded (binary), n_chunks; digest: doc_id, n_tokens, ids_sha256, decoded_sha256, n_chunks."""
     ranks = documents.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     docs = documents.select("doc_id", "text") if digest else documents
-    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_chunks int" if digest else "ids array<int>, decoded binary, n_chunks int"
     made = [x.split()[0] for x in schema.split(", ")]
 
-    def row(codec: Codec, ids: list[int]) -> tuple:
+    def row(codec: Codec, ids: list[int], n: int) -> tuple:
         raw = codec.decode(ids)
-        return (len(ids), hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()) if digest else (ids, raw)
+        return (len(ids), hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), n) if digest else (ids, raw, n)
 
     @F.pandas_udf(schema)
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(ranks.value, pattern)
         for texts in batches:
-            yield pd.DataFrame([row(codec, codec.encode(t, size=chunk, overlap=overlap)) for t in texts], columns=made)
+            yield pd.DataFrame([row(codec, codec.encode(t, chunk, overlap), n_chunks(len(t), chunk, overlap)) for t in texts], columns=made)
         del codec
         give_back()
 
+    @F.pandas_udf("array<string>")
+    def cut_up(texts: pd.Series) -> pd.Series:
+        return pd.Series([[t[begin:end] for begin, end in chunks(len(t), long, overlap)] for t in texts], dtype=object)
+
     @F.pandas_udf("array<int>")
-    def ends_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        found = regex.compile(pattern)
-        for texts, begins in batches:
-            yield pd.Series([boundaries(found, t, int(b)) for t, b in zip(texts, begins)], dtype=object)
+    def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = Codec({}, pattern)
+        for spans in batches:
+            yield pd.Series([[len(s) for s in pretokenise(codec.finder(t), t, chunk, overlap)] for t in spans], dtype=object)
 
     @F.pandas_udf(schema)
-    def from_chunks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def from_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         codec = Codec(ranks.value, pattern)
         for texts, parts in batches:
-            yield pd.DataFrame([row(codec, codec.encode(t, joined(codec.pattern, t, [(int(p["begin"]), [int(x) for x in p["ends"]]) for p in ps]))) for t, ps in zip(texts, parts)], columns=made)
+            out = []
+            for t, ps in zip(texts, parts):
+                spans = ((p["no"] * (long - overlap), sliced(t, p["no"] * (long - overlap), p["lengths"])) for p in ps)
+                n = sum(n_chunks(end - begin, chunk, overlap) for begin, end in chunks(len(t), long, overlap))
+                out.append(row(codec, codec.ids(joined(codec.finder(t), t, spans)), n))
+            yield pd.DataFrame(out, columns=made)
 
     text = F.coalesce("text", F.lit(""))
     given = docs.select(F.struct("*").alias("document"), text.alias("_t"), (F.char_length(text) > long).alias("_long"))
     short = given.where("not _long").select("document", whole("_t").alias("_o"))
-    step = chunk - overlap
-    spans = F.expr(f"transform(sequence(0L, greatest(0L, ceil((char_length(_t) - {chunk}) / {step}.0D))), i -> struct(cast(i * {step} as int) as begin, cast(least(char_length(_t), i * {step} + {chunk}) as int) as end))")
-    lengthy = given.where("_long").withColumn("_uid", F.monotonically_increasing_id())
-    cut = lengthy.select("_uid", "_t", F.explode(spans).alias("_s")).select("_uid", "_s.begin", F.expr("substring(_t, _s.begin + 1, _s.end - _s.begin)").alias("_c"))
-    ends = cut.repartition("_uid", "begin").select("_uid", "begin", ends_of("_c", "begin").alias("ends"))
-    parts = ends.groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("begin", "ends"))).alias("_p"))
-    stitched = lengthy.join(parts, "_uid").select("document", from_chunks("_t", "_p").alias("_o"))
-    out = short.unionByName(stitched)
+    lengthy = given.where("_long").withColumn("_key", F.sha2("_t", 256))
+    spans = lengthy.select("_key", F.posexplode(cut_up("_t")).alias("no", "_c")).repartition("_key", "no")
+    found = spans.select("_key", "no", lengths("_c").alias("lengths"))
+    parts = found.groupBy("_key", "no").agg(F.first("lengths").alias("lengths")).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("no", "lengths"))).alias("_p"))
+    out = short.unionByName(lengthy.join(parts, "_key").select("document", from_spans("_t", "_p").alias("_o")))
     return out.select("document.doc_id", "_o.*") if digest else out.select("document", "_o.*")
+
+
+def n_chunks(n: int, size: int, overlap: int) -> int:
+    return 1 + max(0, -(-(n - size) // (size - overlap)))
+
+
+def sliced(text: str, begin: int, sizes) -> list[str]:
+    """The pre-tokens of a span from their lengths."""
+    ends = list(accumulate(map(int, sizes), initial=begin))
+    return [text[a:b] for a, b in zip(ends, ends[1:])]
