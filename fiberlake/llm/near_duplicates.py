@@ -7,14 +7,15 @@ Plan:
    first with one of the second is a table key: m*m keys of 2*rows minhashes from only 2*m*rows hash functions.
 3. Each key's smallest document leads its members (a partial aggregation, then a join that Spark may split by skew).
    Only (leader, member) rows are made: never all pairs of a key.
-4. Members of a leader meet in blocks of bounded total set size. Inside a block, sets are compared exactly with the
-   leader and then with each other where they are not yet of one class; only links that join classes are returned.
-5. Classes are the connected components of the links, by label propagation with pointer jumping in Spark; labels are
+4. Every member is compared exactly with its leader: work and data in proportion to the members. Jaccard distance is a
+   metric, so a member further from the leader than twice the allowed distance links with none of the leader's.
+5. Members that are not linked to their leader are compared with each other, and the nearer ones with the linked ones, in
+   blocks of bounded total set size. Only links that join classes are returned.
+6. Classes are the connected components of the links, by label propagation with pointer jumping in Spark; labels are
    cut in the shared checkpoint folder.
 
 A pair at the threshold shares no key with probability below 0.0005 for the default parameters. Nothing is capped: a
-leader with many members gets more blocks, and all pairs of its blocks are visited, unless all its members were linked
-to it in the first pass.
+leader with many unlinked members gets more blocks, and all pairs of blocks that can hold a link are visited.
 
 Null, empty and blank texts have an empty set and are linked with nothing. Repeated rows are each returned; where rows of
 one doc_id have different texts, they are one document, and the set with the smallest key stands for its links. Rows with
@@ -31,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiberlake.llm import tokens
-from fiberlake.llm.common import cut, small_batches
+from fiberlake.llm.common import cut
 
 #: Shingles and sets of one block of members at most, on average; two blocks meet in one task.
 BLOCK_SHINGLES, BLOCK_SETS = 400_000, 2_000
-#: As a power of two.
+#: As a power of two: the largest filter that is broadcast (8 MB). With more ids, ids are joined to the texts instead.
 FILTER_BITS = 26
+#: What a member is to its leader: too far to link with those that are linked, neither, or linked.
+FAR, BETWEEN, LINKED = 0, 1, 2
 SEED = 20_24
 #: Stands for a null doc_id inside tasks.
 NO_ID = 2**63 - 1
@@ -114,12 +117,12 @@ def table_keys(reps: DataFrame, m: int) -> DataFrame:
     return reps.select("doc_id", "keys").mapInPandas(run, "doc_id long, key long")
 
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """Bits that are set for every doc_id of ids and for few others: 16 bits an id, FILTER_BITS at most.
+def id_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """Bits that are set for each of the n doc_ids of ids and for few others: 16 bits an id.
 
-    The bits are gathered in Spark by word; the driver gets FILTER_BITS / 64 rows at most, however many ids there are.
+    The bits are gathered in Spark by word; the driver gets FILTER_BITS / 64 rows at most.
     """
-    bits = 1 << min(FILTER_BITS, max(10, (16 * ids.count()).bit_length()))
+    bits = 1 << max(10, (16 * n).bit_length())
     at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     words = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / F.lit(64)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b"))
     out = np.zeros(bits // 64, np.int64)
@@ -129,20 +132,31 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(documents: DataFrame, k: int, ids: DataFrame) -> DataFrame:
-    """doc_id, shingles (sorted 64-bit hashes as bytes) of the documents in ids (doc_id, k1, k2). Texts are not shuffled: a filter of fixed size drops nearly all others beforehand."""
-    bits = documents.sparkSession.sparkContext.broadcast(id_filter(ids))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * len(bits.value)))
+    """doc_id, shingles (sorted 64-bit hashes as bytes) of the documents in ids (doc_id, k1, k2).
+
+    As long as a filter of the ids stays within FILTER_BITS, it is broadcast and drops nearly all other texts before they
+    are read by Python, and no text is shuffled. Beyond, texts and ids meet in a join first. An exact semi-join follows.
+    """
+    n = ids.count()
+    docs = documents.select("doc_id", "text")
+    bits = None
+    if (16 * n).bit_length() <= FILTER_BITS:
+        bits = documents.sparkSession.sparkContext.broadcast(id_filter(ids, n))
+        docs = docs.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(64 * len(bits.value))))
+    else:
+        docs = docs.join(ids.select("doc_id"), "doc_id", "left_semi").withColumn("at", F.lit(0).cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tokens.give_back()
-            at = pdf["at"].to_numpy(np.int64)
-            pdf = pdf[(bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+            if bits is not None:
+                at = pdf["at"].to_numpy(np.int64)
+                pdf = pdf[(bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
             sets = list(word_sets(pdf["text"], k))
             one, two = zip(*map(set_key, sets)) if sets else ((), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "k1": np.array(one, np.int64), "k2": np.array(two, np.int64), "shingles": pd.Series([s.tobytes() for s in sets], dtype=object)})
 
-    sets = documents.select("doc_id", "text", place.alias("at")).mapInPandas(run, "doc_id long, k1 long, k2 long, shingles binary")
+    sets = docs.mapInPandas(run, "doc_id long, k1 long, k2 long, shingles binary")
     return sets.join(ids, ["doc_id", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "shingles")
 
 
@@ -171,53 +185,67 @@ class Sets:
         return out
 
 
-def block_links(ids: np.ndarray, blobs: list[bytes], first: int, percent: int, sides: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links that join classes among one block, or between two (sides says which a set is of). first: index of the leader, in every block."""
+def block_links(ids: np.ndarray, blobs: list[bytes], kinds: np.ndarray, rows: np.ndarray, cols: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between rows and cols (marks of the sets of a block, the same ones or disjoint) that join classes of the block."""
     sets, label, out = Sets(blobs), np.arange(len(ids)), []
-
-    def join(i: int, js: np.ndarray) -> None:
-        for j in js:
+    for i in np.flatnonzero(rows):
+        other = cols & (label != label[i]) & (100 * sets.sizes >= percent * sets.sizes[i]) & (100 * sets.sizes[i] >= percent * sets.sizes)
+        if cols[i]:
+            other[:i] = False
+        if kinds[i] == FAR:
+            other &= kinds != LINKED
+        if not other.any():
+            continue
+        for j in np.flatnonzero(other & linked(sets.shared(i), sets.sizes[i], sets.sizes, percent)):
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
                 out.append((int(ids[i]), int(ids[j])))
-
-    counts = sets.shared(first)
-    near = counts / (sets.sizes[first] + sets.sizes - counts)
-    hit = linked(counts, sets.sizes[first], sets.sizes, percent)
-    join(first, np.flatnonzero(hit))
-    # Jaccard distance is a metric: a set beyond twice the allowed distance from the leader links with none of the leader's.
-    far = near < 2 * (percent / 100) - 1 - 1e-9
-    for i in np.flatnonzero(~hit):
-        other = (label != label[i]) & ~(hit & far[i])
-        if sides is not None:
-            other &= sides != sides[i]
-        if other.any():
-            counts = sets.shared(i)
-            join(i, np.flatnonzero(other & linked(counts, sets.sizes[i], sets.sizes, percent)))
     return out
 
 
+def against_leaders(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """leader, doc_id, n_shingles, kind of each member, by exact comparison with its leader."""
+    heads = sets.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("head"))
+    met = led.join(sets, "doc_id").join(heads, "leader")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kinds = np.empty(len(pdf), np.int8)
+            for i, (own, head) in enumerate(zip(pdf["shingles"], pdf["head"])):
+                a, b = np.frombuffer(own, np.uint64), np.frombuffer(head, np.uint64)
+                n = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                union = len(a) + len(b) - n
+                kinds[i] = LINKED if 100 * n >= percent * union else BETWEEN if 100 * n >= (2 * percent - 100) * union else FAR
+            yield pdf[["leader", "doc_id", "n_shingles"]].assign(kind=kinds)
+
+    return met.select("leader", "doc_id", "n_shingles", "shingles", "head").mapInPandas(run, "leader long, doc_id long, n_shingles long, kind byte")
+
+
 def confirm(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: exact links among the members of each leader. led: leader, doc_id, n_shingles (the leader is one of its members)."""
-    blocks = led.groupBy("leader").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"))
-    dealt = led.join(blocks, "leader").withColumn("part", F.pmod(F.xxhash64("doc_id", "leader"), F.col("blocks")).cast("int"))
-    # every unordered pair of parts; a leader is sent to each of them
-    pairs = F.expr("transform(sequence(0, blocks - 1), p -> struct(least(p, part) as x, greatest(p, part) as y))")
-    every = F.expr("flatten(transform(sequence(0, blocks - 1), x -> transform(sequence(x, blocks - 1), y -> struct(x as x, y as y))))")
-    small = F.col("blocks") == 1
-    met = dealt.withColumn("at", F.explode(F.when(small, F.expr("array(struct(0 as x, 0 as y))")).when(F.col("doc_id") == F.col("leader"), every).otherwise(pairs)))
-    met = met.select("leader", "doc_id", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "part").join(sets, "doc_id")
+    """a, b: exact links among the members of each leader. led: leader, doc_id, n_shingles (without the leader itself)."""
+    star = cut(against_leaders(led, sets, percent))
+    loose, between = F.col("kind") != LINKED, F.col("kind") == BETWEEN
+    parts = lambda which: F.greatest(F.ceil(F.sum(F.when(which, F.col("n_shingles"))) / BLOCK_SHINGLES), F.ceil(F.count(F.when(which, 1)) / BLOCK_SETS)).cast("int")
+    work = star.groupBy("leader").agg(parts(loose).alias("r"), F.coalesce(parts(~loose), F.lit(0)).alias("c"), F.count(F.when(loose, 1)).alias("_loose"), F.count(F.when(between, 1)).alias("_between"))
+    work = work.withColumn("c", F.when(F.col("_between") > 0, F.col("c")).otherwise(0)).where("_loose > 1 or c > 0")
+    # a table of its own, so that Spark may split the members of one leader among tasks
+    dealt = star.join(cut(work.select("leader", "r", "c")), "leader").withColumn("part", F.pmod(F.xxhash64("doc_id", "leader"), F.when(loose, F.col("r")).otherwise(F.greatest("c", F.lit(1)))).cast("int"))
+    # loose parts are 0 to r - 1 and meet each other once; linked ones are r to r + c - 1 and meet the loose ones
+    span = lambda a, b, x, y: f"if({b} > {a}, transform(sequence({a}, {b} - 1), i -> struct({x} as x, {y} as y)), cast(array() as array<struct<x: int, y: int>>))"
+    as_loose = F.expr(f"concat({span('part', 'r', 'part', 'i')}, {span('0', 'part', 'i', 'part')}, {span('r', f'if(kind = {BETWEEN}, r + c, r)', 'part', 'i')})")
+    as_linked = F.expr(span("0", "if(c > 0, r, 0)", "i", "r + part"))
+    met = dealt.withColumn("at", F.explode(F.when(loose, as_loose).otherwise(as_linked)))
+    met = met.select("leader", "doc_id", "kind", F.col("at.x").alias("x"), F.col("at.y").alias("y"), F.when(loose, F.col("part")).otherwise(F.col("r") + F.col("part")).alias("part")).join(sets, "doc_id")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        leader, x, y = key
-        tokens.give_back()
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
-        ids = pdf["doc_id"].to_numpy(np.int64)
-        first = int(np.flatnonzero(ids == leader)[0])
-        found = block_links(ids, list(pdf["shingles"]), first, percent, pdf["part"].to_numpy() if x != y else None) if len(ids) > 1 else []
+        _, x, y = key
+        pdf = pdf.sort_values("doc_id")
+        part = pdf["part"].to_numpy()
+        found = block_links(pdf["doc_id"].to_numpy(np.int64), list(pdf["shingles"]), pdf["kind"].to_numpy(), part == x, part == y, percent) if len(pdf) > 1 else []
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    return met.groupBy("leader", "x", "y").applyInPandas(run, "a long, b long")
+    among = met.groupBy("leader", "x", "y").applyInPandas(run, "a long, b long")
+    return star.where(~loose).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).union(among)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,7 +269,6 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     Links: word shingles of k words, 100 * |intersection| >= percent * |union|; words are runs of non-blank characters
     with A-Z lower-cased.
     """
-    small_batches(documents.sparkSession)
     rows, m = plan_tables(percent / 100)
     docs = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     seen = cut(summarise(docs, k, rows, m))
@@ -251,12 +278,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     # one set for each document, also where rows of one doc_id have different texts
     reps = reps.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n_shingles", "keys")).alias("r")).select("doc_id", "r.*")
     keyed = table_keys(reps, m)
-    leaders = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader")
-    member = keyed.join(leaders, "key").where("doc_id <> leader").select("leader", "doc_id").distinct()
-    led = member.union(member.select("leader", F.col("leader").alias("doc_id")).distinct())
+    leaders = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("key", "leader"))
+    led = keyed.join(leaders, "key").where("doc_id <> leader").select("leader", "doc_id").distinct()
     led = cut(led.join(reps.select("doc_id", "n_shingles"), "doc_id").select("leader", "doc_id", "n_shingles"))
-    involved = reps.join(led.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "k1", "k2")
-    sets = shingle_sets(docs, k, involved)
+    involved = led.select("doc_id").union(led.select("leader")).distinct()
+    sets = cut(shingle_sets(docs, k, cut(reps.join(involved, "doc_id", "left_semi").select("doc_id", "k1", "k2"))))
     classes = components(confirm(led, sets, percent))
     by_set = equal.join(classes, equal.rep == classes.doc_id, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("_c"))
     out = seen.join(by_set, ["k1", "k2", "n_shingles"], "left")
