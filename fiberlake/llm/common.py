@@ -29,16 +29,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Whole texts go to Python in batches of this size, where the session still has Spark's defaults: an executor of 3 GB holds several at once.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
-
-
-def small_batches(spark: SparkSession) -> None:
-    for key, (default, ours) in BATCHES.items():
-        if spark.conf.get(key, None) == default:
-            spark.conf.set(key, ours)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

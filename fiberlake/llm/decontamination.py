@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiberlake.llm import tokens
-from fiberlake.llm.common import small_batches
 
 #: Fixed masks: 1 is compared, 0 ignored. For items of fewer than LONG tokens, and for others.
 SHORT_MASKS = ("1111", "11011", "10111", "11101", "111001")
@@ -160,7 +159,6 @@ def verified(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, n_tokens, n_matched: the best overlap of each document and item that have one."""
     spark = documents.sparkSession
-    small_batches(spark)
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1

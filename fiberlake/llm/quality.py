@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiberlake.llm import tokens
-from fiberlake.llm.common import small_batches
 from fiberlake.llm.labelled import sample
 from fiberlake.llm.linear import best_cut, bradley_terry, sigmoid
 
@@ -89,7 +88,6 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model | None:
 
 
 def train(documents: DataFrame, labels: DataFrame, training: Column, most: int = SAMPLE) -> Model | None:
-    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

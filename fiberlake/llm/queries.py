@@ -50,7 +50,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = warc.records(table(spark, sf_dir, "pages"))
-    return warc.audit(warc.tree(recs), warc.tree(warc.damaged_copy(recs)))
+    return warc.audit(warc.tree(warc.placed(warc.measured(recs))), warc.tree(warc.placed(warc.measured(warc.damaged_copy(recs)))))
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

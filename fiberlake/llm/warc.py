@@ -4,8 +4,9 @@ Pages become WARC response records, laid out one after the other in archives of
 that no archive grows with the input. A replica is audited without comparing its records one by one: each record is a
 leaf (its hash, and the range of offsets that it fills), FAN neighbouring nodes are hashed into a parent that covers
 their ranges, up to one root for each archive. Roots of two replicas are compared first, then only the children of nodes
-that differ, level by level. All steps are DataFrame joins and aggregations; trees are cut in the shared checkpoint
-folder, since each level reads them.
+that differ, level by level. Records are measured and hashed where they are read; only sizes and hashes are sorted
+and numbered. All steps are DataFrame joins and aggregations; trees are cut in the shared checkpoint folder, since each
+level reads them.
 
 Null url or html count as empty. Repeated rows are records of their own. A record that only one replica has is reported
 as missing there. An empty table has no roots and no damage.
@@ -23,24 +24,32 @@ LEVELS = 3  # FAN ** LEVELS == ARCHIVE
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id, archive, no (place in the archive), record (a WARC response record; hashes and offsets are of its UTF-8 bytes)."""
-    order = Ordering(pages, "page_id")
-    keyed = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    numbered = order.numbered(keyed, ["url", "html"])
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"))
-    return numbered.select("page_id", F.floor(F.col("row_number") / F.lit(ARCHIVE)).alias("archive"), (F.col("row_number") % ARCHIVE).cast("int").alias("no"), F.concat(head, F.col("html"), F.lit("\r\n\r\n")).alias("record"))
+    """page_id, key (stands for the page's url and html), record (a WARC response record; hashes and offsets are of its UTF-8 bytes)."""
+    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    return pages.select("page_id", F.xxhash64(url, html).alias("key"), F.concat(head, html, F.lit("\r\n\r\n")).alias("record"))
 
 
-def leaves(recs: DataFrame) -> DataFrame:
+def measured(recs: DataFrame) -> DataFrame:
+    """page_id, key, size, hash: what an audit needs of a record. Only these narrow rows are moved."""
+    return recs.select("page_id", "key", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("hash"))
+
+
+def placed(slim: DataFrame) -> DataFrame:
+    """slim with archive and no (place in the archive), by page_id and key."""
+    numbered = Ordering(slim, "page_id").numbered(slim, ["key"])
+    return numbered.withColumns({"archive": F.floor(F.col("row_number") / F.lit(ARCHIVE)), "no": (F.col("row_number") % ARCHIVE).cast("int")}).drop("row_number")
+
+
+def leaves(put: DataFrame) -> DataFrame:
     """archive, level 0, node, hash, lo, hi (range of offsets), page_id."""
-    slim = recs.select("page_id", "archive", "no", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("hash"))
     w = Window.partitionBy("archive").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    return slim.withColumn("hi", F.sum("size").over(w)).select("archive", F.lit(0).alias("level"), F.col("no").alias("node"), "hash", (F.col("hi") - F.col("size")).alias("lo"), "hi", "page_id")
+    return put.withColumn("hi", F.sum("size").over(w)).select("archive", F.lit(0).alias("level"), F.col("no").alias("node"), "hash", (F.col("hi") - F.col("size")).alias("lo"), "hi", "page_id")
 
 
-def tree(recs: DataFrame) -> DataFrame:
-    """All nodes of the archives' trees: a parent hashes its children's places, hashes and lengths in order of offset."""
-    out = level = cut(leaves(recs))
+def tree(put: DataFrame) -> DataFrame:
+    """put: placed records. All nodes of the archives' trees: a parent hashes its children's places, hashes and lengths in order of offset."""
+    out = level = cut(leaves(put))
     for k in range(1, LEVELS + 1):
         child = F.concat_ws(":", F.col("node"), F.col("hash"), F.col("hi") - F.col("lo"))
         level = (

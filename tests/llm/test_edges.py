@@ -260,17 +260,26 @@ def test_warc(spark):
     page = lambda i: f"<p>page {i} é</p>"
     rows = [(i, f"http://h/{i}", page(i), "t", "h") for i in range(40)] + [(None, None, None, "t", "h"), (3, None, "", "t", "h"), (3, None, "", "t", "h")]
     pages = spark.createDataFrame(rows, PAGES)
-    recs = warc.records(pages).cache()
-    assert recs.count() == 43
-    same = warc.audit(warc.tree(recs), warc.tree(recs))
+    put = warc.placed(warc.measured(warc.records(pages))).cache()
+    assert put.count() == 43
+    same = warc.audit(warc.tree(put), warc.tree(put))
     assert same.count() == 0
-    hurt = recs.selectExpr("page_id", "archive", "no", "case when no = 17 then concat(record, 'x') when no = 30 then upper(record) else record end as record").where("no <> 42")
-    found = sorted((r.record_no, r.damage) for r in warc.audit(warc.tree(recs), warc.tree(hurt)).collect())
+    hurt = put.selectExpr("page_id", "archive", "no", "if(no = 17, size + 1, size) as size", "if(no in (17, 30), sha2(hash, 256), hash) as hash").where("no <> 42")
+    found = sorted((r.record_no, r.damage) for r in warc.audit(warc.tree(put), warc.tree(hurt)).collect())
     assert found == [(17, "length"), (30, "content"), (42, "missing in replica")]
-    nothing = warc.records(pages.limit(0))
+    nothing = warc.placed(warc.measured(warc.records(pages.limit(0))))
     assert nothing.count() == 0 and warc.audit(warc.tree(nothing), warc.tree(nothing)).count() == 0
 
 
+def test_warc_with_repeated_and_missing_ids(spark):
+    """Rows of one page_id, or of none, keep their places in a damaged replica."""
+    rows = [(1, f"http://h/{i}", f"<p>{i}</p>", "t", "h") for i in range(30)] + [(None, None, f"<p>{i}</p>", "t", "h") for i in range(30)]
+    recs = warc.records(spark.createDataFrame(rows, PAGES))
+    hurt = recs.selectExpr("page_id", "key", "if(record like '%<p>7</p>%', concat(record, 'x'), record) as record")
+    sides = [warc.tree(warc.placed(warc.measured(x))) for x in (recs, hurt)]
+    assert sorted(r.damage for r in warc.audit(*sides).collect()) == ["length", "length"]
+
+
 def test_html(spark):
     menu = "Home News Sport Weather Travel Food Contact"
     pages = [
