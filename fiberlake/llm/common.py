@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one ordered bucket at most, on average; a bucket is sorted in one task.
-ROWS_PER_BUCKET = 500_000
+#: Rows and bytes of one ordered bucket at most, on average; a bucket is sorted in one task.
+ROWS_PER_BUCKET, BYTES_PER_BUCKET = 500_000, 256 << 20
 LEAST_LONG = -(2**63)
 
 
@@ -50,11 +50,11 @@ class Ordering:
     for each bucket, and no bucket needs the rows of another.
     """
 
-    def __init__(self, keys: DataFrame, key: str, buckets: int | None = None):
-        spark, rows = keys.sparkSession, None
-        if buckets is None:
-            rows = keys.count()
-            buckets = max(4 * shuffle_width(spark), math.ceil(rows / ROWS_PER_BUCKET)) if rows else 1
+    def __init__(self, keys: DataFrame, key: str, wide: str | None = None):
+        """wide: a column of texts that moves with the rows; its bytes count for the number of buckets."""
+        size = F.coalesce(F.sum(F.octet_length(wide)), F.lit(0)) if wide else F.lit(0)
+        rows, bytes_ = keys.agg(F.count(F.lit(1)), size).first()
+        buckets = max(4 * shuffle_width(keys.sparkSession), math.ceil(rows / ROWS_PER_BUCKET), math.ceil(bytes_ / BYTES_PER_BUCKET)) if rows else 1
         found = (
             keys.select(self.sort_key(key).alias("_k"))
             .repartitionByRange(buckets, "_k")

@@ -4,25 +4,28 @@ Fixed masks pick some positions of a window of tokens and ignore the others, so
 replaced still shares hashes with the benchmark item. Hashes of all windows of all documents are joined with those of
 the items; around each hit, document and item are compared token by token on the hit's diagonal. The best run (+1 for an
 equal token, -PENALTY for another) is reported if it is long and equal enough; otherwise the whole overlap, from its first
-to its last equal token, if it has IDENTITY of the item's tokens. The masks miss no such place: any IDENTITY of 5 to 10
+to its last equal token, if it has IDENTITY of the item's tokens; of overlaps that share tokens of a document, the fullest.
+Items of fewer than SHORTEST tokens must be there token by token (their mask ignores no position). The masks miss no such place: any IDENTITY of 5 to 10
 tokens holds one of SHORT_MASKS, and of 11 to 23 tokens one of LONG_MASKS; longer ones can be cut into stretches of 12 to
 23, of which one is as equal as the whole.
 
 The item index is broadcast in blocks of at most BLOCK_BYTES of item text; a larger benchmark takes more passes over the
-documents. Documents are never shuffled. Items of fewer than SHORTEST tokens occur by chance and are not searched. Null and empty texts have no overlap; repeated rows are reported
+documents. Documents are never shuffled. Items without tokens are in no document; null and empty texts have no overlap; repeated rows are reported
 once each; null ids are returned as null. Case and composition of characters don't count, in any script; positions are
 those of the folded text's tokens.
 """
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiberlake.llm import tokens
@@ -56,6 +59,11 @@ def masked(h: np.ndarray, mask: str) -> np.ndarray:
         return tokens.mix(out)
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks that are applied to an item of n tokens."""
+    return LONG_MASKS if n >= LONG else SHORT_MASKS if n >= SHORTEST else ("1" * n,) if n else ()
+
+
 class Index:
     """Seeds of some items."""
 
@@ -67,14 +75,11 @@ class Index:
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate([*self.items, np.empty(0, np.uint64)])
-        self.least = np.minimum(LEAST_MATCHED, np.ceil(IDENTITY * self.sizes).astype(np.int64))
-        masks = {False: SHORT_MASKS, True: LONG_MASKS}
-        self.masks = [m for long in masks if any(len(x) >= SHORTEST and (len(x) >= LONG) == long for x in self.items) for m in masks[long]]
+        self.least = np.where(self.sizes < SHORTEST, self.sizes, np.minimum(LEAST_MATCHED, np.ceil(IDENTITY * self.sizes).astype(np.int64)))
+        self.masks = sorted({m for x in self.items for m in masks_of(len(x))})
         seeds, item, at = [], [], []
         for i, x in enumerate(self.items):
-            if len(x) < SHORTEST:
-                continue
-            for mask in masks[len(x) >= LONG]:
+            for mask in masks_of(len(x)):
                 s = masked(x, mask)
                 seeds.append(s)
                 item.append(np.full(len(s), i, np.int32))
@@ -150,50 +155,81 @@ def verified(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
     if same >= LEAST_MATCHED and same >= IDENTITY * n:
         return a + diagonal + start, a + start, n, same
     at = np.flatnonzero(equal)
-    if len(at) >= IDENTITY * len(item):
+    if len(at) >= (IDENTITY if len(item) >= SHORTEST else 1) * len(item):
         start, n = int(at[0]), int(at[-1] - at[0]) + 1
         return a + diagonal + start, a + start, n, len(at)
     return None
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, doc_start, item_start, n_tokens, n_matched: the best overlap of each document and item that have one."""
-    spark = documents.sparkSession
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The overlaps of a document and an item without those that share document tokens with a fuller one (then an earlier one)."""
+    out: list[tuple[int, int, int, int]] = []
+    for x in sorted(set(found), key=lambda x: (-x[3], x[0], x[1], x[2])):
+        i = bisect.bisect(out, x)
+        if (i == 0 or out[i - 1][0] + out[i - 1][2] <= x[0]) and (i == len(out) or x[0] + x[2] <= out[i][0]):
+            out.insert(i, x)
+    return out
+
+
+def search(x: Index, texts: list[bytes]) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]]]]:
+    """(text number, item number, overlaps) for each text and item that have any."""
+    ends = tokens.separators(True)
+    for lo, hi in tokens.slices(texts):
+        h, counts, _ = tokens.words(texts[lo:hi], ends)
+        stops = np.cumsum(counts)
+        starts = stops - counts
+        found: dict[tuple[int, int], list] = {}
+        for d, i, diagonal in x.hits(h, starts, stops).tolist():
+            if got := verified(h[starts[d] : stops[d]], x.items[i], diagonal):
+                found.setdefault((d, i), []).append(got)
+        for (d, i), each in found.items():
+            yield lo + d, i, apart(each)
+
+
+def indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The item index, in blocks of BLOCK_BYTES of text or less."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES) or 1
-    schema = "doc_id long, item_id long, doc_start int, item_start int, n_tokens int, n_matched int"
-
-    def against(block: int) -> DataFrame:
+    for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         rows = sorted(rows, key=lambda r: (r.item_id is not None, r.item_id or 0, r.text))
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], tokens.as_bytes(folded(r.text) for r in rows)))
-        ends = tokens.separators(True)
+        yield spark.sparkContext.broadcast(Index([r.item_id for r in rows], as_tokens(r.text for r in rows)))
+
 
+def as_tokens(texts) -> list[bytes]:
+    return tokens.as_bytes(folded(t) if isinstance(t, str) else None for t in texts)
+
+
+def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, doc_start, item_start, n_tokens, n_matched: all overlaps of each document and item; those of one item don't share tokens of the document."""
+    schema = "doc_id long, item_id long, doc_start int, item_start int, n_tokens int, n_matched int"
+
+    def against(index: Broadcast) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = index.value
             for pdf in batches:
                 tokens.give_back()
-                texts, out = tokens.as_bytes(folded(t) if isinstance(t, str) else None for t in pdf["text"]), []
                 doc_ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
-                for lo, hi in tokens.slices(texts):
-                    h, counts, _ = tokens.words(texts[lo:hi], ends)
-                    stops = np.cumsum(counts)
-                    starts = stops - counts
-                    best: dict[tuple[int, int], tuple] = {}
-                    for d, i, diagonal in x.hits(h, starts, stops):
-                        got = verified(h[starts[d] : stops[d]], x.items[i], int(diagonal))
-                        if got and (got[3], -got[0]) > ((b := best.get((d, i), (0, 0, 0, 0)))[3], -b[0]):
-                            best[d, i] = got
-                    out += [(doc_ids[lo + d], x.ids[i], *got) for (d, i), got in best.items()]
+                out = [(doc_ids[d], x.ids[i], *got) for d, i, each in search(x, as_tokens(pdf["text"])) for got in each]
                 yield pd.DataFrame({c.split()[0]: pd.array([r[k] for r in out], dtype="Int64" if k < 2 else "int32") for k, c in enumerate(schema.split(", "))})
 
         return documents.select("doc_id", "text").mapInPandas(run, schema)
 
-    return reduce(DataFrame.union, [against(b) for b in range(blocks)])
+    return reduce(DataFrame.union, map(against, indexes(documents.sparkSession, benchmark)))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no passage of the benchmark; columns stay."""
-    hit = overlaps(documents, benchmark).select("doc_id").distinct()
-    return documents.join(hit, "doc_id", "left_anti")
+    """The documents that hold no passage of the benchmark; columns stay. Each row is judged by its own text, whatever its id, so nothing is joined or moved."""
+
+    def clean(index: Broadcast) -> Column:
+        @F.pandas_udf("boolean")
+        def free(texts: pd.Series) -> pd.Series:
+            out = np.ones(len(texts), bool)
+            out[[d for d, _, _ in search(index.value, as_tokens(texts))]] = False
+            tokens.give_back()
+            return pd.Series(out)
+
+        return free("text")
+
+    return reduce(lambda df, index: df.where(clean(index)), indexes(documents.sparkSession, benchmark), documents)

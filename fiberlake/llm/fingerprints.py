@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text is cut into tokens (runs of non-blank characters, eight at most), each run of ``k`` tokens is hashed, and of each
-window of ``w`` neighbouring hashes the smallest is selected, the rightmost where several are equal. Any passage of at
-least ``k + w - 1`` equal tokens in two texts therefore selects a common hash. A selected item is kept as one long: 39
-bits of hash, then 24 bits that count down with the position, so that the plain minimum of a window is the rightmost
-smallest hash.
+A text is cut into tokens: runs of letters, runs of digits, and each other sign by itself; so are the letters of scripts
+that don't part words. Where a token begins depends on the characters beside it only, so an inserted character changes
+its own token and no later one. Each run of ``k`` tokens is hashed (from its k token hashes: functions of arrays carry no
+state from one place to the next), and of each window of ``w`` neighbouring hashes the smallest is selected, the
+rightmost where several are equal. Any passage of at least ``k + w - 1`` equal tokens in two texts therefore selects a
+common hash. A selected item is kept as one long: 39 bits of hash, then 24 bits that count down with the position, so
+that the plain minimum of a window is the rightmost smallest hash.
 
 Null and blank texts have no fingerprint (an empty array); a text of fewer than k tokens has the hash of all of them.
 Two empty fingerprints have likeness 1, an empty one and another 0.
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 from fiberlake.llm.common import Ordering, let, longs
 
 K, W = 4, 8
-TOKEN = r"\S{1,8}"
+#: Scripts whose words aren't parted by blanks: each letter is a token.
+UNPARTED = "IsHan IsHiragana IsKatakana IsThai IsLao IsKhmer IsMyanmar".split()
+TOKEN = r"[\p{L}\p{M}&&[^%s]]+|\p{N}+|\S" % "".join(rf"\p{{{x}}}" for x in UNPARTED)
 POSITIONS = 1 << 24
 
 
@@ -65,12 +69,12 @@ def fingerprints(documents: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
 
 def with_next(df: DataFrame, key: str, ties: list, columns: list[str]) -> DataFrame:
-    """df with next_<column> of the following row by the key, the first row following the last.
+    """df with next_<column> of the following row by the key, the first row following the last. The first of columns is the widest.
 
     Rows are dealt to ordered buckets; the first rows of a bucket also go to the bucket before it, so that each bucket
     finds its followers by itself and rows move once.
     """
-    order = Ordering(df, key)
+    order = Ordering(df, key, columns[0])
     n = len(order.first)
     if not n:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
