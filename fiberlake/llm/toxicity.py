@@ -3,7 +3,7 @@
 Terms of a text are its words (A-Z lower-cased, cut at ASCII signs and blanks) and the words' first bytes (inflected
 insults share them), hashed to BUCKETS numbers; a term that occurs twice or more is a second term as well. The machine adds a weight for each term and an interaction
 <v_i, v_j> for each pair of terms, which catches an insult that is one only beside a mention of a group. Terms that tell
-the classes of the sample apart enter the machine; all others have weight 0.
+the classes of the sample apart enter the machine; all others have weight 0. They are counted and chosen in Spark.
 
 Null counts as empty text. Without labels of both classes every score is 0. The fit uses at most SAMPLE labelled rows of
 each class; the model has a fixed size.
@@ -19,11 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiberlake.llm import tokens
+from fiberlake.llm.common import cut
 from fiberlake.llm.labelled import sample
 from fiberlake.llm.linear import FactorizationMachine, best_cut, sigmoid
 
-SAMPLE, BUCKETS, TERMS, FACTORS, THRESHOLD = 4_000, 1 << 20, 2_048, 4, 0.7
+SAMPLE, BITS, TERMS, FACTORS, THRESHOLD = 4_000, 22, 2_048, 4, 0.7
+BUCKETS = 1 << BITS
 PREFIXES = (4, 6)
+FOLDS = 2
 LEAST_Z = 2.5
 
 
@@ -39,7 +42,7 @@ def terms(texts: list[bytes], wanted: np.ndarray | None = None, needed: np.ndarr
         hashes, counts, heads = tokens.words(texts[lo:hi], ends, PREFIXES)
         owner = np.repeat(np.arange(lo, hi, dtype=np.int64), counts)
         for h in (hashes, *heads):
-            term = (h >> np.uint64(44)).astype(np.int64)
+            term = (h >> np.uint64(64 - BITS)).astype(np.int64)
             if wanted is not None:
                 hit = needed[term]
                 docs.append(owner[hit] * BUCKETS + term[hit])
@@ -66,29 +69,42 @@ class Model:
         return sigmoid(self.machine.margin(docs, np.searchsorted(self.chosen, ids), len(texts)) - self.cut + np.log(THRESHOLD / (1 - THRESHOLD)))
 
 
-def fit(docs: np.ndarray, ids: np.ndarray, y: np.ndarray) -> Model | None:
-    """docs, ids: the distinct terms of the sampled documents."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    if not n1 or not n0:
-        return None
-    a, b = np.bincount(ids, y[docs] == 1, BUCKETS), np.bincount(ids, y[docs] == 0, BUCKETS)
-    p, q = a / n1, b / n0
-    # separation in standard errors of the difference of the two shares; a term must be in three documents
-    z = np.where(a + b >= 3, np.abs(p - q) / np.sqrt((p + q + 1e-9) * (1 / n1 + 1 / n0)), 0)
-    chosen = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-    chosen = chosen[z[chosen] > LEAST_Z]
-    if not len(chosen):
-        return None
-    keep = np.isin(ids, chosen)
+def fit(chosen: np.ndarray, docs: np.ndarray, ids: np.ndarray, y: np.ndarray) -> Model:
+    """docs, ids: the chosen terms of the sampled documents. The cut is found on margins from machines that have not seen the document (FOLDS of them), since those of the final one are too sure of its own sample."""
+    ids, n = np.searchsorted(chosen, ids), len(y)
+    fold, margins = np.arange(n) % FOLDS, np.zeros(n)
+    for k in range(FOLDS):
+        seen = fold != k
+        part, place = seen[docs], np.cumsum(seen) - 1
+        machine = FactorizationMachine(len(chosen), FACTORS)
+        machine.fit(place[docs[part]], ids[part], y[seen].astype(float))
+        margins[~seen] = machine.margin(docs, ids, n)[~seen]
     machine = FactorizationMachine(len(chosen), FACTORS)
-    docs, ids = docs[keep], np.searchsorted(chosen, ids[keep])
     machine.fit(docs, ids, y.astype(float))
     model = Model(chosen, machine)
-    model.cut = best_cut(machine.margin(docs, ids, len(y)), y)
+    model.cut = best_cut(margins, y)
     return model
 
 
+def telling_terms(rows: DataFrame, n0: int, n1: int) -> DataFrame:
+    """term: at most TERMS that tell the classes apart, those of the largest z. rows: ids, y of the sampled documents, n0 and n1 of each class."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for y in (0, 1):
+                found = [np.frombuffer(x, np.int32) for x in pdf["ids"][pdf["y"] == y]]
+                term, n = np.unique(np.concatenate([np.empty(0, np.int32), *found]), return_counts=True)
+                yield pd.DataFrame({"term": term, "a": n * y, "b": n * (1 - y)})
+
+    held = rows.mapInPandas(count, "term int, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    p, q = F.col("a") / F.lit(float(n1)), F.col("b") / F.lit(float(n0))
+    # separation in standard errors of the difference of the two shares; a term must be in three documents
+    z = F.abs(p - q) / F.sqrt((p + q + F.lit(1e-9)) * F.lit(1 / n1 + 1 / n0))
+    return held.where("a + b >= 3").withColumn("z", z).where(F.col("z") > LEAST_Z).orderBy(F.col("z").desc(), "term").limit(TERMS).select("term")
+
+
 def train(documents: DataFrame, labels: DataFrame, training: Column, most: int = SAMPLE) -> Model | None:
+    """The driver gets the chosen terms, and of each sampled document those of them that it has: 2 * most rows of TERMS numbers at most."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -99,13 +115,22 @@ def train(documents: DataFrame, labels: DataFrame, training: Column, most: int =
                 yield pd.DataFrame({"ids": [ids[i:j].astype(np.int32).tobytes() for i, j in zip(cuts, cuts[1:])], "y": part["y"].array})
             tokens.give_back()
 
-    rows = sample(documents, labels, "toxic", training, most).mapInPandas(run, "ids binary, y int").collect()
-    rows.sort(key=lambda r: (r.y, bytes(r.ids)))
-    if not rows:
+    rows = cut(sample(documents, labels, "toxic", training, most).mapInPandas(run, "ids binary, y int"))
+    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    if len(n) < 2:
+        return None
+    chosen = np.sort(np.array([r.term for r in telling_terms(rows, n[0], n[1]).collect()], np.int64))
+    if not len(chosen):
         return None
-    each = [np.frombuffer(r.ids, np.int32) for r in rows]
+
+    def only(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(ids=[np.intersect1d(np.frombuffer(x, np.int32), chosen).astype(np.int32).tobytes() for x in pdf["ids"]])
+
+    kept = sorted(rows.mapInPandas(only, "ids binary, y int").collect(), key=lambda r: (r.y, bytes(r.ids)))
+    each = [np.frombuffer(r.ids, np.int32) for r in kept]
     docs = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    return fit(docs, np.concatenate(each).astype(np.int64), np.array([r.y for r in rows]))
+    return fit(chosen, docs, np.concatenate(each).astype(np.int64), np.array([r.y for r in kept]))
 
 
 def score(documents: DataFrame, model: Model | None) -> DataFrame:

@@ -190,6 +190,55 @@ def test_classifiers(spark, edge, none):
         assert module.score(none, model).count() == 0
 
 
+def test_factorization_machine_against_all_pairs():
+    """Margins and the gradient's descent against sums over all pairs of terms."""
+    from fiberlake.llm.linear import FactorizationMachine
+
+    rng = np.random.default_rng(4)
+    fm = FactorizationMachine(12, 3)
+    fm.w0, fm.w = 0.3, rng.normal(size=12)
+    present = rng.random((40, 12)) < 0.3
+    docs, terms = np.nonzero(present)
+    want = [0.3 + sum(fm.w[i] for i in t) + sum(fm.v[i] @ fm.v[j] for i in t for j in t if i < j) for t in (np.flatnonzero(p) for p in present)]
+    assert np.allclose(fm.margin(docs, terms, 40), want)
+
+
+def test_bradley_terry_against_gradient():
+    """At the fitted weights the gradient of the pairwise logistic loss vanishes, and order follows a planted score."""
+    from fiberlake.llm.linear import bradley_terry, sigmoid
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    y = (x @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=400) > 0).astype(int)
+    w = bradley_terry(x, y, 4_000, steps=2_000)
+    good, bad = x[y == 1], x[y == 0]
+    d = (good[:, None] - bad[None]).reshape(-1, 3)
+    assert np.abs(-(d * sigmoid(-(d @ w))[:, None]).mean(0) + 1e-3 * w).max() < 0.02
+    assert w[0] > 2 * abs(w[2]) and w[1] < 0
+
+
+def test_scores_against_a_plain_version(spark, sf):
+    """op10's scores by dictionaries of terms in place of arrays."""
+    from fiberlake.llm import tokens
+    from fiberlake.llm.labelled import held_out
+
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.train(docs, labels, ~held_out(3, 1))
+    place = {int(t): i for i, t in enumerate(model.chosen)}
+    for r in toxicity.score(docs.limit(200), model).collect():
+        counts = {}
+        for word in regex.findall(rb"[0-9A-Za-z\x80-\xff]+", (r.document.text or "").encode()):
+            word = word.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+            h, _, heads = tokens.words([word], tokens.separators(True), toxicity.PREFIXES)
+            for x in (h, *heads):
+                t = int(x[0] >> np.uint64(64 - toxicity.BITS))
+                counts[t] = counts.get(t, 0) + 1
+        held = {place[t] for t in counts if t in place} | {place[t2] for t, n in counts.items() if n > 1 and (t2 := int(toxicity.again(t))) in place}
+        m = model.machine
+        margin = m.w0 + sum(m.w[i] for i in held) + sum(m.v[i] @ m.v[j] for i in held for j in held if i < j)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(margin - model.cut + np.log(7 / 3), -40, 40)))) < 1e-9
+
+
 def test_factorization_machine_learns_a_pair():
     """Terms 0 and 1 are harmless alone; together they are toxic."""
     from fiberlake.llm.linear import FactorizationMachine, sigmoid
