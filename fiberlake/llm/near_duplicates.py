@@ -9,11 +9,12 @@ Plan:
    Only (leader, member) rows are made: never all pairs of a key.
 4. Every member is compared exactly with its leader: work and data in proportion to the members. Jaccard distance is a
    metric, so a member further from the leader than twice the allowed distance links with none of the leader's.
-5. Members that are not linked to their leader are compared with each other, and the nearer ones with the linked ones, in
-   blocks of bounded total set size. Only links that join classes are returned.
-6. Classes are the connected components of the links, by label propagation with pointer jumping in Spark; labels are
-   cut in the shared checkpoint folder.
+5. Connected components of these links are classes. Leaders whose members all ended in one class are done. Of the others,
+   members that are not linked to their leader are compared with each other, and the nearer ones with the linked ones, as
+   far as they are of different classes, in blocks of bounded total set size.
+6. Links found there join classes, again by connected components.
 
+Components are found by label propagation with pointer jumping in Spark; labels are cut in the shared checkpoint folder.
 A pair at the threshold shares no key with probability below 0.0005 for the default parameters. Nothing is capped: a
 leader with many unlinked members gets more blocks, and all pairs of blocks that can hold a link are visited.
 
@@ -35,7 +36,7 @@ from fiberlake.llm import tokens
 from fiberlake.llm.common import cut
 
 #: Shingles and sets of one block of members at most, on average; two blocks meet in one task.
-BLOCK_SHINGLES, BLOCK_SETS = 400_000, 2_000
+BLOCK_SHINGLES, BLOCK_SETS = 400_000, 1_000
 #: As a power of two: the largest filter that is broadcast (8 MB). With more ids, ids are joined to the texts instead.
 FILTER_BITS = 26
 #: What a member is to its leader: too far to link with those that are linked, neither, or linked.
@@ -185,9 +186,9 @@ class Sets:
         return out
 
 
-def block_links(ids: np.ndarray, blobs: list[bytes], kinds: np.ndarray, rows: np.ndarray, cols: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between rows and cols (marks of the sets of a block, the same ones or disjoint) that join classes of the block."""
-    sets, label, out = Sets(blobs), np.arange(len(ids)), []
+def block_links(classes: np.ndarray, blobs: list[bytes], kinds: np.ndarray, rows: np.ndarray, cols: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Classes joined by links between rows and cols (marks of the sets of a block, the same ones or disjoint)."""
+    sets, label, out = Sets(blobs), classes.copy(), []
     for i in np.flatnonzero(rows):
         other = cols & (label != label[i]) & (100 * sets.sizes >= percent * sets.sizes[i]) & (100 * sets.sizes[i] >= percent * sets.sizes)
         if cols[i]:
@@ -199,7 +200,7 @@ def block_links(ids: np.ndarray, blobs: list[bytes], kinds: np.ndarray, rows: np
         for j in np.flatnonzero(other & linked(sets.shared(i), sets.sizes[i], sets.sizes, percent)):
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
-                out.append((int(ids[i]), int(ids[j])))
+                out.append((int(classes[i]), int(classes[j])))
     return out
 
 
@@ -221,13 +222,22 @@ def against_leaders(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("leader", "doc_id", "n_shingles", "shingles", "head").mapInPandas(run, "leader long, doc_id long, n_shingles long, kind byte")
 
 
-def confirm(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: exact links among the members of each leader. led: leader, doc_id, n_shingles (without the leader itself)."""
+def linked_classes(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, component (its smallest doc_id) of every document with a link. led: leader, doc_id, n_shingles (without the leader itself)."""
     star = cut(against_leaders(led, sets, percent))
+    first = cut(components(star.where(F.col("kind") == LINKED).select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))))
+    classed = star.join(first, "doc_id", "left").select("leader", "doc_id", "n_shingles", "kind", F.coalesce("component", "doc_id").alias("class"))
+    second = cut(components(among(cut(classed), sets, percent)))
+    moved = first.join(second.select(F.col("doc_id").alias("component"), F.col("component").alias("_to")), "component", "left").select("doc_id", F.coalesce("_to", "component").alias("component"))
+    return moved.union(second.join(first, "doc_id", "left_anti").select("doc_id", "component"))
+
+
+def among(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes that links between members of one leader join. star: leader, doc_id, n_shingles, kind, class."""
     loose, between = F.col("kind") != LINKED, F.col("kind") == BETWEEN
     parts = lambda which: F.greatest(F.ceil(F.sum(F.when(which, F.col("n_shingles"))) / BLOCK_SHINGLES), F.ceil(F.count(F.when(which, 1)) / BLOCK_SETS)).cast("int")
-    work = star.groupBy("leader").agg(parts(loose).alias("r"), F.coalesce(parts(~loose), F.lit(0)).alias("c"), F.count(F.when(loose, 1)).alias("_loose"), F.count(F.when(between, 1)).alias("_between"))
-    work = work.withColumn("c", F.when(F.col("_between") > 0, F.col("c")).otherwise(0)).where("_loose > 1 or c > 0")
+    work = star.groupBy("leader").agg(parts(loose).alias("r"), F.coalesce(parts(~loose), F.lit(0)).alias("c"), F.count(F.when(loose, 1)).alias("_loose"), F.count(F.when(between, 1)).alias("_between"), F.min("class").alias("_a"), F.max("class").alias("_z"))
+    work = work.withColumn("c", F.when(F.col("_between") > 0, F.col("c")).otherwise(0)).where("_a <> _z and _loose > 0 and (_loose > 1 or c > 0)")
     # a table of its own, so that Spark may split the members of one leader among tasks
     dealt = star.join(cut(work.select("leader", "r", "c")), "leader").withColumn("part", F.pmod(F.xxhash64("doc_id", "leader"), F.when(loose, F.col("r")).otherwise(F.greatest("c", F.lit(1)))).cast("int"))
     # loose parts are 0 to r - 1 and meet each other once; linked ones are r to r + c - 1 and meet the loose ones
@@ -235,17 +245,16 @@ def confirm(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     as_loose = F.expr(f"concat({span('part', 'r', 'part', 'i')}, {span('0', 'part', 'i', 'part')}, {span('r', f'if(kind = {BETWEEN}, r + c, r)', 'part', 'i')})")
     as_linked = F.expr(span("0", "if(c > 0, r, 0)", "i", "r + part"))
     met = dealt.withColumn("at", F.explode(F.when(loose, as_loose).otherwise(as_linked)))
-    met = met.select("leader", "doc_id", "kind", F.col("at.x").alias("x"), F.col("at.y").alias("y"), F.when(loose, F.col("part")).otherwise(F.col("r") + F.col("part")).alias("part")).join(sets, "doc_id")
+    met = met.select("leader", "doc_id", "kind", "class", F.col("at.x").alias("x"), F.col("at.y").alias("y"), F.when(loose, F.col("part")).otherwise(F.col("r") + F.col("part")).alias("part")).join(sets, "doc_id")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, x, y = key
         pdf = pdf.sort_values("doc_id")
         part = pdf["part"].to_numpy()
-        found = block_links(pdf["doc_id"].to_numpy(np.int64), list(pdf["shingles"]), pdf["kind"].to_numpy(), part == x, part == y, percent) if len(pdf) > 1 else []
+        found = block_links(pdf["class"].to_numpy(np.int64), list(pdf["shingles"]), pdf["kind"].to_numpy(), part == x, part == y, percent) if len(pdf) > 1 else []
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    among = met.groupBy("leader", "x", "y").applyInPandas(run, "a long, b long")
-    return star.where(~loose).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).union(among)
+    return met.groupBy("leader", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,7 +292,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     led = cut(led.join(reps.select("doc_id", "n_shingles"), "doc_id").select("leader", "doc_id", "n_shingles"))
     involved = led.select("doc_id").union(led.select("leader")).distinct()
     sets = cut(shingle_sets(docs, k, cut(reps.join(involved, "doc_id", "left_semi").select("doc_id", "k1", "k2"))))
-    classes = components(confirm(led, sets, percent))
+    classes = linked_classes(led, sets, percent)
     by_set = equal.join(classes, equal.rep == classes.doc_id, "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("_c"))
     out = seen.join(by_set, ["k1", "k2", "n_shingles"], "left")
     known = F.col("doc_id") != NO_ID

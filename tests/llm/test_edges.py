@@ -415,3 +415,14 @@ def test_pipeline(spark, tmp_path):
     assert 200 not in kept and 201 not in kept and kept[300] == lines[0][1] and kept[301] == "second of its own kind here"
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in out.collect()}[301][1] == brute.sha("second of its own kind here")
+
+
+def test_a_group_of_100_000_copies(spark):
+    """Near copies of one text: links in linear work, and no member left out."""
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(120)]
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(" ".join(words[:60])), F.concat(F.lit("own"), F.col("id")), F.lit(" ".join(words[60:]))).alias("text"))
+    docs = docs.union(spark.range(100_000, 100_050).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"x{i}y"), F.col("id")) for i in range(20)])))
+    out = near_duplicates.near_duplicates(docs, 3, 85).groupBy("component_id").count().collect()
+    assert sorted(r["count"] for r in out) == [1] * 50 + [100_000]
