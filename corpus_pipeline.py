@@ -56,12 +56,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again."""
+    """All stages, each written to the shared folder and read again. A stage's table goes once the next one is written."""
     shared_checkpoints(spark)
     docs = table(spark, sf_dir, "documents")
     top = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}_{name}")
         docs = spark.read.parquet(f"{top}/{k}_{name}")
+        if k:
+            remove(spark, f"{top}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
