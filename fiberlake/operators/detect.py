@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiberlake.functions import geometry as g
@@ -33,8 +33,14 @@ def edges(gray: DataFrame, low: int = 40, high: int = 120) -> DataFrame:
     return hysteresis(thin_edges(gray, low, high))
 
 
+def edge_points(gray: DataFrame, keys: list[str], low: int = 40, high: int = 120) -> DataFrame:
+    """keys, x, y of the edge pixels of each group (a tile, say) of dense grey pixels (keys, x, y, g, width, height)."""
+    one = gray.select(F.struct(*keys).alias("image_id"), "x", "y", "g", "width", "height")
+    return edges(one, low, high).select("image_id.*", "x", "y")
+
+
 def votes(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Each pixel votes for a line at each of 180 angles: keys, theta (degrees), rho (whole pixels), votes, the largest of its neighbours in (theta, rho) only."""
+    """Each pixel votes for a line at each of 180 angles: keys, theta (degrees), rho (whole pixels), votes."""
     a = points.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(179))))
     rho = g.half_up(g.rounded(F.col("x") * F.cos(F.radians("theta")) + F.col("y") * F.sin(F.radians("theta")), 9)).cast("int")
     return a.withColumn("rho", rho).groupBy(*keys, "theta", "rho").agg(F.count(F.lit(1)).alias("votes"))
@@ -43,10 +49,11 @@ def votes(points: DataFrame, keys: list[str]) -> DataFrame:
 def peaks(all_votes: DataFrame, keys: list[str], least: int = 30) -> DataFrame:
     """Lines with at least so many votes that are the best of their 3 x 3 neighbourhood (then the lower theta and rho)."""
     key = F.struct(F.col("votes").alias("v"), (-F.col("theta")).alias("t"), (-F.col("rho")).alias("r"))
-    v = all_votes.where(F.col("votes") >= least).withColumn("_k", key)
-    by_rho = Window.partitionBy(*keys, "theta").orderBy("rho").rangeBetween(-1, 1)
-    by_theta = Window.partitionBy(*keys, "rho").orderBy("theta").rangeBetween(-1, 1)
-    return v.withColumn("_a", F.max("_k").over(by_rho)).withColumn("_b", F.max("_a").over(by_theta)).where("_k = _b").select(*keys, "theta", "rho", "votes")
+    around = F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j))))")
+    # each line tells its neighbours and itself its votes; lines are few, so a join with empty places isn't needed
+    told = all_votes.where(F.col("votes") >= least).withColumn("_k", key).withColumn("_o", F.explode(around))
+    told = told.withColumn("_own", F.when((F.col("_o.i") == 0) & (F.col("_o.j") == 0), F.col("_k"))).withColumn("theta", F.col("theta") + F.col("_o.i")).withColumn("rho", F.col("rho") + F.col("_o.j"))
+    return told.groupBy(*keys, "theta", "rho").agg(F.max("_k").alias("_k"), F.max("_own").alias("_own")).where("_k = _own").select(*keys, "theta", "rho", F.col("_k.v").alias("votes"))
 
 
 def hough_segments(points: DataFrame, keys: list[str], least: int = 30, min_len: float = 15, max_gap: float = 5, most: int = 500) -> DataFrame:
@@ -55,7 +62,8 @@ def hough_segments(points: DataFrame, keys: list[str], least: int = 30, min_len:
     The cap is the reference behaviour's own limit on lines of one tile.
     """
     p = peaks(votes(points, keys), keys, least)
-    at = points.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(179))))
+    # only the angles at which a group has lines
+    at = points.join(p.select(*keys, "theta").distinct(), keys)
     rho = g.half_up(g.rounded(F.col("x") * F.cos(F.radians("theta")) + F.col("y") * F.sin(F.radians("theta")), 9)).cast("int")
     on = at.withColumn("rho", rho).join(p, [*keys, "theta", "rho"]).withColumn("t", g.rounded(F.col("y") * F.cos(F.radians("theta")) - F.col("x") * F.sin(F.radians("theta")), 9))
     line = [*keys, "theta", "rho"]
@@ -76,15 +84,17 @@ def as_fibers(segments: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def detect(tile_pixels: DataFrame, keys: list[str], tracer=None, schema: str | None = None, **limits) -> DataFrame:
-    """Fibres of each group of foreground pixels (keys, x, y, g). By default lines by Hough votes.
+def detect(tile_pixels: DataFrame, keys: list[str], tracer=None, schema: str | None = None, edge: bool = True, low: int = 40, high: int = 120, **limits) -> DataFrame:
+    """Fibres of each group of pixels. By default lines by Hough votes of edge pixels: dense grey pixels (keys, x, y, g, width, height) are thinned to
+    gradient ridges over two thresholds with hysteresis first. With edge=False all given pixels (keys, x, y) vote.
 
     tracer(key, pandas frame) -> pandas frame of `schema` traces one group (a tile, whose size is bounded by the tiling);
     its groups run in parallel. A tracer that fails gives a status row instead of stopping the job, if schema has an
     `error` column.
     """
     if tracer is None:
-        return as_fibers(hough_segments(tile_pixels.select(*keys, "x", "y"), keys, **limits), keys)
+        points = cut(edge_points(tile_pixels, keys, low, high)) if edge else tile_pixels.select(*keys, "x", "y")
+        return as_fibers(hough_segments(points, keys, **limits), keys)
     import pandas as pd
 
     names = [c.split()[0] for c in schema.split(",")]
@@ -100,20 +110,20 @@ def detect(tile_pixels: DataFrame, keys: list[str], tracer=None, schema: str | N
     return tile_pixels.groupBy(*keys).applyInPandas(run, schema)
 
 
-def next_attempt(threshold: float, spacing: float) -> tuple[float, float]:
-    return min(254.0, threshold * 1.4 + 5.0), float(int(max(2.0, spacing) * 2.0))
+def retry_dense(gray: DataFrame, keys: list[str], budget: int, threshold: Column | float = 5.0, spacing: float = 2.0, attempts: int = 4) -> DataFrame:
+    """Per tile: the threshold and seed spacing at which its foreground fits the budget, eased up to attempts - 1 times; raised and ok say how it went.
 
-
-def retry_dense(gray: DataFrame, keys: list[str], budget: int, threshold: float = 5.0, spacing: float = 2.0, attempts: int = 4) -> DataFrame:
-    """Per tile: the threshold and seed spacing at which its foreground fits the budget, eased up to attempts - 1 times; raised and ok say how it went."""
-    steps = [(threshold, spacing)]
+    threshold: a number, or a Column that is the same for all pixels of a tile.
+    """
+    steps = [(threshold if isinstance(threshold, Column) else F.lit(float(threshold)), float(spacing))]
     for _ in range(attempts - 1):
-        steps.append(next_attempt(*steps[-1]))
-    counts = gray.groupBy(*keys).agg(*[F.sum(F.when(F.col("g") > t, 1).otherwise(0)).alias(f"_n{i}") for i, (t, _) in enumerate(steps)])
+        t, s = steps[-1]
+        steps.append((F.least(F.lit(254.0), t * 1.4 + 5.0), float(int(max(2.0, s) * 2.0))))
+    counts = gray.groupBy(*keys).agg(*[F.sum(F.when(F.col("g") > t, 1).otherwise(0)).alias(f"_n{i}") for i, (t, _) in enumerate(steps)], *[F.max(t).alias(f"_t{i}") for i, (t, _) in enumerate(steps)])
     fits = [F.col(f"_n{i}") <= budget for i in range(attempts)]
     last = attempts - 1
     pick = lambda values: _first(fits, values, values[last])
-    return counts.select(*keys, pick([F.lit(t) for t, _ in steps]).alias("threshold"), pick([F.lit(s) for _, s in steps]).alias("spacing"), pick([F.col(f"_n{i}") for i in range(attempts)]).alias("foreground"), pick([F.lit(i + 1) for i in range(attempts)]).alias("attempts"), (~fits[0]).alias("raised"), _first(fits, [F.lit(True)] * attempts, F.lit(False)).alias("ok"))
+    return counts.select(*keys, pick([F.col(f"_t{i}") for i in range(attempts)]).alias("threshold"), pick([F.lit(s) for _, s in steps]).alias("spacing"), pick([F.col(f"_n{i}") for i in range(attempts)]).alias("foreground"), pick([F.lit(i + 1) for i in range(attempts)]).alias("attempts"), (~fits[0]).alias("raised"), _first(fits, [F.lit(True)] * attempts, F.lit(False)).alias("ok"))
 
 
 def _first(tests, values, otherwise):

@@ -10,24 +10,28 @@ from fiberlake.operators import boundary, detect, fibers, pixels, seams, tiles
 
 
 def postprocess(traced: DataFrame, rings: DataFrame | None = None, dedup_tol: float = 4.0, stitch_tol: float = 6.0, angle_tol: float = 45.0, zone: float = 100.0, many_tiles: bool = True) -> DataFrame:
-    """Duplicates go, pieces are joined (with more than one tile), ids become dense, classes are set where an outline is given."""
-    out = seams.dedup_fibers(traced, dedup_tol)
-    if many_tiles:
-        out = seams.stitch_fibers(out, stitch_tol, angle_tol)
+    """With more than one tile duplicates go and pieces are joined; ids become dense, classes are set where an outline is given."""
+    out = seams.stitch_fibers(seams.dedup_fibers(traced, dedup_tol), stitch_tol, angle_tol) if many_tiles else traced
     out = fibers.renumber(out).drop("fiber_id").withColumnRenamed("new_id", "fiber_id")
     return boundary.classify_tacs(boundary.nearest_boundary(out, rings, zone)) if rings is not None else out
 
 
-def analyse(raw: DataFrame, regions: DataFrame, rings: DataFrame | None = None, core: int = 768, overlap: int = 96, threshold=None, min_length: float = 15, max_width: float | None = 40, **limits) -> DataFrame:
-    """Pixels of regions (origin 0, downsample 1) to post-processed fibres: statistics, grey, tiles, detection, ownership, seams."""
+def analyse(raw: DataFrame, regions: DataFrame, rings: DataFrame | None = None, core: int = 768, overlap: int = 96, threshold=None, min_length: float = 15, max_width: float | None = 40, budget: int = 250_000, **limits) -> DataFrame:
+    """Pixels of regions (origin 0, downsample 1) to post-processed fibres: statistics, grey, tiles, detection, ownership, seams.
+
+    What is not above the threshold is background. A tile with more foreground than the budget is detected at the eased
+    threshold that retry_dense finds for it.
+    """
     stats = pixels.channel_stats(raw)
     gray = pixels.to_gray(raw.join(stats.select("image_id", "channel", "norm_lo", "norm_hi", "threshold"), ["image_id", "channel"]), F.col("norm_lo"), F.col("norm_hi"))
     level = F.lit(threshold) if threshold is not None else F.greatest(F.lit(0), F.least(F.lit(255), g.half_up((F.col("threshold") - F.col("norm_lo")) / F.when(F.col("norm_hi") > F.col("norm_lo"), F.col("norm_hi") - F.col("norm_lo")).otherwise(1.0) * 255.0)))
-    foreground = gray.where(F.col("g") > level).select("image_id", "x", "y", "g")
+    levels = stats.groupBy("image_id").agg(F.max(level.cast("double")).alias("_level"))
     cut_up = tiles.make_tiles(regions, core, overlap)
-    local = tiles.assign_tiles(foreground, cut_up).join(cut_up.select("image_id", "tile_id", "read_x0", "read_y0"), ["image_id", "tile_id"])
-    local = local.select("image_id", "tile_id", (F.col("x") - F.col("read_x0")).alias("x"), (F.col("y") - F.col("read_y0")).alias("y"), "g")
-    traced = detect.detect(local, ["image_id", "tile_id"], **limits).join(cut_up.select("image_id", "tile_id", "read_x0", "read_y0"), ["image_id", "tile_id"])
+    keys = ["image_id", "tile_id"]
+    dense = tiles.dense_tiles(gray, cut_up).join(levels, "image_id")
+    eased = detect.retry_dense(dense, keys, budget, F.col("_level")).select(*keys, "threshold")
+    local = dense.join(eased, keys).withColumn("g", F.when(F.col("g") > F.col("threshold"), F.col("g")).otherwise(0)).drop("threshold", "_level")
+    traced = detect.detect(local, keys, **limits).join(cut_up.select(*keys, "read_x0", "read_y0"), keys)
     moved = traced.withColumn("points", g.moved(F.col("points"), F.col("read_x0"), F.col("read_y0"))).withColumn("center", g.point(F.col("center.x") + F.col("read_x0"), F.col("center.y") + F.col("read_y0"))).drop("read_x0", "read_y0")
     # ids become unique within the image before tiles meet
     own = tiles.owned_by_core(fibers.filter_max_width(fibers.filter_min_length(moved, min_length), max_width), cut_up)

@@ -168,8 +168,8 @@ def local_maxima(dist: DataFrame, box: int, least: float, value: str = "distance
     by_column = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-box, box)
     # rank ties by place, so that one pixel of a plateau wins its window
     key = F.struct(F.col(value).alias("v"), (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))
-    top = dist.where(F.col(value) >= least).withColumn("_k", key).withColumn("_r", F.max("_k").over(by_row)).withColumn("_c", F.max("_r").over(by_column))
-    return top.where("_k = _c").drop("_k", "_r", "_c")
+    top = dist.withColumn("_k", key).withColumn("_r", F.max("_k").over(by_row)).withColumn("_c", F.max("_r").over(by_column))
+    return top.where((F.col(value) >= least) & (F.col("_k") == F.col("_c"))).drop("_k", "_r", "_c")
 
 
 def sobel(gray: DataFrame) -> DataFrame:

@@ -42,6 +42,15 @@ def assign_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:
     return met.where("x >= read_x0 and x < read_x1 and y >= read_y0 and y < read_y1").select(*pixels.columns, "tile_id")
 
 
+def dense_tiles(gray: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Every pixel of each tile's read box in the tile's own frame (image_id, tile_id, x, y, g, width, height); missing pixels are background."""
+    box = tiles.select("image_id", "tile_id", "read_x0", "read_y0", (F.col("read_x1") - F.col("read_x0")).alias("width"), (F.col("read_y1") - F.col("read_y0")).alias("height"))
+    grid = box.withColumn("_y", F.explode(F.sequence(F.lit(0), F.col("height") - 1))).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    grid = grid.withColumn("x", F.col("_x") + F.col("read_x0")).withColumn("y", F.col("_y") + F.col("read_y0"))
+    have = gray.select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "g")
+    return grid.join(have, ["image_id", "x", "y"], "left").select("image_id", "tile_id", F.col("_x").alias("x"), F.col("_y").alias("y"), F.coalesce("g", F.lit(0)).alias("g"), "width", "height")
+
+
 def pick_tile(tiles: DataFrame, points: DataFrame) -> DataFrame:
     """The tile whose core holds each point (image_id, px, py), else the middle one."""
     counts = tiles.groupBy("image_id").agg(F.floor(F.count(F.lit(1)) / 2).cast("int").alias("_middle"))

@@ -78,9 +78,11 @@ def count_score(close: Column, recall: Column, length: Column, orientation: Colu
     return close * F.least(F.lit(1.0), recall / F.lit(floor)) * (0.6 + 0.25 * length + 0.15 * orientation)
 
 
-def score_supervised(fibers: DataFrame, lines: DataFrame, matches: DataFrame, mode: str = "match", tolerance: float = 0.15, len_tol: float = 0.25, keys: list[str] | None = None, score: Column | None = None) -> DataFrame:
+def score_supervised(fibers: DataFrame, lines: DataFrame, matches: DataFrame, mode: str = "match", tolerance: float = 0.15, len_tol: float = 0.25, keys: list[str] | None = None, score: Column | None = None, scored: DataFrame | None = None) -> DataFrame:
     """One row per image (and further keys of the fibres, such as combo_id) with the matching's figures and the score.
 
+    scored: the keys that are to have a row (images x combos), also where nothing was detected; by default those that have fibres.
+
     mode "match": F-measure (beta 1.5) times orientation; "count": closeness of counts, guarded by recall. `score` may be
     any Column over the figures instead.
     """
@@ -88,7 +90,8 @@ def score_supervised(fibers: DataFrame, lines: DataFrame, matches: DataFrame, mo
     f = fibers.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(F.when(F.col("length_arc") > 0, F.col("length_arc")), F.lit(0.5)).alias("det_med"))
     t = truth_segments(lines).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_gt"), F.percentile(F.when(F.col("line_length") > 0, F.col("line_length")), F.lit(0.5)).alias("gt_med"))
     m = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("matched"), F.avg("err").alias("err"))
-    a = f.join(t, "image_id", "left").join(m, keys, "left").fillna(0, ["n_gt", "matched"])
+    f = f if scored is None else scored.select(*keys).distinct().join(f, keys, "left")
+    a = f.join(t, "image_id", "left").join(m, keys, "left").fillna(0, ["n", "n_gt", "matched"])
     truth = F.greatest(F.col("n_gt"), F.lit(1))
     a = a.withColumn("recall", F.col("matched") / truth).withColumn("precision", F.when(F.col("n") > 0, F.col("matched") / F.col("n")).otherwise(0.0)).withColumn("orient_err", F.coalesce("err", F.lit(90.0)))
     a = a.withColumn("orient_factor", 1.0 - 0.5 * (F.col("orient_err") / 90.0)).withColumn("count_ratio", F.col("n") / truth).withColumn("count_score", count_closeness(F.col("n"), F.col("n_gt"), tolerance))
@@ -105,10 +108,10 @@ def score_supervised(fibers: DataFrame, lines: DataFrame, matches: DataFrame, mo
 
 
 def score_unsupervised(fibers: DataFrame, covered: DataFrame, width: int, height: int) -> DataFrame:
-    """Per image: coverage + 0.4 median straightness - 0.5 if degenerate - 0.3 runaway; -1 without foreground. covered: image_id, coverage (null or missing: no foreground)."""
+    """Per image: coverage + 0.4 median straightness - 0.5 if degenerate - 0.3 runaway; -1 without foreground. covered: image_id, coverage (null or missing: no foreground). Images of covered without fibres have n = 0."""
     cap = max(20, width * height // 2000)
     a = fibers.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("straightness", F.lit(0.5)).alias("straightness"), F.stddev_pop("angle").alias("angle_std"))
-    a = a.join(covered.select("image_id", "coverage"), "image_id", "left").withColumn("straightness", F.coalesce("straightness", F.lit(0.0)))
+    a = a.join(covered.select("image_id", "coverage"), "image_id", "full_outer").fillna(0, ["n"]).fillna(0.0, ["straightness", "angle_std"])
     a = a.withColumn("degenerate", F.when(F.col("coverage").isNull(), True).otherwise((F.col("angle_std") < 8.0) & (F.col("n") > 3))).withColumn("runaway", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("n") / F.lit(cap) - 1.0)))
     score = F.when(F.col("coverage").isNull(), F.lit(-1.0)).otherwise(F.col("coverage") + 0.4 * F.col("straightness") - F.when(F.col("degenerate"), 0.5).otherwise(0.0) - 0.3 * F.col("runaway"))
     return a.select("image_id", "n", even_round(score, 4).alias("score"), even_round(F.coalesce("coverage", F.lit(0.0)), 3).alias("coverage"), even_round(F.col("straightness"), 3).alias("straightness"), even_round(F.col("angle_std"), 1).alias("angle_std"), "degenerate", even_round(F.col("runaway"), 3).alias("runaway"))
@@ -166,17 +169,27 @@ def refine_grid(best: DataFrame, round_: int) -> DataFrame:
     return best.select(*[c for c in best.columns if c not in ("seed", "sensitivity", "bend", "link")], seeds.alias("seed"), around("sensitivity", sense, 0.02, 0.9).alias("sensitivity"), around("bend", angle, 5, 89).alias("bend"), around("link", angle, 0, 89).alias("link"))
 
 
+#: Combos that one sweep takes at most; callers cap their grids far below.
+MOST_COMBOS = 10_000
+
+
 def sweep(tiles_px: DataFrame, combos: DataFrame, detect) -> DataFrame:
-    """detect() for every tile and combo: combos are a few rows of parameters, bounded by the caller's cap on the grid; a failing combo gives no rows."""
-    keyed = tiles_px.crossJoin(F.broadcast(combos))
-    return detect(keyed)
+    """detect() for every tile and combo. Combos are parameters: their rows (MOST_COMBOS at most, or an error) become part of the plan, so nothing is joined.
+
+    With a tracer whose schema has an `error` column, a combo that fails on a tile gives a status row and doesn't stop the others.
+    """
+    rows = combos.limit(MOST_COMBOS + 1).collect()
+    if len(rows) > MOST_COMBOS:
+        raise ValueError(f"more than {MOST_COMBOS} combos")
+    each = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, combos.schema)]) for r in rows]) if rows else F.array().cast(f"array<{combos.schema.simpleString()}>")
+    return detect(tiles_px.withColumn("_combo", F.explode(each)).select(*tiles_px.columns, "_combo.*"))
 
 
 def suggest(spark: SparkSession, score_round, start: dict, rounds: int = 3, gain: float = 1e-4) -> DataFrame:
     """Iterative search: each round scores a grid in one Spark job and re-centres a finer one; the driver sees one row a round.
 
     score_round(combos) -> combo_id, score. start: axis -> list of values, in the order seed, sensitivity, bend, link.
-    Returns round, combo_id, the axes and score of every scored combo, ranked by the best of each.
+    Returns round, combo_id, the axes and best score of every scored combo, with rank (1 is best; the earlier round and combo of equal ones) and in_band.
     """
     axes, seen, last = ["seed", "sensitivity", "bend", "link"], [], None
     grid = spark.createDataFrame([tuple([float(v) for v in start[a]] for a in axes)], ", ".join(f"{a} array<double>" for a in axes))
@@ -193,4 +206,7 @@ def suggest(spark: SparkSession, score_round, start: dict, rounds: int = 3, gain
     every = reduce(DataFrame.unionByName, seen)
     keyed = every.withColumn("combo_key", combo_key(*[F.col(a) for a in axes]))
     w = Window.partitionBy("combo_key").orderBy(F.col("score").desc(), "round", "combo_id")
-    return keyed.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    best = keyed.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    # a search scores a few hundred combos at most
+    whole = Window.partitionBy(F.lit(0))
+    return best.withColumn("rank", F.row_number().over(whole.orderBy(F.col("score").desc(), "round", "combo_id"))).withColumn("in_band", (F.col("score") > 0) & (F.col("score") >= 0.95 * F.max("score").over(whole)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fiberlake.functions import geometry as g
 from fiberlake.functions import params
 from fiberlake.operators import boundary, detect, fibers, pipeline, rounds, seams, tiles, tuning
-from fiberlake.plans.pixel_queries import GRAY, REGIONS, STATS, gray_of, longs, r6, regions
+from fiberlake.plans.pixel_queries import GRAY, REGIONS, STATS, gray_lines, gray_of, lines_sql, longs, r6, regions
 from fiberlake.sources import fixtures as fx
 from fiberlake.sources.pixels import fibers_from_json, fibers_to_json
 from fiberlake.streaming import streams
@@ -297,40 +297,43 @@ def refine_grid(spark, d):
     return out.select("image_id", *[F.array_join(F.transform(a, lambda v: F.floor(v * 1000 + 0.5).cast("string")), ",").alias(a) for a in AXES])
 
 
-def _tile_points(spark, d) -> DataFrame:
-    """Foreground of every channel of the multi-channel image, a channel standing for a tile."""
-    return gray_of(fx.px_multi(spark, d)).where("g > t").select("image_id", F.col("channel").alias("tile_id"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "g")
+LEVELS = (20.0, 90.0, 254.0, 255.0)
 
 
-def _sweep(spark, points, combos):
-    keys = ["image_id", "tile_id", "combo_id"]
-    keyed = lambda p: detect.detect(p.where("g > level").select(*keys, "x", "y", "g"), keys, least=20)
-    return tuning.sweep(points, combos, keyed)
+def _sweep(gray, combos):
+    """Lines of every image and combo: what is not above the combo's level is background."""
+    keys = ["image_id", "combo_id"]
+    found = lambda p: detect.detect(p.withColumn("g", F.when(F.col("g") > F.col("level"), F.col("g")).otherwise(0)), keys, least=20)
+    return tuning.sweep(gray.drop("t"), combos, found)
 
 
 def sweep(spark, d):
-    combos = param_levels(spark, d)
-    found = _sweep(spark, _tile_points(spark, d), combos)
-    return found.groupBy("combo_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length_arc").alias("length"))
+    combos = tuning.param_grid(spark.range(1).select(F.array(*map(F.lit, LEVELS)).alias("level")), ["level"])
+    f = _sweep(gray_lines(spark, d), combos)
+    return f.groupBy("image_id", "combo_id").agg(F.count(F.lit(1)).alias("n"), R(F.max("length_arc")).alias("longest"))
 
 
-def param_levels(spark, d) -> DataFrame:
-    top = _tile_points(spark, d).agg(F.max("g").alias("m"))
-    return tuning.param_grid(top.select(F.transform(F.array(F.lit(0.5), F.lit(0.7), F.lit(0.9)), lambda q: q * F.col("m")).alias("level")), ["level"])
+_SWEEP = f"select image_id * 10 + combo_id image_id, x, y, case when g > level then g else 0 end g from gray, (values {', '.join(f'({i}, {v}::double)' for i, v in enumerate(LEVELS))}) c(combo_id, level)"
 
 
 def suggest(spark, d):
-    points = rounds.cut(_tile_points(spark, d).select("image_id", "tile_id", "x", "y", "g"))
-    height = points.agg(F.max("g")).first()[0] or 0
+    """Every image is a piece with its truth lines; each combo's lines are matched with them, scored, and pooled over the pieces."""
+    gray = rounds.cut(gray_lines(spark, d))
+    truth = fx.truth_lines(spark, d)
+    keys = ["image_id", "combo_id"]
 
     def score_round(combos):
-        # the sensitivity axis drives the level here; the others are a tracer's
-        # combos of one level share a detection
-        level = combos.groupBy("sensitivity").agg(F.min("combo_id").alias("combo_id")).select("combo_id", "sensitivity", (F.lit(float(height)) * (1 - F.col("sensitivity"))).alias("level"))
-        n = _sweep(spark, points, level).groupBy("combo_id").agg(F.count(F.lit(1)).alias("n")).join(level.select("combo_id", "sensitivity"), "combo_id").select("sensitivity", "n")
-        return combos.select("combo_id", "sensitivity").join(n, "sensitivity", "left").select("combo_id", (1.0 / (1.0 + F.abs(F.coalesce("n", F.lit(0)) - 5))).alias("score"))
+        # the sensitivity axis drives the level here, the others a tracer's; combos of one level share a detection
+        level = rounds.cut(combos.groupBy("sensitivity").agg(F.min("combo_id").alias("combo_id")).select("combo_id", "sensitivity", (255.0 * (1 - F.col("sensitivity"))).alias("level")))
+        found = rounds.cut(_sweep(gray, level.select("combo_id", "level")))
+        matched = tuning.match_ground_truth(tuning.match_candidates(found, truth, keys=keys), keys)
+        every = tuning.sweep(gray.select("image_id").distinct(), level.select("combo_id"), lambda x: x)
+        s = tuning.score_supervised(found, truth, matched, "count", keys=keys, scored=every)
+        pooled = tuning.pool_pieces(s.withColumnRenamed("combo_id", "combo_key").withColumnRenamed("image_id", "piece_id"))
+        return combos.select("combo_id", "sensitivity").join(pooled.select(F.col("combo_key").alias("_c"), "score").join(level.select(F.col("combo_id").alias("_c"), "sensitivity"), "_c"), "sensitivity").select("combo_id", F.bround("score", 4).alias("score"))
 
-    return tuning.suggest(spark, score_round, {"seed": [2, 8], "sensitivity": [0.05, 0.15, 0.3], "bend": [65], "link": [35]}, rounds=2).select("combo_key", "round", "score")
+    found = tuning.suggest(spark, score_round, {"seed": [2, 8], "sensitivity": [0.001, 0.3, 0.9], "bend": [65], "link": [35]}, rounds=2)
+    return found.select("combo_key", "round", "score", "rank", "in_band")
 
 
 def seed_pairs(spark, d):
@@ -339,9 +342,9 @@ def seed_pairs(spark, d):
 
 
 def analyse(spark, d):
-    p = fx.px_multi(spark, d).withColumn("image_id", F.col("channel").cast("long")).withColumn("channel", F.lit(0)).withColumn("y", F.col("y").cast("int"))
-    box = p.groupBy("image_id").agg(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(128).alias("width"), F.lit(128).alias("height"), F.lit(1.0).alias("downsample"))
-    return pipeline.analyse(p, box, fx.rings(p), core=64, overlap=16, min_length=15, least=18).select("image_id", "fiber_id", "tacs", "length_arc")
+    p = fx.px_lines(spark, d)
+    box = p.groupBy("image_id").agg(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(fx.SIDE).alias("width"), F.lit(fx.SIDE).alias("height"), F.lit(1.0).alias("downsample"))
+    return pipeline.analyse(p, box, fx.rings(p), core=48, overlap=16, min_length=15, budget=1_000, least=18).select("image_id", "fiber_id", "tacs", "length_arc")
 
 
 def tile_health(spark, d):
@@ -492,7 +495,7 @@ select combo_key, n::bigint n, g::bigint n_gt, m::bigint matched, {r6('oe')} ori
 raw as (select image_id, [greatest(2, s - step), s, s + step, greatest(2, floor(s / 2 + 0.5::double))] seed, [greatest(0.02::double, least(0.9::double, v - 0.05::double)), v, greatest(0.02::double, least(0.9::double, v + 0.05::double))] sensitivity, [greatest(5, least(89, b - 9)), b, greatest(5, least(89, b + 9))] bend, [greatest(0, least(89, k - 9)), k, greatest(0, least(89, k + 9))] link from st),
 grid2 as (select image_id, {', '.join(f'[floor(x * 1000 + 0.5::double)::bigint for x in {a}] {a}' for a in AXES)} from raw)
 select image_id, {', '.join(f"array_to_string([{a}[i] for i in range(1, len({a}) + 1) if list_position({a}, {a}[i]) = i], ',') {a}" for a in AXES)} from grid2"""),
-    "sweep": (sweep, None),
+    "sweep": (sweep, lines_sql(_SWEEP, 20, f"select image_id // 10 image_id, image_id % 10 combo_id, count(*) n, {r6('max(length)')} longest from ranked where seg_id < 500 group by image_id")),
     "suggest": (suggest, None),
     "analyse": (analyse, None),
     "seed_pairs": (seed_pairs, f"""{fx.with_tables('vertices')}, p as (select a.image_id, a.vertex_id a, b.vertex_id b, a.x ax, a.y ay, b.x bx, b.y "by", sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) dist from vertices a join vertices b on a.image_id = b.image_id and a.vertex_id <> b.vertex_id and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 6),

@@ -120,8 +120,17 @@ def sobel_edges(spark, d):
     return pixels.thin_edges(pixels.dense(_one_channel(spark, d), 128, 128)).select("image_id", *longs("x", "y", "magnitude"), "strong")
 
 
+def gray_lines(spark, d) -> DataFrame:
+    """Dense grey images with planted lines."""
+    return gray_of(fx.px_lines(spark, d)).select("image_id", "x", "y", "g", "t", F.lit(fx.SIDE).alias("width"), F.lit(fx.SIDE).alias("height"))
+
+
 def _points(spark, d) -> DataFrame:
-    return _one_channel(spark, d).where("g > t").select("image_id", "x", "y", "g")
+    return detect.edge_points(gray_lines(spark, d), ["image_id"])
+
+
+def edge_hysteresis(spark, d):
+    return detect.edges(gray_lines(spark, d)).select("image_id", *longs("x", "y"))
 
 
 def hough_votes(spark, d):
@@ -134,7 +143,9 @@ def hough_segments(spark, d):
 
 
 def detect_lines(spark, d):
-    return detect.detect(_points(spark, d), ["image_id"])
+    f = detect.detect(gray_lines(spark, d), ["image_id"])
+    ends = {f"{c}{i}": R(F.get("points", F.lit(i))[c]) for i in (0, 1) for c in "xy"}
+    return f.select("image_id", "fiber_id", *[v.alias(k) for k, v in ends.items()], R(F.col("angle")).alias("angle"), R(F.col("length_arc")).alias("length_arc"))
 
 
 def retry_dense(spark, d):
@@ -183,7 +194,26 @@ def assign_tiles(spark, d):
 
 _DENSE = "one as (select image_id, x, y, g, t from gray where channel = 0), grid as (select 0::bigint image_id, xx::int x, yy::bigint y from range(128) a(xx), range(128) b(yy)), dense as (select gr.image_id, gr.x, gr.y, coalesce(o.g, 0) g, coalesce(case when o.g > o.t then 1 else 0 end, 0) f from grid gr left join one o using (image_id, x, y))"
 _MASK = "mask as (select image_id, x, y, not (f = 1 and (x + y) % 3 = 0) inside from dense), dist as (select a.image_id, a.x, a.y, case when a.inside then (select min(abs(a.x - b.x) + abs(a.y - b.y)) from mask b where not b.inside) else 0 end distance from mask a)"
-_POINTS = "points as (select image_id, x, y from gray where channel = 0 and g > t), spread as (select image_id, x, y, theta, floor(floor((x * cos(radians(theta)) + y * sin(radians(theta))) * 1000000000.0::double + 0.5::double) / 1000000000.0::double + 0.5::double)::bigint rho from points, range(180) t(theta)), votes as (select image_id, theta, rho, count(*) votes from spread group by all having count(*) >= 30), peaks as (select image_id, theta, rho, votes from votes v where not exists (select 1 from votes u where u.image_id = v.image_id and abs(u.theta - v.theta) <= 1 and abs(u.rho - v.rho) <= 1 and (u.votes, -u.theta, -u.rho) > (v.votes, -v.theta, -v.rho)))"
+#: Edge pixels of the images in a table dense_px (image_id, x, y, g) of 96 x 96 pixels: gradient ridges, then everything that is joined to a strong one.
+EDGES = """taps(dx, dy, wx, wy) as (values (-1, -1, -1, -1), (0, -1, 0, -2), (1, -1, 1, -1), (-1, 0, -2, 0), (1, 0, 2, 0), (-1, 1, -1, 1), (0, 1, 0, 2), (1, 1, 1, 1)),
+grad as (select c.image_id, c.x, c.y, sum(n.g * wx) gx, sum(n.g * wy) gy from dense_px c, taps, dense_px n where n.image_id = c.image_id and n.x = c.x + dx and n.y = c.y + dy and c.x between 1 and 94 and c.y between 1 and 94 group by c.image_id, c.x, c.y),
+mag as (select *, abs(gx) + abs(gy) m, case when abs(gy) * 1000 < abs(gx) * 414 then 1 when abs(gy) * 1000 > abs(gx) * 2414 then 0 else 1 end sx, case when abs(gy) * 1000 < abs(gx) * 414 then 0 when abs(gy) * 1000 > abs(gx) * 2414 then 1 when (gx >= 0) = (gy >= 0) then 1 else -1 end sy from grad),
+ridge as (select a.image_id, a.x, a.y, a.m from mag a left join mag p on p.image_id = a.image_id and p.x = a.x - a.sx and p.y = a.y - a.sy left join mag q on q.image_id = a.image_id and q.x = a.x + a.sx and q.y = a.y + a.sy where a.m > 40 and coalesce(p.m < a.m, true) and coalesce(q.m <= a.m, true)),
+points as (select image_id, x, y from ridge where m > 120 union select e.image_id, e.x, e.y from points k, taps, ridge e where e.image_id = k.image_id and e.x = k.x + dx and e.y = k.y + dy)"""
+#: Lines with the most votes of their surroundings, and the segments along them.
+VOTES = "spread as (select image_id, x, y, theta, floor(floor((x * cos(radians(theta)) + y * sin(radians(theta))) * 1000000000.0::double + 0.5::double) / 1000000000.0::double + 0.5::double)::bigint rho from points, range(180) t(theta)), votes as (select image_id, theta, rho, count(*) votes from spread group by all having count(*) >= {least}), peaks as (select image_id, theta, rho, votes from votes v where not exists (select 1 from votes u where u.image_id = v.image_id and abs(u.theta - v.theta) <= 1 and abs(u.rho - v.rho) <= 1 and (u.votes, -u.theta, -u.rho) > (v.votes, -v.theta, -v.rho)))"
+SEGMENTS = """line as (select *, floor((y * cos(radians(theta)) - x * sin(radians(theta))) * 1000000000.0::double + 0.5::double) / 1000000000.0::double t from spread join peaks using (image_id, theta, rho)),
+gaps as (select *, case when t - lag(t) over w > 5 then 1 else 0 end n from line window w as (partition by image_id, theta, rho order by t, x, y)), parts as (select *, sum(n) over (partition by image_id, theta, rho order by t, x, y rows unbounded preceding) part from gaps),
+segs as (select image_id, theta, rho, votes, part, first({{'x': x, 'y': y}} order by t, x, y) a, last({{'x': x, 'y': y}} order by t, x, y) b, count(*) pixels from parts group by image_id, theta, rho, votes, part), long as (select *, sqrt(((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))::double) length from segs),
+ranked as (select *, row_number() over (partition by image_id order by length desc, theta, rho, part) - 1 seg_id from long where length >= 15)"""
+
+
+def lines_sql(dense: str = "select image_id, x, y, g from gray", least: int = 30, tail: str = "") -> str:
+    """Everything up to the table `ranked` of segments, on the grey images that `dense` selects."""
+    return f"{gray_sql('px_lines')},\ndense_px as ({dense}),\n{EDGES},\n{VOTES.format(least=least)},\n{SEGMENTS.format()} {tail}".replace("with ", "with recursive ", 1)
+
+
+_TURN = "degrees(atan2(-(b.y - a.y), b.x - a.x))"
 
 QUERIES = {
     "px_scan": (px_scan, f"{fx.with_tables('px_scan')} select image_id, channel::bigint channel, x::bigint x, y, {r6('value')} as value from px_scan"),
@@ -207,13 +237,10 @@ select image_id, channel::bigint channel, x::bigint x, y, coalesce(greatest(0, l
 grad as (select c.image_id, c.x, c.y, sum(n.g * wx) gx, sum(n.g * wy) gy from dense c, taps, dense n where n.image_id = c.image_id and n.x = c.x + dx and n.y = c.y + dy and c.x between 1 and 126 and c.y between 1 and 126 group by c.image_id, c.x, c.y),
 mag as (select *, abs(gx) + abs(gy) m, case when abs(gy) * 1000 < abs(gx) * 414 then 1 when abs(gy) * 1000 > abs(gx) * 2414 then 0 else 1 end sx, case when abs(gy) * 1000 < abs(gx) * 414 then 0 when abs(gy) * 1000 > abs(gx) * 2414 then 1 when (gx >= 0) = (gy >= 0) then 1 else -1 end sy from grad)
 select a.image_id, a.x::bigint x, a.y, a.m::bigint magnitude, a.m > 120 strong from mag a where a.m > 40 and not exists (select 1 from mag b where b.image_id = a.image_id and ((b.x = a.x - a.sx and b.y = a.y - a.sy and b.m >= a.m) or (b.x = a.x + a.sx and b.y = a.y + a.sy and b.m > a.m)))"""),
-    "hough_votes": (hough_votes, f"{gray_sql('px_multi')}, {_POINTS} select image_id, theta::bigint theta, rho, votes from peaks"),
-    "hough_segments": (hough_segments, f"""{gray_sql('px_multi')}, {_POINTS}, line as (select *, floor((y * cos(radians(theta)) - x * sin(radians(theta))) * 1000000000.0::double + 0.5::double) / 1000000000.0::double t from spread join peaks using (image_id, theta, rho)),
-gaps as (select *, case when t - lag(t) over w > 5 then 1 else 0 end n from line window w as (partition by image_id, theta, rho order by t, x, y)), parts as (select *, sum(n) over (partition by image_id, theta, rho order by t, x, y rows unbounded preceding) part from gaps),
-segs as (select image_id, theta, rho, votes, part, first({{'x': x, 'y': y}} order by t, x, y) a, last({{'x': x, 'y': y}} order by t, x, y) b, count(*) pixels from parts group by image_id, theta, rho, votes, part), long as (select *, sqrt(((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))::double) length from segs),
-ranked as (select *, row_number() over (partition by image_id order by length desc, theta, rho, part) - 1 seg_id from long where length >= 15)
-select image_id, seg_id, theta::bigint theta, rho, votes, pixels, a.x::bigint ax, a.y::bigint ay, b.x::bigint bx, b.y::bigint "by", {r6('length')} length from ranked where seg_id < 500"""),
-    "detect": (detect_lines, None),
+    "edge_hysteresis": (edge_hysteresis, lines_sql(tail="select image_id, x::bigint x, y::bigint y from points")),
+    "hough_votes": (hough_votes, lines_sql(tail="select image_id, theta::bigint theta, rho, votes from peaks")),
+    "hough_segments": (hough_segments, lines_sql(tail=f"""select image_id, seg_id, theta::bigint theta, rho, votes, pixels, a.x::bigint ax, a.y::bigint ay, b.x::bigint bx, b.y::bigint "by", {r6('length')} length from ranked where seg_id < 500""")),
+    "detect": (detect_lines, lines_sql(tail=f"""select image_id, seg_id fiber_id, a.x::double x0, a.y::double y0, b.x::double x1, b.y::double y1, {r6(f'case when {_TURN} < 0 then ({_TURN} + 180) % 180 else {_TURN} % 180 end + 0.0::double')} angle, {r6('length')} length_arc from ranked where seg_id < 500""")),
     "retry_dense": (retry_dense, f"{gray_sql('px_multi')}, steps as (select * from (values (1, 100.0::double, 2.0::double), (2, 145.0::double, 4.0::double), (3, 208.0::double, 8.0::double), (4, 254.0::double, 16.0::double)) v(k, th, sp)), n as (select image_id, channel, k, th, sp, count(*) filter (where g > th) c from gray, steps group by all), fit as (select image_id, channel, coalesce(min(k) filter (where c <= 4000), 4) k, count(*) filter (where c <= 4000) > 0 ok from n group by all) select image_id, channel::bigint channel, c foreground, k::bigint attempts, {r6('th')} threshold, {r6('sp')} spacing, k > 1 or not ok raised, ok from fit join n using (image_id, channel, k)"),
     "make_tiles": (make_tiles, f"with recursive {REGIONS}, {TILES} select image_id, tile_id, {', '.join(f'{c}::bigint {c}' for c in BOX)}, full_x, full_y from full_tiles"),
     "tile_name": (tile_name, f"with recursive {REGIONS}, {TILES} select image_id, tile_id, 'fiberlake_tile_x' || full_x || '_y' || full_y || '_w' || (read_x1 - read_x0) || '_h' || (read_y1 - read_y0) || '_ds' || case when downsample = floor(downsample) then downsample::int::varchar else replace(downsample::varchar, '.', 'p') end || '_ch0.parquet' file_name from full_tiles"),

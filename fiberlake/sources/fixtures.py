@@ -25,6 +25,35 @@ def px_multi(spark, sf_dir) -> DataFrame:
     return li.groupBy(*keys).agg(F.max(F.col("l_extendedprice").cast("double")).alias("value"))
 
 
+SIDE = 96
+
+
+def drawn_lines(spark, sf_dir) -> DataFrame:
+    """Lines of three pixels' thickness in four directions, four to an image: image_id, k, dir, x0, y0, n (pixels along the line)."""
+    k = F.col("s_suppkey").cast("long")
+    s = table(spark, sf_dir, "supplier").select(F.floor(k / 4).alias("image_id"), k.alias("k"), (k % 4).cast("int").alias("dir"), (34 + k * 11 % 30).cast("int").alias("n"))
+    x0 = F.when(F.col("dir") == 1, 10 + F.col("k") * 31 % 70).otherwise(6 + F.col("k") * 37 % 22)
+    y0 = F.when(F.col("dir") == 0, 10 + F.col("k") * 29 % 70).when(F.col("dir") == 3, 6 + F.col("k") * 53 % 22 + F.col("n")).otherwise(6 + F.col("k") * 53 % 22)
+    return s.select("image_id", "k", "dir", x0.cast("int").alias("x0"), y0.cast("int").alias("y0"), "n")
+
+
+def px_lines(spark, sf_dir) -> DataFrame:
+    """Dense images of SIDE x SIDE with planted lines on a faint ground; their number grows with the suppliers."""
+    lines = drawn_lines(spark, sf_dir)
+    dx, dy = F.when(F.col("dir") == 1, 0).otherwise(1), F.when(F.col("dir") == 0, 0).when(F.col("dir") == 3, -1).otherwise(1)
+    on = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("o", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+    on = on.select("image_id", (F.col("x0") + F.col("i") * dx + F.when(F.col("dir") == 0, 0).otherwise(F.col("o"))).alias("x"), (F.col("y0") + F.col("i") * dy + F.when(F.col("dir") == 0, F.col("o")).otherwise(0)).alias("y"), F.lit(200.0).alias("value"))
+    side = F.sequence(F.lit(0), F.lit(SIDE - 1))
+    ground = lines.select("image_id").distinct().withColumn("x", F.explode(side)).withColumn("y", F.explode(side)).withColumn("value", ((F.col("x") * 7 + F.col("y") * 13) % 3).cast("double"))
+    return ground.union(on).groupBy("image_id", F.lit(0).alias("channel"), "x", "y").agg(F.max("value").alias("value"))
+
+
+def truth_lines(spark, sf_dir) -> DataFrame:
+    """The axes of the planted lines, as hand-traced lines."""
+    at = lambda i: point(F.col("x0") + i * F.when(F.col("dir") == 1, 0.0).otherwise(1.0), F.col("y0") + i * F.when(F.col("dir") == 0, 0.0).when(F.col("dir") == 3, -1.0).otherwise(1.0))
+    return drawn_lines(spark, sf_dir).select("image_id", F.col("k").alias("line_id"), F.array(at(F.lit(0.0)), at(F.col("n") - 1.0)).alias("points"))
+
+
 def vertices(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     day_us = 86_400_000_000
@@ -86,6 +115,10 @@ def _sql_ring(vertices) -> str:
 SQL = {
     "px_scan": "px_scan as (select 0::bigint image_id, 0 channel, (i - 1)::int x, vec_id y, embedding[i]::double as value from embeddings, unnest(range(1, len(embedding) + 1)) t(i))",
     "px_multi": "px_multi as (select 0::bigint image_id, (l_linenumber - 1)::int channel, (l_partkey % 128)::int x, (l_orderkey % 128)::bigint y, max(l_extendedprice::double) as value from lineitem group by l_linenumber - 1, l_partkey % 128, l_orderkey % 128)",
+    "px_lines": """drawn as (select s_suppkey::bigint // 4 image_id, s_suppkey::bigint k, s_suppkey % 4 dir, 34 + s_suppkey::bigint * 11 % 30 n, case when s_suppkey % 4 = 1 then 10 + s_suppkey::bigint * 31 % 70 else 6 + s_suppkey::bigint * 37 % 22 end x0,
+case when s_suppkey % 4 = 0 then 10 + s_suppkey::bigint * 29 % 70 when s_suppkey % 4 = 3 then 6 + s_suppkey::bigint * 53 % 22 + 34 + s_suppkey::bigint * 11 % 30 else 6 + s_suppkey::bigint * 53 % 22 end y0 from supplier),
+lit_px as (select image_id, x0 + i * case when dir = 1 then 0 else 1 end + case when dir = 0 then 0 else o end x, y0 + i * case when dir = 0 then 0 when dir = 3 then -1 else 1 end + case when dir = 0 then o else 0 end y from (select *, unnest(range(n)) i from drawn), (values (-1), (0), (1)) v(o)),
+px_lines as (select image_id, 0 channel, x, y, max(v) as value from (select image_id, x, y, 200.0::double v from lit_px union all select image_id, x, y, ((x * 7 + y * 13) % 3)::double from (select distinct image_id from drawn), range(96) a(x), range(96) b(y)) group by image_id, x, y)""",
     "vertices": "vertices as (select event_id vertex_id, user_id // 15 image_id, user_id % 4 tile_id, user_id * 1000 + day(ts) fiber_id, (epoch_us(ts) % 86400000000) / 86400000000::double * 512 x, least(value, 511::double) y, 1 + (event_id % 7) / 2::double radius from events)",
     "fibers": "raw_fibers as (select image_id, tile_id, fiber_id, list({'x': x, 'y': y} order by x, vertex_id) points from vertices group by image_id, tile_id, fiber_id having count(*) >= 2)",
     "rings": f"rings as (select image_id, 0 annotation_id, part_id, vertices from (select distinct image_id from raw_fibers), (values (0, {_sql_ring(PART_0)}), (1, {_sql_ring(PART_1)})) t(part_id, vertices))",

@@ -14,7 +14,7 @@ def line(tile, y):
 
 def test_tiles_arrive_late_and_again(spark, tmp_path):
     src, sink, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
-    find = lambda df: detect.detect(df.select("image_id", "tile_id", "x", "y", "g"), ["image_id", "tile_id"])
+    find = lambda df: detect.detect(df.select("image_id", "tile_id", "x", "y", "g"), ["image_id", "tile_id"], edge=False)
 
     def arrive(rows):
         spark.createDataFrame(rows, PIXELS).coalesce(1).write.mode("append").parquet(src)
