@@ -68,40 +68,49 @@ def endpoints(fibers: DataFrame) -> DataFrame:
     return fibers.where(F.size("points") >= 2).select("image_id", "tile_id", "fiber_id", F.explode(F.array(end(0, first, second), end(1, last, before))).alias("e")).select("image_id", "tile_id", "fiber_id", "e.*")
 
 
-def stitch_candidates(fibers: DataFrame, tol: float = 6.0, angle_tol: float = 45.0) -> DataFrame:
-    """Pairs of ends (a before b by fibre id) of different fibres and tiles that face each other: image_id, a, a_end, b, b_end, gap."""
+def stitch_candidates(fibers: DataFrame, tol: float = 6.0, angle_tol: float = 45.0, same_tile: bool = False) -> DataFrame:
+    """Pairs of ends (a before b by fibre id) of different fibres and tiles that face each other: image_id, a, a_end, b, b_end, gap. same_tile: also those of one tile, told apart by a column same_tile."""
     e = endpoints(fibers)
     a = e.select("image_id", *[F.col(c).alias(f"a_{c}") for c in e.columns if c != "image_id"])
     b = e.select("image_id", *[F.col(c).alias(f"b_{c}") for c in e.columns if c != "image_id"])
-    p = near_pairs(a, b, "a_x", "a_y", "b_x", "b_y", tol, ["image_id"]).where("a_fiber_id < b_fiber_id and a_tile_id <> b_tile_id")
+    p = near_pairs(a, b, "a_x", "a_y", "b_x", "b_y", tol, ["image_id"]).where("a_fiber_id < b_fiber_id")
     facing = F.col("a_ux") * F.col("b_ux") + F.col("a_uy") * F.col("b_uy") <= -F.cos(F.radians(F.lit(float(angle_tol))))
-    return p.where(facing).select("image_id", F.col("a_fiber_id").alias("a"), F.col("a_end").alias("a_end"), F.col("b_fiber_id").alias("b"), F.col("b_end").alias("b_end"), F.col("dist").alias("gap"))
+    out = p.where(facing).select("image_id", F.col("a_fiber_id").alias("a"), F.col("a_end").alias("a_end"), F.col("b_fiber_id").alias("b"), F.col("b_end").alias("b_end"), F.col("dist").alias("gap"), F.col("a_tile_id").eqNullSafe(F.col("b_tile_id")).alias("same_tile"))
+    return out if same_tile else out.where(~F.col("same_tile")).drop("same_tile")
 
 
 def match_ends(candidates: DataFrame) -> DataFrame:
-    """A matching of ends: the pairs that are each other's nearest, in rounds, until no candidate is left."""
+    """A matching of ends: the pairs that are each other's nearest, in rounds, until no candidate is left.
+
+    Pieces of one tile (same_tile) join only once one of them has been joined to another: a joined fibre belongs to no tile.
+    """
     order = ["gap", "a", "a_end", "b", "b_end"]
-    left, taken = cut(candidates), None
-    while left.limit(1).count():
+    left, taken = cut(candidates.select("image_id", *order, "same_tile")), None
+    while True:
+        open_ = left.where(~F.col("same_tile"))
+        if not open_.limit(1).count():
+            break
         # an end may be the a of one pair and the b of another: rank it over both
-        sides = left.select("*", F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("a_end").alias("e")), F.struct(F.col("b").alias("f"), F.col("b_end").alias("e")))).alias("s"))
+        sides = open_.select("*", F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("a_end").alias("e")), F.struct(F.col("b").alias("f"), F.col("b_end").alias("e")))).alias("s"))
         ranked = sides.withColumn("r", F.row_number().over(Window.partitionBy("image_id", "s.f", "s.e").orderBy(*order)))
         mutual = cut(ranked.where("r = 1").groupBy("image_id", *order).count().where("count = 2").select("image_id", *order))
         taken = mutual if taken is None else taken.union(mutual)
         used = mutual.select("image_id", F.explode(F.array(F.struct("a", "a_end"), F.struct(F.col("b").alias("a"), F.col("b_end").alias("a_end")))).alias("u")).select("image_id", F.col("u.a").alias("a"), F.col("u.a_end").alias("a_end"))
         left = left.join(used, ["image_id", "a", "a_end"], "left_anti").join(used.select("image_id", F.col("a").alias("b"), F.col("a_end").alias("b_end")), ["image_id", "b", "b_end"], "left_anti")
-        left = cut(left.select("image_id", *order))
-    return candidates.limit(0) if taken is None else taken
+        joined = used.select("image_id", "a").distinct()
+        left = left.join(joined.withColumn("_a", F.lit(True)), ["image_id", "a"], "left").join(joined.select("image_id", F.col("a").alias("b"), F.lit(True).alias("_b")), ["image_id", "b"], "left")
+        left = cut(left.select("image_id", *order, (F.col("same_tile") & F.col("_a").isNull() & F.col("_b").isNull()).alias("same_tile")))
+    return candidates.select("image_id", *order).limit(0) if taken is None else taken
 
 
 def stitch_fibers(fibers: DataFrame, tol: float = 6.0, angle_tol: float = 45.0) -> DataFrame:
     """Fibres with the pieces of each chain joined into one.
 
-    Every end joins once at most, so that pieces form chains and cycles; a cycle is cut at its longest gap. Chains are
+    Pieces of different tiles join, and a joined piece goes on with pieces of any tile. Every end joins once at most, so that pieces form chains and cycles; a cycle is cut at its longest gap. Chains are
     ordered by pointer doubling from the end with the lower fibre id. The joined fibre has the first piece's id, tile
     and width; class and boundary measures are reset. A joint vertex that coincides is kept once.
     """
-    links = cut(match_ends(stitch_candidates(fibers, tol, angle_tol)))
+    links = cut(match_ends(stitch_candidates(fibers, tol, angle_tol, same_tile=True)))
     if not links.limit(1).count():
         return fibers
     # a side is one direction through a piece: entering at `end`, leaving at the other end

@@ -297,7 +297,7 @@ def refine_grid(spark, d):
     return out.select("image_id", *[F.array_join(F.transform(a, lambda v: F.floor(v * 1000 + 0.5).cast("string")), ",").alias(a) for a in AXES])
 
 
-LEVELS = (20.0, 90.0, 254.0, 255.0)
+LEVELS = (20.0, 90.0, 255.0)
 
 
 def _sweep(gray, combos):

@@ -155,3 +155,23 @@ def test_objects_are_saved_by_image(spark, tmp_path):
     assert [r.name for r in back] == ["Fiber 1"] and back[0].measurements["Length (px)"] == 20.0 and (back[0].points[1].x, back[0].points[1].y) == (120, 50)
     fibers.save_geojson(o, f"{tmp_path}/g")
     assert spark.read.json(f"{tmp_path}/g").count() == 2
+
+
+def test_a_joined_piece_goes_on_with_any_tile(spark):
+    """Pieces of tiles 0, 1, 1 in a row are one fibre: the first joint takes the second piece out of its tile."""
+    f = make(spark, (0, 1, [(0, 0), (10, 0)]), (1, 2, [(12, 0), (20, 0)]), (1, 3, [(22, 0), (30, 0)]), (2, 4, [(100, 50), (110, 50)]), (2, 5, [(112, 50), (120, 50)]))
+    r = sorted(seams.stitch_fibers(f).collect(), key=lambda x: x.fiber_id)
+    assert [(x.fiber_id, x.length_arc) for x in r] == [(1, 30.0), (4, 10.0), (5, 8.0)]
+
+
+def test_scores_of_images_without_fibres(spark):
+    f = make(spark, (0, 1, [(0, 0), (10, 0), (20, 0)])).withColumn("combo_id", F.lit(0))
+    lines = spark.createDataFrame([(0, 1, [(0.0, 1.0), (20.0, 1.0)]), (5, 2, [(0.0, 1.0), (20.0, 1.0)])], "image_id long, line_id long, points array<struct<x double, y double>>")
+    keys = ["image_id", "combo_id"]
+    every = spark.createDataFrame([(i, c) for i in (0, 5) for c in (0, 1)], "image_id long, combo_id int")
+    m = tuning.match_ground_truth(tuning.match_candidates(f, lines, keys=keys), keys)
+    got = {(r.image_id, r.combo_id): (r.n, r.n_gt, r.matched, r.score, r.recall) for r in tuning.score_supervised(f, lines, m, "count", keys=keys, scored=every).collect()}
+    assert got == {(0, 0): (1, 1, 1, 1.0, 1.0), (0, 1): (0, 1, 0, 0.0, 0.0), (5, 0): (0, 1, 0, 0.0, 0.0), (5, 1): (0, 1, 0, 0.0, 0.0)}
+    covered = spark.createDataFrame([(0, 0.5), (7, 0.25), (8, None)], "image_id long, coverage double")
+    plain = {r.image_id: (r.n, r.score) for r in tuning.score_unsupervised(f, covered, 128, 128).collect()}
+    assert plain == {0: (1, 0.9), 7: (0, 0.25), 8: (0, -1.0)}
