@@ -99,12 +99,16 @@ def coverage(foreground: DataFrame, fiber_pixels: DataFrame) -> DataFrame:
     return a.withColumn("coverage", F.col("covered") / F.col("foreground"))
 
 
-def lines_in_parts(lines: DataFrame, rings: DataFrame) -> DataFrame:
-    """Hand-traced lines of at least two points whose centroid (mean of points) is inside a part (even-odd): image_id, line_id, annotation_id, part_id."""
+def lines_in_parts(lines: DataFrame, rings: DataFrame, band: float = 64.0) -> DataFrame:
+    """Hand-traced lines of at least two points whose centroid (mean of points) is inside a part (even-odd): image_id, line_id, annotation_id, part_id.
+
+    Lines meet only the segments that reach into their band of y.
+    """
     n = F.size("points")
     mean = lambda c: F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p[c]) / n
-    p = lines.where(n >= 2).select("image_id", "line_id", mean("x").alias("_x"), mean("y").alias("_y"))
-    s = segments(rings)
+    of = lambda y: F.floor(y / F.lit(float(band)))
+    p = lines.where(n >= 2).select("image_id", "line_id", mean("x").alias("_x"), mean("y").alias("_y")).withColumn("_band", of(F.col("_y")))
+    s = segments(rings).where("ay <> by").withColumn("_band", F.explode(F.sequence(of(F.least("ay", "by")), of(F.greatest("ay", "by")))))
     crosses = ((F.col("ay") > F.col("_y")) != (F.col("by") > F.col("_y"))) & (F.col("_x") < F.col("ax") + (F.col("_y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay")))
     keys = ["image_id", "line_id", "annotation_id", "part_id"]
-    return p.join(s, "image_id").where(crosses).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(*keys)
+    return p.join(s, ["image_id", "_band"]).where(crosses).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(*keys)

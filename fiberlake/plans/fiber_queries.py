@@ -471,7 +471,11 @@ b as (select *, case when c is null then true else sd < 8 and n > 3 end deg, lea
 select image_id, n, round_even(case when c is null then -1 else c + 0.4::double * st - case when deg then 0.5::double else 0 end - 0.3::double * run end, 4) score, round_even(coalesce(c, 0), 3) coverage, round_even(st, 3) straightness, round_even(sd, 1) angle_std, deg degenerate, round_even(run, 3) runaway from b"""),
     "dedup_candidates": (dedup_candidates, f"{_DEDUP} select image_id, better, worse from pairs"),
     "dedup": (dedup, f"{_DEDUP} select image_id, tile_id, fiber_id from fibers f where not exists (select 1 from pairs p where p.image_id = f.image_id and p.worse = f.fiber_id)"),
-    "dedup_rounds": (dedup_rounds, None),
+    # fibres that have a better neighbour, one by one from the longest: one goes if any better neighbour of its own stays
+    "dedup_rounds": (dedup_rounds, f"""{_DEDUP.replace('with ', 'with recursive ', 1)}, lists as (select p.image_id, f.fiber_id, row_number() over (partition by p.image_id order by any_value(f.length_arc) desc, f.fiber_id) k, list(p.better) better from pairs p join fibers f on f.image_id = p.image_id and f.fiber_id = p.worse group by p.image_id, f.fiber_id),
+walk as (select image_id, 0::bigint k, []::bigint[] gone from lists group by image_id union all select w.image_id, l.k, case when list_has_all(w.gone, l.better) then w.gone else list_append(w.gone, l.fiber_id) end from walk w join lists l on l.image_id = w.image_id and l.k = w.k + 1),
+dropped as (select image_id, unnest(arg_max(gone, k)) fiber_id from walk group by image_id)
+select f.image_id, f.tile_id, f.fiber_id from fibers f left join dropped d on d.image_id = f.image_id and d.fiber_id = f.fiber_id where d.fiber_id is null"""),
     "stitch_candidates": (stitch_candidates, f"""{fx.with_tables('fibers')}, e as (select image_id, tile_id, fiber_id, 0 en, points[1].x x, points[1].y y, points[1].x - points[2].x dx, points[1].y - points[2].y dy from raw_fibers union all select image_id, tile_id, fiber_id, 1, points[-1].x, points[-1].y, points[-1].x - points[-2].x, points[-1].y - points[-2].y from raw_fibers),
 u as (select *, case when dx = 0 and dy = 0 then 0 else dx / sqrt(dx * dx + dy * dy) end ux, case when dx = 0 and dy = 0 then 0 else dy / sqrt(dx * dx + dy * dy) end uy from e)
 select a.image_id, a.fiber_id a, a.en::bigint a_end, b.fiber_id b, b.en::bigint b_end, {r6('sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))')} gap from u a join u b on a.image_id = b.image_id and a.tile_id <> b.tile_id and a.fiber_id < b.fiber_id where sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 6 and a.ux * b.ux + a.uy * b.uy <= -cos(radians(45.0::double))"""),

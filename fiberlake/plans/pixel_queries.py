@@ -62,7 +62,7 @@ def channel_clamp(spark, d):
 
 
 def channel_stats(spark, d):
-    both = fx.px_multi(spark, d).select("image_id", "channel", "value").union(fx.px_scan(spark, d).select(F.lit(1).cast("long"), "channel", "value"))
+    both = fx.px_multi(spark, d).select("image_id", "channel", "value").union(fx.px_scan(spark, d).select(F.lit(-1).cast("long"), "channel", "value"))
     return pixels.channel_stats(both).select("image_id", *longs("channel", "n"), *[R(F.col(c)).alias(c) for c in ("lo", "hi", "norm_lo", "norm_hi", "threshold")])
 
 
@@ -192,8 +192,8 @@ def assign_tiles(spark, d):
     return tiles.assign_tiles(p, tiles.make_tiles(r, core=48, overlap=8)).select("image_id", *longs("channel", "x", "y", "tile_id"))
 
 
-_DENSE = "one as (select image_id, x, y, g, t from gray where channel = 0), grid as (select 0::bigint image_id, xx::int x, yy::bigint y from range(128) a(xx), range(128) b(yy)), dense as (select gr.image_id, gr.x, gr.y, coalesce(o.g, 0) g, coalesce(case when o.g > o.t then 1 else 0 end, 0) f from grid gr left join one o using (image_id, x, y))"
-_MASK = "mask as (select image_id, x, y, not (f = 1 and (x + y) % 3 = 0) inside from dense), dist as (select a.image_id, a.x, a.y, case when a.inside then (select min(abs(a.x - b.x) + abs(a.y - b.y)) from mask b where not b.inside) else 0 end distance from mask a)"
+_DENSE = "one as (select image_id, x, y, g, t from gray where channel = 0), grid as (select image_id, xx::int x, yy::bigint y from (select distinct image_id from one), range(128) a(xx), range(128) b(yy)), dense as (select gr.image_id, gr.x, gr.y, coalesce(o.g, 0) g, coalesce(case when o.g > o.t then 1 else 0 end, 0) f from grid gr left join one o using (image_id, x, y))"
+_MASK = "mask as (select image_id, x, y, not (f = 1 and (x + y) % 3 = 0) inside from dense), dist as (select a.image_id, a.x, a.y, case when a.inside then (select min(abs(a.x - b.x) + abs(a.y - b.y)) from mask b where b.image_id = a.image_id and not b.inside) else 0 end distance from mask a)"
 #: Edge pixels of the images in a table dense_px (image_id, x, y, g) of 96 x 96 pixels: gradient ridges, then everything that is joined to a strong one.
 EDGES = """taps(dx, dy, wx, wy) as (values (-1, -1, -1, -1), (0, -1, 0, -2), (1, -1, 1, -1), (-1, 0, -2, 0), (1, 0, 2, 0), (-1, 1, -1, 1), (0, 1, 0, 2), (1, 1, 1, 1)),
 grad as (select c.image_id, c.x, c.y, sum(n.g * wx) gx, sum(n.g * wy) gy from dense_px c, taps, dense_px n where n.image_id = c.image_id and n.x = c.x + dx and n.y = c.y + dy and c.x between 1 and 94 and c.y between 1 and 94 group by c.image_id, c.x, c.y),
@@ -221,7 +221,7 @@ QUERIES = {
     "crop": (crop, f"{fx.with_tables('px_scan')} select image_id, channel::bigint channel, x::bigint x, y, {r6('value')} as value from px_scan, (select max(y) my from px_scan) where x >= 3 and x < 24 and y >= floor(my * 0.25::double + 0.2::double) and y < ceil(my * 0.25::double + 0.2::double + my * 0.5::double)"),
     "downsample": (downsample, f"{fx.with_tables('px_multi')} select image_id, channel::bigint channel, floor(x / 2.5::double)::bigint x, floor(y / 2.5::double)::bigint y, {r6("avg(value)")} as value from px_multi group by image_id, channel, floor(x / 2.5::double), floor(y / 2.5::double)"),
     "channel_clamp": (channel_clamp, f"{fx.with_tables('px_multi')} select image_id, channel::bigint channel, x::bigint x, y, {r6('value')} as value from px_multi where channel = (select max(channel) from px_multi)"),
-    "channel_stats": (channel_stats, f"{fx.with_tables('px_multi', 'px_scan')}, both_px as (select image_id, channel, value from px_multi union all select 1, channel, value from px_scan), {STATS.format(px='both_px')} select image_id::bigint image_id, channel::bigint channel, n::bigint n, {', '.join(f'{r6(c)} {c}' for c in ('lo', 'hi', 'norm_lo', 'norm_hi', 'threshold'))} from stats"),
+    "channel_stats": (channel_stats, f"{fx.with_tables('px_multi', 'px_scan')}, both_px as (select image_id, channel, value from px_multi union all select -1, channel, value from px_scan), {STATS.format(px='both_px')} select image_id::bigint image_id, channel::bigint channel, n::bigint n, {', '.join(f'{r6(c)} {c}' for c in ('lo', 'hi', 'norm_lo', 'norm_hi', 'threshold'))} from stats"),
     "to_gray": (to_gray, f"{gray_sql('px_scan')} select image_id, channel::bigint channel, x::bigint x, y, g from gray"),
     "gray_robust": (gray_robust, f"""{fx.with_tables('px_multi')}, top as (select image_id, channel, max(value) mx from px_multi where value > 0 group by all), hist as (select image_id, channel, mx, least(floor(value * (2048.0::double / mx)), 2047) bin, count(*) c from px_multi join top using (image_id, channel) where value > 0 group by all),
 cum as (select *, sum(c) over (partition by image_id, channel order by bin) cu, ceil(sum(c) over (partition by image_id, channel) * 0.995::double) target from hist), white as (select image_id, channel, case when (min(bin) + 1) * (mx / 2048.0::double) > mx * 0.02::double then (min(bin) + 1) * (mx / 2048.0::double) else mx end w from cum where cu >= target group by image_id, channel, mx)

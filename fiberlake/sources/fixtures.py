@@ -19,9 +19,9 @@ def px_scan(spark, sf_dir) -> DataFrame:
 
 
 def px_multi(spark, sf_dir) -> DataFrame:
-    """A sparse image of seven channels, 128 x 128."""
+    """Sparse images of seven channels, 128 x 128; their number grows with the orders."""
     li = table(spark, sf_dir, "lineitem")
-    keys = [F.lit(0).cast("long").alias("image_id"), (F.col("l_linenumber") - 1).cast("int").alias("channel"), (F.col("l_partkey") % 128).cast("int").alias("x"), (F.col("l_orderkey") % 128).cast("long").alias("y")]
+    keys = [F.floor(F.col("l_orderkey") / 4096).alias("image_id"), (F.col("l_linenumber") - 1).cast("int").alias("channel"), (F.col("l_partkey") % 128).cast("int").alias("x"), (F.col("l_orderkey") % 128).cast("long").alias("y")]
     return li.groupBy(*keys).agg(F.max(F.col("l_extendedprice").cast("double")).alias("value"))
 
 
@@ -114,7 +114,7 @@ def _sql_ring(vertices) -> str:
 #: DuckDB's form of the same tables, as common table expressions.
 SQL = {
     "px_scan": "px_scan as (select 0::bigint image_id, 0 channel, (i - 1)::int x, vec_id y, embedding[i]::double as value from embeddings, unnest(range(1, len(embedding) + 1)) t(i))",
-    "px_multi": "px_multi as (select 0::bigint image_id, (l_linenumber - 1)::int channel, (l_partkey % 128)::int x, (l_orderkey % 128)::bigint y, max(l_extendedprice::double) as value from lineitem group by l_linenumber - 1, l_partkey % 128, l_orderkey % 128)",
+    "px_multi": "px_multi as (select l_orderkey::bigint // 4096 image_id, (l_linenumber - 1)::int channel, (l_partkey % 128)::int x, (l_orderkey % 128)::bigint y, max(l_extendedprice::double) as value from lineitem group by l_orderkey::bigint // 4096, l_linenumber - 1, l_partkey % 128, l_orderkey % 128)",
     "px_lines": """drawn as (select s_suppkey::bigint // 4 image_id, s_suppkey::bigint k, s_suppkey % 4 dir, 34 + s_suppkey::bigint * 11 % 30 n, case when s_suppkey % 4 = 1 then 10 + s_suppkey::bigint * 31 % 70 else 6 + s_suppkey::bigint * 37 % 22 end x0,
 case when s_suppkey % 4 = 0 then 10 + s_suppkey::bigint * 29 % 70 when s_suppkey % 4 = 3 then 6 + s_suppkey::bigint * 53 % 22 + 34 + s_suppkey::bigint * 11 % 30 else 6 + s_suppkey::bigint * 53 % 22 end y0 from supplier),
 lit_px as (select image_id, x0 + i * case when dir = 1 then 0 else 1 end + case when dir = 0 then 0 else o end x, y0 + i * case when dir = 0 then 0 when dir = 3 then -1 else 1 end + case when dir = 0 then o else 0 end y from (select *, unnest(range(n)) i from drawn), (values (-1), (0), (1)) v(o)),
