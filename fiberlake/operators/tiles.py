@@ -9,8 +9,12 @@ from fiberlake.functions.geometry import half_up
 
 
 def make_tiles(regions: DataFrame, core: int = 768, overlap: int = 96, max_tiles: int | None = 64) -> DataFrame:
-    """Tiles of each region (image_id, x, y, width, height, downsample), row by row: core box, read box (core and overlap, clamped), both in analysed pixels."""
-    r = regions.select("image_id", "x", "y", "downsample", F.ceil(F.col("width") / F.col("downsample")).cast("int").alias("w"), F.ceil(F.col("height") / F.col("downsample")).cast("int").alias("h"))
+    """Tiles of each region (image_id, x, y, width, height, downsample), row by row: core box, read box (core and overlap, clamped), both in analysed pixels, and the read box in full pixels.
+
+    Optional columns image_width and image_height clamp the full box; tiles that lie outside the image are left out.
+    """
+    edge = [(F.col(c) if c in regions.columns else F.lit(None)).cast("int").alias(c) for c in ("image_width", "image_height")]
+    r = regions.select("image_id", "x", "y", "downsample", *edge, F.ceil(F.col("width") / F.col("downsample")).cast("int").alias("w"), F.ceil(F.col("height") / F.col("downsample")).cast("int").alias("h"))
     grid = F.struct(F.greatest(F.lit(1), F.ceil(F.col("w") / core)).cast("int").alias("c"), F.greatest(F.lit(1), F.ceil(F.col("h") / core)).cast("int").alias("r"))
     r = r.withColumn("_g", grid)
     if max_tiles is not None:
@@ -21,11 +25,13 @@ def make_tiles(regions: DataFrame, core: int = 768, overlap: int = 96, max_tiles
     t = r.select("*", F.explode(F.sequence(F.lit(0), F.col("_g.r") - 1)).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.col("_g.c") - 1)).alias("col"))
     t = t.withColumn("core_x0", F.col("col") * F.col("cw")).withColumn("core_x1", F.least("w", (F.col("col") + 1) * F.col("cw"))).withColumn("core_y0", F.col("row") * F.col("ch")).withColumn("core_y1", F.least("h", (F.col("row") + 1) * F.col("ch")))
     t = t.where("core_x0 < core_x1 and core_y0 < core_y1")
-    t = t.withColumn("tile_id", F.row_number().over(Window.partitionBy("image_id").orderBy("row", "col")) - 1)
     read = {"read_x0": F.greatest(F.lit(0), F.col("core_x0") - overlap), "read_x1": F.least("w", F.col("core_x1") + overlap), "read_y0": F.greatest(F.lit(0), F.col("core_y0") - overlap), "read_y1": F.least("h", F.col("core_y1") + overlap)}
     t = t.withColumns(read)
     full = {"full_x": F.col("x") + half_up(F.col("read_x0") * F.col("downsample")), "full_y": F.col("y") + half_up(F.col("read_y0") * F.col("downsample"))}
-    return t.withColumns(full).select("image_id", "tile_id", "core_x0", "core_x1", "core_y0", "core_y1", "read_x0", "read_x1", "read_y0", "read_y1", "full_x", "full_y")
+    size = lambda a, b, edge, at: F.least(F.col(edge) - F.col(at), half_up((F.col(b) - F.col(a)) * F.col("downsample"))).cast("long")
+    t = t.withColumns(full).withColumns({"full_w": size("read_x0", "read_x1", "image_width", "full_x"), "full_h": size("read_y0", "read_y1", "image_height", "full_y")}).where("full_w > 0 and full_h > 0")
+    t = t.withColumn("tile_id", F.row_number().over(Window.partitionBy("image_id").orderBy("row", "col")) - 1)
+    return t.select("image_id", "tile_id", "core_x0", "core_x1", "core_y0", "core_y1", "read_x0", "read_x1", "read_y0", "read_y1", "full_x", "full_y", "full_w", "full_h")
 
 
 def assign_tiles(pixels: DataFrame, tiles: DataFrame) -> DataFrame:

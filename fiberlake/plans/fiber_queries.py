@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from fiberlake.functions import geometry as g
 from fiberlake.functions import params
 from fiberlake.operators import boundary, detect, fibers, pipeline, rounds, seams, tiles, tuning
-from fiberlake.plans.pixel_queries import GRAY, REGIONS, STATS, gray_lines, gray_of, lines_sql, longs, r6, regions
+from fiberlake.plans import pixel_queries
+from fiberlake.plans.pixel_queries import GRAY, REGIONS, STATS, gray_lines, gray_of, line_columns, lines_sql, longs, r6, regions
 from fiberlake.sources import fixtures as fx
 from fiberlake.sources.pixels import fibers_from_json, fibers_to_json
 from fiberlake.streaming import streams
@@ -352,11 +353,31 @@ def tile_health(spark, d):
     return h.select(F.unix_micros("window_start").alias("window_us"), *longs("tiles", "failed"), R(F.col("mean_traced")).alias("mean_traced"), R(F.col("std_traced")).alias("std_traced"))
 
 
+def _folder(spark) -> str:
+    rounds.cut(spark.range(1))  # makes sure that there is a shared folder
+    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+
+def stream_detect(spark, d):
+    """Tiles arrive over several batches; a third of them come half read at first and whole later."""
+    top = _folder(spark)
+    gray = gray_lines(spark, d).select("image_id", F.lit(0).alias("tile_id"), "x", "y", "g", "width", "height")
+    find = lambda df: detect.detect(df, ["image_id", "tile_id"])
+
+    def arrive(rows: DataFrame) -> None:
+        rows.repartition(4, "image_id").write.mode("append").parquet(f"{top}/in")
+        streams.stream_detect(spark, f"{top}/in", gray.schema, f"{top}/tiles", f"{top}/state", find, fibers.renumber, f"{top}/images", files=2).awaitTermination()
+
+    arrive(gray.where("image_id % 3 = 0").withColumn("g", F.when(F.col("x") < 48, F.col("g")).otherwise(0)))
+    arrive(gray)
+    f = streams.stored(spark, f"{top}/images").drop("fiber_id").withColumnRenamed("new_id", "fiber_id")
+    return line_columns(f)
+
+
 def _streamed(spark, d, transform) -> DataFrame:
     """The final table of a streaming aggregation over the events' files."""
     schema = fx.table(spark, d, "events").schema
-    rounds.cut(spark.range(1))  # makes sure that there is a shared folder
-    top = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    top = _folder(spark)
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(f"{d}/events*.parquet")
     query = transform(rows).writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{top}/out")).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -505,6 +526,7 @@ select image_id, {', '.join(f"array_to_string([{a}[i] for i in range(1, len({a})
     "seed_pairs": (seed_pairs, f"""{fx.with_tables('vertices')}, p as (select a.image_id, a.vertex_id a, b.vertex_id b, a.x ax, a.y ay, b.x bx, b.y "by", sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) dist from vertices a join vertices b on a.image_id = b.image_id and a.vertex_id <> b.vertex_id and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 6),
 t as (select p.image_id, p.a, p.b, q.b c, p.dist, q.dist d2, ((p.bx - p.ax) * (q.bx - p.bx) + (p."by" - p.ay) * (q."by" - p."by")) / (p.dist * q.dist) cosine from p join p q on q.image_id = p.image_id and q.a = p.b and q.b <> p.a where p.dist > 0 and q.dist > 0), r as (select *, row_number() over (partition by image_id, a, b order by d2, c) k from t where cosine >= cos(radians(70.0::double)))
 select image_id, a, b, c, {r6('dist')} dist, {r6('cosine')} cosine from r where k = 1"""),
+    "stream_detect": (stream_detect, pixel_queries.QUERIES["detect"][1]),
     "tile_health": (tile_health, _HEALTH),
     "stream_equals_batch": (stream_equals_batch, _HEALTH),
     "latest_wins": (latest_wins, "select user_id region_id, max(event_id) generation, arg_max(event_type, event_id) request from events group by user_id"),

@@ -142,10 +142,13 @@ def hough_segments(spark, d):
     return s.select("image_id", *longs("seg_id", "theta", "rho", "votes", "pixels", "ax", "ay", "bx", "by"), R(F.col("length")).alias("length"))
 
 
-def detect_lines(spark, d):
-    f = detect.detect(gray_lines(spark, d), ["image_id"])
+def line_columns(f: DataFrame) -> DataFrame:
     ends = {f"{c}{i}": R(F.get("points", F.lit(i))[c]) for i in (0, 1) for c in "xy"}
-    return f.select("image_id", "fiber_id", *[v.alias(k) for k, v in ends.items()], R(F.col("angle")).alias("angle"), R(F.col("length_arc")).alias("length_arc"))
+    return f.select("image_id", *longs("fiber_id"), *[v.alias(k) for k, v in ends.items()], R(F.col("angle")).alias("angle"), R(F.col("length_arc")).alias("length_arc"))
+
+
+def detect_lines(spark, d):
+    return line_columns(detect.detect(gray_lines(spark, d), ["image_id"]))
 
 
 def retry_dense(spark, d):
@@ -156,22 +159,25 @@ def retry_dense(spark, d):
 def regions(spark, d) -> DataFrame:
     """One region for each user group of the events."""
     e = fx.table(spark, d, "events").groupBy(F.floor(F.col("user_id") / 15).alias("image_id")).agg(F.max("event_id").alias("m"))
-    return e.select("image_id", (F.col("m") % 100).cast("int").alias("x"), (F.col("m") % 50).cast("int").alias("y"), (300 + F.col("m") % 9000).cast("int").alias("width"), (200 + F.col("m") * 7 % 20000).cast("int").alias("height"), (1 + F.col("m") % 4 * 0.5).cast("double").alias("downsample"), F.when(F.col("m") % 3 == 0, None).otherwise(0.25 + F.col("m") % 5 * 0.1).cast("double").alias("pixel_size_um"))
+    return e.select("image_id", (F.col("m") % 100).cast("int").alias("x"), (F.col("m") % 50).cast("int").alias("y"), (300 + F.col("m") % 9000).cast("int").alias("width"), (200 + F.col("m") * 7 % 20000).cast("int").alias("height"), (1 + F.col("m") % 4 * 0.5).cast("double").alias("downsample"), F.when(F.col("m") % 3 == 0, None).otherwise(0.25 + F.col("m") % 5 * 0.1).cast("double").alias("pixel_size_um"), (F.col("m") % 100 + 300 + F.col("m") % 9000 - F.col("m") % 7 * 150).cast("int").alias("image_width"), (F.col("m") % 50 + 200 + F.col("m") * 7 % 20000 + 20 - F.col("m") % 3 * 30).cast("int").alias("image_height"))
 
 
-REGIONS = "regions as (select image_id, (m % 100)::int x, (m % 50)::int y, (300 + m % 9000)::int width, (200 + m * 7 % 20000)::int height, (1 + m % 4 * 0.5::double) downsample, case when m % 3 = 0 then null else 0.25::double + m % 5 * 0.1::double end pixel_size_um from (select user_id // 15 image_id, max(event_id) m from events group by user_id // 15))"
+REGIONS = "regions as (select image_id, (m % 100)::int x, (m % 50)::int y, (300 + m % 9000)::int width, (200 + m * 7 % 20000)::int height, (1 + m % 4 * 0.5::double) downsample, case when m % 3 = 0 then null else 0.25::double + m % 5 * 0.1::double end pixel_size_um, (m % 100 + 300 + m % 9000 - m % 7 * 150)::int image_width, (m % 50 + 200 + m * 7 % 20000 + 20 - m % 3 * 30)::int image_height from (select user_id // 15 image_id, max(event_id) m from events group by user_id // 15))"
 TILES = """sized as (select *, ceil(width / downsample)::int w, ceil(height / downsample)::int h from regions),
 shrink as (select image_id, greatest(1, ceil(w / 768.0::double))::int c, greatest(1, ceil(h / 768.0::double))::int r from sized
  union all select image_id, case when c >= r and c > 1 then c - 1 else c end, case when c >= r and c > 1 then r when r > 1 then r - 1 else r end from shrink where c * r > 64 and (c > 1 or r > 1)),
 fit as (select s.*, k.c, k.r, ceil(w / k.c::double)::int cw, ceil(h / k.r::double)::int ch from sized s join (select image_id, c, r from shrink where c * r <= 64 or (c = 1 and r = 1)) k using (image_id)),
 boxes as (select *, col * cw core_x0, least(w, (col + 1) * cw) core_x1, row_ * ch core_y0, least(h, (row_ + 1) * ch) core_y1 from (select *, unnest(range(c)) col from (select *, unnest(range(r)) row_ from fit))),
-tiles as (select image_id, row_number() over (partition by image_id order by row_, col) - 1 tile_id, core_x0, core_x1, core_y0, core_y1, greatest(0, core_x0 - 96) read_x0, least(w, core_x1 + 96) read_x1, greatest(0, core_y0 - 96) read_y0, least(h, core_y1 + 96) read_y1, x, y, downsample from boxes where core_x0 < core_x1 and core_y0 < core_y1),
-full_tiles as (select *, x + floor(read_x0 * downsample + 0.5::double)::bigint full_x, y + floor(read_y0 * downsample + 0.5::double)::bigint full_y from tiles)"""
+read_ as (select *, greatest(0, core_x0 - 96) read_x0, least(w, core_x1 + 96) read_x1, greatest(0, core_y0 - 96) read_y0, least(h, core_y1 + 96) read_y1 from boxes where core_x0 < core_x1 and core_y0 < core_y1),
+at_ as (select *, x + floor(read_x0 * downsample + 0.5::double)::bigint full_x, y + floor(read_y0 * downsample + 0.5::double)::bigint full_y from read_),
+full_ as (select *, least(image_width - full_x, floor((read_x1 - read_x0) * downsample + 0.5::double)::bigint) full_w, least(image_height - full_y, floor((read_y1 - read_y0) * downsample + 0.5::double)::bigint) full_h from at_),
+tiles as (select *, row_number() over (partition by image_id order by row_, col) - 1 tile_id from full_ where full_w > 0 and full_h > 0),
+full_tiles as (select * from tiles)"""
 BOX = ["core_x0", "core_x1", "core_y0", "core_y1", "read_x0", "read_x1", "read_y0", "read_y1"]
 
 
 def make_tiles(spark, d):
-    return tiles.make_tiles(regions(spark, d)).select("image_id", *longs("tile_id", *BOX, "full_x", "full_y"))
+    return tiles.make_tiles(regions(spark, d)).select("image_id", *longs("tile_id", *BOX, "full_x", "full_y", "full_w", "full_h"))
 
 
 def tile_name(spark, d):
@@ -242,7 +248,7 @@ select a.image_id, a.x::bigint x, a.y, a.m::bigint magnitude, a.m > 120 strong f
     "hough_segments": (hough_segments, lines_sql(tail=f"""select image_id, seg_id, theta::bigint theta, rho, votes, pixels, a.x::bigint ax, a.y::bigint ay, b.x::bigint bx, b.y::bigint "by", {r6('length')} length from ranked where seg_id < 500""")),
     "detect": (detect_lines, lines_sql(tail=f"""select image_id, seg_id fiber_id, a.x::double x0, a.y::double y0, b.x::double x1, b.y::double y1, {r6(f'case when {_TURN} < 0 then ({_TURN} + 180) % 180 else {_TURN} % 180 end + 0.0::double')} angle, {r6('length')} length_arc from ranked where seg_id < 500""")),
     "retry_dense": (retry_dense, f"{gray_sql('px_multi')}, steps as (select * from (values (1, 100.0::double, 2.0::double), (2, 145.0::double, 4.0::double), (3, 208.0::double, 8.0::double), (4, 254.0::double, 16.0::double)) v(k, th, sp)), n as (select image_id, channel, k, th, sp, count(*) filter (where g > th) c from gray, steps group by all), fit as (select image_id, channel, coalesce(min(k) filter (where c <= 4000), 4) k, count(*) filter (where c <= 4000) > 0 ok from n group by all) select image_id, channel::bigint channel, c foreground, k::bigint attempts, {r6('th')} threshold, {r6('sp')} spacing, k > 1 or not ok raised, ok from fit join n using (image_id, channel, k)"),
-    "make_tiles": (make_tiles, f"with recursive {REGIONS}, {TILES} select image_id, tile_id, {', '.join(f'{c}::bigint {c}' for c in BOX)}, full_x, full_y from full_tiles"),
+    "make_tiles": (make_tiles, f"with recursive {REGIONS}, {TILES} select image_id, tile_id, {', '.join(f'{c}::bigint {c}' for c in BOX)}, full_x, full_y, full_w, full_h from full_tiles"),
     "tile_name": (tile_name, f"with recursive {REGIONS}, {TILES} select image_id, tile_id, 'fiberlake_tile_x' || full_x || '_y' || full_y || '_w' || (read_x1 - read_x0) || '_h' || (read_y1 - read_y0) || '_ds' || case when downsample = floor(downsample) then downsample::int::varchar else replace(downsample::varchar, '.', 'p') end || '_ch0.parquet' file_name from full_tiles"),
     "pick_tile": (pick_tile, f"with recursive {REGIONS}, {TILES}, pts as (select image_id, q * width / downsample px, q * height / downsample py from regions, (values (0.3::double), (0.9::double), (1.5::double)) v(q)) select image_id, {r6('px')} px, {r6('py')} py, coalesce((select min(tile_id) from tiles t where t.image_id = p.image_id and px >= core_x0 and px < core_x1 and py >= core_y0 and py < core_y1), (select count(*) // 2 from tiles t where t.image_id = p.image_id)) tile_id from pts p"),
     "assign_tiles": (assign_tiles, f"{fx.with_tables('px_multi')}, t as (select r * 3 + c tile_id, c * 43 - 8 x0, least(128, (c + 1) * 43) + 8 x1, r * 43 - 8 y0, least(128, (r + 1) * 43) + 8 y1 from range(3) a(c), range(3) b(r)) select image_id, channel::bigint channel, x::bigint x, y, tile_id from px_multi, t where x >= x0 and x < x1 and y >= y0 and y < y1"),

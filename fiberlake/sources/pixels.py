@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiberlake import schemas
 from fiberlake.functions.geometry import point
 
+#: Values of an image that become rows at once.
+PIECE = 1 << 20
+
 
 def read_pixels(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Long pixel rows from a Parquet pixel table, or from 8-bit images through Spark's image source (Blue, Green, Red order is the source's)."""
@@ -15,11 +22,27 @@ def read_pixels(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
         return spark.read.parquet(path)
     images = spark.read.format("image").option("dropInvalid", True).load(path)
     i = images.select(F.xxhash64("image.origin").alias("image_id"), "image.width", "image.nChannels", F.col("image.data").alias("data"))
-    # a byte at a time, in the order of the buffer: rows, then columns, then channels
-    at = F.explode(F.sequence(F.lit(0), F.length("data") - 1)).alias("i")
-    out = i.select("image_id", "width", "nChannels", "data", at)
-    value = F.conv(F.hex(F.substring(F.col("data"), F.col("i") + 1, F.lit(1))), 16, 10).cast("double")
-    return out.select("image_id", (F.col("i") % F.col("nChannels")).cast("int").alias("channel"), (F.floor(F.col("i") / F.col("nChannels")) % F.col("width")).cast("int").alias("x"), F.floor(F.col("i") / (F.col("nChannels") * F.col("width"))).cast("int").alias("y"), value.alias("value"))
+    return i.mapInPandas(_pixel_rows, "image_id long, channel int, x int, y int, value double")
+
+
+def _pixel_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The values of each image buffer (rows, then columns, then channels), some of its rows at a time."""
+    for pdf in batches:
+        for image_id, width, channels, data in pdf.itertuples(index=False):
+            values = np.frombuffer(data, np.uint8)
+            step = max(1, PIECE // (width * channels)) * width * channels
+            for lo in range(0, len(values), step):
+                part = values[lo : lo + step]
+                at = np.arange(lo, lo + len(part))
+                yield pd.DataFrame({"image_id": image_id, "channel": at % channels, "x": at // channels % width, "y": at // (channels * width), "value": part.astype(float)})
+
+
+def read_truth_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Hand-traced lines from GeoJSON features, one feature a line: image_id, line_id, class, name, points. Lines of fewer than two points are left out."""
+    schema = "image_id long, id int, geometry struct<type: string, coordinates: string>, properties struct<classification: struct<name: string>, name: string>"
+    f = spark.read.schema(schema).json(path).where("geometry.type = 'LineString'")
+    lines = f.select("image_id", F.col("id").cast("long").alias("line_id"), F.col("properties.classification.name").alias("class"), F.col("properties.name").alias("name"), F.from_json("geometry.coordinates", "array<array<double>>").alias("v"))
+    return lines.where(F.size("v") >= 2).select("image_id", "line_id", "class", "name", F.transform("v", lambda p: point(p[0], p[1])).alias("points"))
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -7,17 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TILE = ["image_id", "tile_id"]
 
-def stream_detect(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, detect: Callable[[DataFrame], DataFrame]):
+
+def stream_detect(
+    spark: SparkSession, source: str, schema, sink: str, checkpoint: str, detect: Callable[[DataFrame], DataFrame],
+    postprocess: Callable[[DataFrame], DataFrame] | None = None, results: str | None = None, files: int | None = None,
+):
     """Starts a query that analyses tile files as they arrive and stores each tile's fibres; a tile that comes again replaces itself.
 
-    detect gets a batch of tile pixels and returns rows with image_id and tile_id. Ranking windows are not allowed on a
-    stream, so it runs on each micro-batch. Post-process the images named by the sink's partitions afterwards.
+    detect gets a batch of tile pixels and returns rows with image_id, tile_id and fiber_id. Ranking windows are not
+    allowed on a stream, so it runs on each micro-batch (of that many files at most); a tile comes in one file. With
+    postprocess, the images that a batch touched are post-processed again from all of their stored tiles into `results`.
+    A batch that runs twice writes the same again. Read both folders by `stored`.
     """
+
     def batch(df: DataFrame, _: int) -> None:
-        detect(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("image_id", "tile_id").parquet(sink)
+        tiles = df.select(*TILE).distinct()
+        _replace(tiles.join(detect(df), TILE, "left"), sink, TILE)
+        if postprocess is not None:
+            images = tiles.select("image_id").distinct()
+            touched = stored(spark, sink).join(images, "image_id", "left_semi")
+            _replace(images.join(postprocess(touched), "image_id", "left"), results, ["image_id"])
+
+    rows = spark.readStream.schema(schema)
+    if files is not None:
+        rows = rows.option("maxFilesPerTrigger", files)
+    return rows.parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _replace(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Groups without fibres are written as one row without id, so that they replace what was there."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
 
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The fibres that stream_detect stored."""
+    return spark.read.parquet(path).where(F.col("fiber_id").isNotNull()).withColumn("image_id", F.col("image_id").cast("long"))
 
 
 def tile_health(stats: DataFrame, late: str = "10 minutes", width: str = "1 hour", slide: str | None = None) -> DataFrame:

@@ -145,6 +145,34 @@ def test_images_and_annotations_are_read(spark, tmp_path):
     assert rows == [(1, 0, 3, "Tumour"), (1, 1, 3, "Tumour"), (2, 0, 3, None)]
 
 
+def test_line_annotations_are_truth_lines(spark, tmp_path):
+    from fiberlake.sources.pixels import read_annotations, read_truth_lines
+
+    (tmp_path / "a.json").write_text('{"image_id": 3, "id": 7, "geometry": {"type": "LineString", "coordinates": [[1,2],[3,4],[5,5]]}, "properties": {"name": "l"}}\n{"image_id": 3, "id": 8, "geometry": {"type": "LineString", "coordinates": [[1,2]]}, "properties": {}}\n{"image_id": 3, "id": 9, "geometry": {"type": "Polygon", "coordinates": [[[1,1],[2,1],[2,2]]]}, "properties": {}}\n{"image_id": 3, "id": 10, "geometry": null}\n')
+    rows = [(r.image_id, r.line_id, r.name, [(p.x, p.y) for p in r.points]) for r in read_truth_lines(spark, str(tmp_path)).collect()]
+    assert rows == [(3, 7, "l", [(1, 2), (3, 4), (5, 5)])] and read_annotations(spark, str(tmp_path)).count() == 1
+
+
+def test_an_image_becomes_pixel_rows(spark, tmp_path, monkeypatch):
+    import struct
+    import zlib
+
+    from fiberlake.sources import pixels as source
+
+    value = lambda x, y, c: (x * 40 + y * 7 + c * 90) % 256
+    lines = b"".join(b"\0" + bytes(value(x, y, c) for x in range(5) for c in range(3)) for y in range(4))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    (tmp_path / "i.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 4, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b""))
+    got = {(r.x, r.y, r.channel): r.value for r in source.read_pixels(spark, str(tmp_path), "image").collect()}
+    assert got == {(x, y, 2 - c): value(x, y, c) for x in range(5) for y in range(4) for c in range(3)}
+
+
+def test_full_boxes_end_with_the_image(spark):
+    regions = spark.createDataFrame([(0, 0, 0, 2000, 700, 1.0, 1500, 600)], "image_id long, x int, y int, width int, height int, downsample double, image_width int, image_height int")
+    got = [(r.tile_id, r.full_x, r.full_w, r.full_h) for r in tiles.make_tiles(regions, core=500, overlap=50, max_tiles=None).where("core_y0 = 0").orderBy("tile_id").collect()]
+    assert got == [(0, 0, 550, 400), (1, 450, 600, 400), (2, 950, 550, 400), (3, 1450, 50, 400)]
+
+
 def test_objects_are_saved_by_image(spark, tmp_path):
     f = make(spark, (0, 1, [(0, 0), (10, 0)]), (0, 2, [(0, 5), (9, 5)])).withColumn("angle_to_tangent", F.lit(None).cast("double")).withColumn("distance_to_boundary", F.lit(None).cast("double"))
     box = spark.createDataFrame([(0, 100, 50, 2.0, None)], "image_id long, x int, y int, downsample double, pixel_size_um double")
