@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiberlake.llm import bpe, decontamination, fingerprints, html_text, line_dedup, near_duplicates, quality, sharding, toxicity, warc
+from fiberlake.llm import bpe, decontamination, divergence, fingerprints, html_text, line_dedup, near_duplicates, quality, sharding, simhash, spelling, toxicity, warc
 from fiberlake.llm.common import table
 from fiberlake.llm.labelled import held_out
 
@@ -61,7 +61,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity, "toxic", 3, 1, spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_pairwise_quality, op3_spaced_seed_decontamination, op4_winnowing_fingerprints, op5_minhash_near_duplicates, op6_line_dedup, op7_byte_bpe, op8_warc_fixity_audit, op9_html_main_text, op10_toxicity)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), least=7, often=2, modulus=31), ratio=10)
+
+
+def op12_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_sharding, op2_pairwise_quality, op3_spaced_seed_decontamination, op4_winnowing_fingerprints, op5_minhash_near_duplicates, op6_line_dedup, op7_byte_bpe, op8_warc_fixity_audit, op9_html_main_text, op10_toxicity, op11_spelling_variants, op12_simhash_near_duplicates, op13_source_divergence)}
 
 _RECORD = """'WARC/1.0' || e'\\r\\n' || 'WARC-Type: response' || e'\\r\\n' || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e'\\r\\n' || 'WARC-Target-URI: ' || coalesce(url, '') || e'\\r\\n' || 'Content-Length: ' || strlen(coalesce(html, '')) || e'\\r\\n\\r\\n' || coalesce(html, '') || e'\\r\\n\\r\\n'"""
 
@@ -81,6 +93,19 @@ with l as (select doc_id, i, ls[i] line, translate(trim(ls[i], e' \\t\\n\\x0b\\x
 f as (select k, min(doc_id) first from l where length(k) >= 10 group by k having count(distinct doc_id) > 1),
 d as (select l.*, f.first is not null and f.first <> doc_id gone from l left join f on f.k = l.k)
 select doc_id, count(*) n_lines, count(*) filter (where gone) n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) kept_sha256 from d group by doc_id""",
+    "op13_source_divergence": f"""
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, {_LOWER} t from documents),
+o as (select r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from d),
+k as (select lang, term, count(*) n from o group by lang, term having count(distinct r) >= 30),
+v as (select lang, count(*)::hugeint v, sum(n)::hugeint total from k group by lang),
+g as (select distinct lang, source from d),
+c as (select g.lang, g.source, k.term, k.n all_n, count(o.r)::hugeint n from g join k on k.lang = g.lang left join o on o.lang = g.lang and o.source = g.source and o.term = k.term group by all),
+t as (select *, sum(n) over (partition by lang, source)::hugeint total from c),
+p as (select t.*, 1 + 1000000000 * (t.n + 5) // (t.total + 5 * v.v) p, 1 + 1000000000 * (t.all_n::hugeint + 5) // (v.total + 5 * v.v) q from t join v on v.lang = t.lang),
+pairs as (select g.lang, g.source, h.source item, coalesce(sum(abs(a.p - b.p)), 0) "value" from g join g h on h.lang = g.lang and h.source <> g.source left join p a on a.lang = g.lang and a.source = g.source left join p b on b.lang = a.lang and b.source = h.source and b.term = a.term group by all),
+r as (select lang, source, 'pair' part, item, "value", row_number() over (partition by lang, source order by "value" desc, item) rank from pairs
+union all select * from (select lang, source, 'term' part, term item, p - q, row_number() over (partition by lang, source order by p - q desc, term) rank from p where n > 0 and p > q) where rank <= 50)
+select lang, source, part, item, "value"::bigint "value", rank::int rank from r""",
     # every record is hashed on both sides and compared; the audit must find the same by descent
     "op8_warc_fixity_audit": f"""
 with r as (select page_id, row_number() over (order by page_id, url, html) - 1 as n, {_RECORD} as record from pages),

@@ -68,3 +68,66 @@ def line_dedup(docs, least=10):
 
 def crc(text):
     return zlib.crc32(text.encode())
+
+
+def spelling_words(docs, least=7, often=2, modulus=31):
+    """{word: n}"""
+    from collections import Counter
+
+    out = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(LOWER)
+            h = crc(f"{'' if i is None else i}:{run}")
+            if modulus and h % modulus == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+            if len(run) >= least:
+                out[run] += 1
+    return {w: n for w, n in out.items() if n >= often}
+
+
+def variants(words, ratio=10):
+    """{word: (form, root, n, n_near, form_n)}; tries every edit of every word."""
+    letters = sorted({c for w in words for c in w})
+    near = {}
+    for w in words:
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters}
+        near[w] = [x for x in edits - {w} if x in words]
+    form = {}
+    for w in words:
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= ratio * words[w] else None
+    out = {}
+    for w in words:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (form[w], root, words[w], len(near[w]), words[form[w]] if form[w] is not None else None)
+    return out
+
+
+def simhash(text, k=3):
+    import xxhash
+
+    words = WORD.findall((text or "").translate(LOWER))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(max(1, len(words) - k + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def reached(points):
+    """{point: smallest id that links of 2 bits or fewer reach}; points: (id, point), ids not null."""
+    first = {}
+    for i, p in points:
+        first[p] = min(first.get(p, i), i)
+    left, out = set(first), {}
+    while left:
+        group = todo = {left.pop()}
+        while todo:
+            todo = {q for q in left if any((p ^ q).bit_count() <= 2 for p in todo)}
+            left -= todo
+            group = group | todo
+        out |= dict.fromkeys(group, min(first[p] for p in group))
+    return out
