@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiberlake.llm.common import Ordering, let, longs
+from fiberlake.llm.common import Ordering, let
 
 K, W = 4, 8
 #: Scripts whose words aren't parted by blanks: each letter is a token.
@@ -68,21 +68,20 @@ def fingerprints(documents: DataFrame, k: int = K, w: int = W) -> DataFrame:
     return documents.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), winnow(F.col("text"), k, w).alias("_f")).select("doc_id", "n_chars", F.transform(F.col("_f"), lambda x: F.shiftright(x, 24)).alias("hashes"), positions(F.col("_f")).alias("positions"))
 
 
-def with_next(df: DataFrame, key: str, ties: list, columns: list[str]) -> DataFrame:
-    """df with next_<column> of the following row by the key, the first row following the last. The first of columns is the widest.
+def with_next(df: DataFrame, key: str, tie: str, columns: list[str]) -> DataFrame:
+    """df with next_<column> of the following row by the key and the tie-breaker (a long), the first row following the last. The first of columns is the widest.
 
     Rows are dealt to ordered buckets; the first rows of a bucket also go to the bucket before it, so that each bucket
     finds its followers by itself and rows move once.
     """
-    order = Ordering(df, key, columns[0])
+    order = Ordering(df, key, tie, columns[0])
     n = len(order.first)
     if not n:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    firsts = F.get(longs(order.first), F.col("_b")) == order.sort_key(key)
     here = F.struct(F.col("_b").alias("b"), F.lit(False).alias("guest"))
     before = F.struct(F.pmod(F.col("_b") - 1, F.lit(n)).cast("int").alias("b"), F.lit(True).alias("guest"))
-    dealt = df.withColumn("_b", order.bucket()).withColumn("_to", F.explode(F.when(firsts, F.array(here, before)).otherwise(F.array(here))))
-    w = Window.partitionBy("_to.b").orderBy("_to.guest", order.sort_key(key), *ties)
+    dealt = df.withColumn("_b", order.bucket()).withColumn("_to", F.explode(F.when(order.is_first(F.col("_b")), F.array(here, before)).otherwise(F.array(here))))
+    w = Window.partitionBy("_to.b").orderBy("_to.guest", order.sort_key(), order.sort_tie(), columns[0])
     out = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where(~F.col("_to.guest"))
     return out.drop("_b", "_to")
 
@@ -90,7 +89,7 @@ def with_next(df: DataFrame, key: str, ties: list, columns: list[str]) -> DataFr
 def edited_fingerprints(documents: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """Fingerprints of each text and of its edited text: its last half replaced by the first code points of the next document."""
     own = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.char_length("text").alias("n"), winnow(F.col("text"), k, w).alias("f"))
-    both = with_next(own, "doc_id", ["text"], ["text", "f"])
+    both = with_next(own.withColumn("tie", F.xxhash64("text")), "doc_id", "tie", ["text", "f"])
     half = F.floor(F.col("n") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n") - half), F.substring(F.col("next_text"), F.lit(1), half))
     both = both.select("doc_id", F.col("n").cast("long").alias("n_chars"), "f", "next_f", edited.alias("edited"))

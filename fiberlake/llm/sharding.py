@@ -52,12 +52,13 @@ def permuted(x: Column, n: int, seed: int) -> Column:
 
 
 def shard(df: DataFrame, key: str, shards: int, seed: int = 1, ties: list | None = None) -> DataFrame:
-    """df with row_number, shard int and slot long. The driver gets one row for each range bucket; the shuffle carries df's columns, so pass narrow ones."""
+    """df with row_number, shard int and slot long. ties order rows of one key; the first is a long column without nulls. The driver gets one row for each range bucket; the shuffle carries df's columns, so pass narrow ones."""
     if shards < 1:
         raise ValueError("shards must be positive")
-    order = Ordering(df, key)
+    ties = ties or []
+    order = Ordering(df, key, *ties[:1])
     n = order.rows
-    put = order.numbered(df, ties or [])
+    put = order.numbered(df, ties[1:])
     to = permuted(F.col("row_number"), n, seed) if n else F.lit(0).cast("long")
     return put.withColumn("_to", to).withColumn("shard", (F.col("_to") % shards).cast("int")).withColumn("slot", F.floor(F.col("_to") / F.lit(shards))).drop("_to")
 
