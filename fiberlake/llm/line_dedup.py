@@ -5,11 +5,12 @@ left alone. Hashes of the keys (128 bits) go to range partitions by (hash, docum
 and position, so a hash that a third of all documents hold is spread over many partitions. Each task streams its
 rows in batches: the first document of a run of equal hashes keeps its lines. Only the first and the last run of a batch
 can go on in a neighbouring batch or partition; their rows are passed on undecided and settled against the smallest
-document of their hash (a pre-aggregated minimum). The result is a compressed bitmap of kept lines for each document that loses any; texts are
-moved only to apply it.
+document of their hash (a pre-aggregated minimum). The result is a compressed bitmap for each text that loses lines, its bits set
+where a line goes; texts are moved only to apply it.
 
 A null or empty text is one empty line. Rows of one doc_id are one holder: they lose no line to each other, each loses
-the lines that an earlier document holds, told apart by text. Null doc_ids count as one holder that comes last.
+the lines that an earlier document holds. Null doc_ids count as one holder that comes last. Bitmaps belong to a holder and a text, so
+many rows without an id are as many groups as they have texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiberlake.llm.common import cut, shuffle_width
@@ -46,12 +47,9 @@ def hashed_lines(documents: DataFrame, least: int) -> DataFrame:
         for pdf in batches:
             give_back()
             ids, rows, ats, hashes = [], [], [], bytearray()
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, row, text in zip(pdf["doc_id"], pdf["row"], pdf["text"]):
                 raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-                row = None
                 for at, key in line_keys(raw, least):
-                    if row is None:
-                        row = row_key(raw)
                     ids.append(doc)
                     rows.append(row)
                     ats.append(at)
@@ -59,12 +57,17 @@ def hashed_lines(documents: DataFrame, least: int) -> DataFrame:
             both = np.frombuffer(bytes(hashes), np.int64).reshape(-1, 2)
             yield pd.DataFrame({"h1": both[:, 0], "h2": both[:, 1], "doc_id": np.array(ids, np.int64), "row": np.array(rows, np.int64), "at": np.array(ats, np.int32)})
 
-    kept = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    kept = documents.select(holder().alias("doc_id"), row_key().alias("row"), "text")
     return kept.mapInPandas(run, "h1 long, h2 long, doc_id long, row long, at int")
 
 
-def row_key(raw: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(raw) - 2**63
+def holder() -> Column:
+    return F.coalesce("doc_id", F.lit(NO_ID))
+
+
+def row_key() -> Column:
+    """Tells texts of one holder apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,24 +120,20 @@ def keep(text: str, dropped: bytes | None) -> tuple[int, int, str]:
 
 def line_dedup(documents: DataFrame, least: int = 10, digest: bool = False) -> DataFrame:
     """document (a struct of the documents' columns, its text the kept lines), n_lines, n_dropped; digest: doc_id, n_lines, n_dropped, kept_sha256."""
-    maps = bitmaps(documents, least).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("row", "dropped")).alias("_maps"))
-    keyed = (documents.select("doc_id", "text") if digest else documents).select(F.struct("*").alias("_d"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
-    met = keyed.join(maps, "_id", "left")
+    maps = bitmaps(documents, least).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "dropped")
+    keyed = (documents.select("doc_id", "text") if digest else documents).select(F.struct("*").alias("_d"), holder().alias("_id"), row_key().alias("_row"))
+    met = keyed.join(maps, ["_id", "_row"], "left")
 
     def apply(texts: pd.Series, maps: pd.Series) -> pd.DataFrame:
         out = []
-        for text, found in zip(texts, maps):
-            text, dropped = text if isinstance(text, str) else "", None
-            if found is not None and len(found):
-                row = row_key(text.encode("utf-8", "surrogatepass"))
-                dropped = next((m["dropped"] for m in found if m["row"] == row), None)
-            n, gone, left = keep(text, dropped)
+        for text, dropped in zip(texts, maps):
+            n, gone, left = keep(text if isinstance(text, str) else "", dropped)
             out.append((n, gone, hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest() if digest else left))
         give_back()
         return pd.DataFrame(out, columns=["n", "gone", "left"])
 
     applied = F.pandas_udf(apply, "n long, gone long, left string")
-    met = met.select("_d", applied("_d.text", "_maps").alias("_out"))
+    met = met.select("_d", applied("_d.text", "dropped").alias("_out"))
     n = [F.col("_out.n").alias("n_lines"), F.col("_out.gone").alias("n_dropped")]
     if digest:
         return met.select("_d.doc_id", *n, F.col("_out.left").alias("kept_sha256"))
