@@ -50,7 +50,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = warc.records(table(spark, sf_dir, "pages"))
-    return warc.audit(warc.tree(warc.placed(warc.measured(recs))), warc.tree(warc.placed(warc.measured(warc.damaged_copy(recs)))))
+    primary = warc.placed(warc.measured(recs))
+    replica = warc.placed_like(warc.measured(warc.damaged_copy(recs)), primary)
+    return warc.audit(warc.tree(primary), warc.tree(replica))
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +110,12 @@ union all select * from (select lang, source, 'term' part, term item, p - q, row
 select lang, source, part, item, "value"::bigint "value", rank::int rank from r""",
     # every record is hashed on both sides and compared; the audit must find the same by descent
     "op8_warc_fixity_audit": f"""
-with r as (select page_id, row_number() over (order by page_id, url, html) - 1 as n, {_RECORD} as record from pages),
-d as (select *, case when page_id % 389 = 7 then left(record, (length(record) // 2)::int) when page_id % 97 = 13 then left(record, length(record) - 5) || '~' || right(record, 4) else record end as damaged from r),
-o as (select *, strlen(record) as size, sum(strlen(record)) over (partition by n // 4096 order by n) as hi from d)
-select page_id, n // 4096 as archive, n % 4096 as record_no, (hi - size)::bigint as "offset", size::bigint as length, sha256(record) as primary_sha256, sha256(damaged) as replica_sha256,
-case when strlen(record) <> strlen(damaged) then 'length' else 'content' end as damage from o where record <> damaged""",
+with r as (select page_id, page_id as id, row_number() over (order by page_id, url, html) - 1 as n, {_RECORD} as record from pages),
+d as (select *, case when id % 389 = 7 then left(record, (length(record) // 2)::int) when id % 97 = 13 then left(record, length(record) - 5) || '~' || right(record, 4) else record end as damaged from r),
+x as (select page_id, n, damaged, 0 as k from d where id % 499 <> 3 union all select page_id, null, damaged, 1 from d where id % 701 = 9 union all select -page_id - 1, null, damaged, 0 from d where id % 599 = 5),
+b as (select page_id, coalesce(n, (select count(*) from r) - 1 + row_number() over (partition by n is null order by page_id, k)) as n, damaged as record from x),
+s as (select *, n // 4096 as archive, strlen(record) as size, sum(strlen(record)) over (partition by n // 4096 order by n) as hi from r),
+t as (select *, n // 4096 as archive, strlen(record) as size, sum(strlen(record)) over (partition by n // 4096 order by n) as hi from b)
+select coalesce(s.page_id, t.page_id) as page_id, coalesce(s.archive, t.archive) as archive, coalesce(s.n, t.n) % 4096 as record_no, coalesce(s.hi - s.size, t.hi - t.size)::bigint as "offset", coalesce(s.size, t.size)::bigint as length, sha256(s.record) as primary_sha256, sha256(t.record) as replica_sha256,
+case when t.n is null then 'missing in replica' when s.n is null then 'missing in primary' when s.size <> t.size then 'length' else 'content' end as damage from s full outer join t on s.n = t.n where s.record is distinct from t.record""",
 }

@@ -8,13 +8,19 @@ that differ, level by level. Records are measured and hashed where they are read
 and numbered. All steps are DataFrame joins and aggregations; trees are cut in the shared checkpoint folder, since each
 level reads them.
 
-Null url or html count as empty. Repeated rows are records of their own. A record that only one replica has is reported
-as missing there. An empty table has no roots and no damage.
+Places are the primary's: a directory gives each record's identity (page_id, key, and a number among equal ones) its archive and
+place, and a replica's records are placed by it. A record that the replica has lost leaves its place empty and moves no other;
+one that only the replica has gets a place after the primary's last. So an archive without damage keeps its root, whatever
+happened elsewhere.
+
+Null url or html count as empty. Repeated rows are records of their own, told apart by their number. A record that only one
+replica has is reported as missing in the other, with the offset and length that it has where it is. An empty table has no roots and no damage.
+Columns other than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiberlake.llm.common import Ordering, cut
@@ -35,10 +41,32 @@ def measured(recs: DataFrame) -> DataFrame:
     return recs.select("page_id", "key", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("hash"))
 
 
+def identified(slim: DataFrame) -> DataFrame:
+    """slim with row_number (by page_id and key) and copy (from 0 among records of one page_id and key)."""
+    numbered = Ordering(slim, "page_id", "key").numbered(slim, [])
+    first = numbered.groupBy("page_id", "key").agg(F.min("row_number").alias("_first")).select(F.col("page_id").alias("_id"), F.col("key").alias("_key"), "_first")
+    met = numbered.join(first, numbered.page_id.eqNullSafe(F.col("_id")) & (numbered.key == F.col("_key")))
+    return met.select("page_id", "key", "size", "hash", "row_number", (F.col("row_number") - F.col("_first")).alias("copy"))
+
+
+def _at(place: Column) -> list[Column]:
+    return [F.floor(place / F.lit(ARCHIVE)).alias("archive"), (place % ARCHIVE).cast("int").alias("no")]
+
+
 def placed(slim: DataFrame) -> DataFrame:
-    """slim with archive and no (place in the archive), by page_id and key."""
-    numbered = Ordering(slim, "page_id").numbered(slim, ["key"])
-    return numbered.withColumns({"archive": F.floor(F.col("row_number") / F.lit(ARCHIVE)), "no": (F.col("row_number") % ARCHIVE).cast("int")}).drop("row_number")
+    """The primary's records with copy, archive and no (place in the archive)."""
+    return cut(identified(slim).select("page_id", "key", "copy", "size", "hash", *_at(F.col("row_number"))))
+
+
+def placed_like(slim: DataFrame, primary: DataFrame) -> DataFrame:
+    """A replica's records at the places of the primary's (placed) records; those that the primary lacks come after its last, by page_id, key and copy."""
+    own = cut(identified(slim))
+    directory = primary.select(F.col("page_id").alias("_id"), F.col("key").alias("_key"), F.col("copy").alias("_copy"), "archive", "no")
+    met = own.join(directory, own.page_id.eqNullSafe(F.col("_id")) & (own.key == F.col("_key")) & (own["copy"] == F.col("_copy")), "left")
+    known = met.where("archive is not null").select("page_id", "key", "copy", "size", "hash", "archive", "no")
+    strange = cut(met.where("archive is null").select("page_id", "key", "copy", "size", "hash"))
+    after = Ordering(strange, "page_id", "key").numbered(strange, ["copy"]).withColumn("_place", F.col("row_number") + F.lit(primary.count()))
+    return known.unionByName(after.select("page_id", "key", "copy", "size", "hash", *_at(F.col("_place"))))
 
 
 def leaves(put: DataFrame) -> DataFrame:
@@ -78,11 +106,14 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         differ = a.join(b, ["archive", "node"], "full_outer").where(~F.col("p_hash").eqNullSafe(F.col("r_hash")))
         open_nodes = cut(differ.select("archive", "node")) if level else differ
     state = F.when(F.col("r_hash").isNull(), "missing in replica").when(F.col("p_hash").isNull(), "missing in primary").when(F.col("p_hi") - F.col("p_lo") != F.col("r_hi") - F.col("r_lo"), "length").otherwise("content")
-    return open_nodes.select(F.coalesce("p_page_id", "r_page_id").alias("page_id"), F.col("archive").cast("long").alias("archive"), F.col("node").cast("long").alias("record_no"), F.col("p_lo").alias("offset"), (F.col("p_hi") - F.col("p_lo")).alias("length"), F.col("p_hash").alias("primary_sha256"), F.col("r_hash").alias("replica_sha256"), state.alias("damage"))
+    return open_nodes.select(F.coalesce("p_page_id", "r_page_id").alias("page_id"), F.col("archive").cast("long").alias("archive"), F.col("node").cast("long").alias("record_no"), F.coalesce("p_lo", "r_lo").alias("offset"), F.coalesce(F.col("p_hi") - F.col("p_lo"), F.col("r_hi") - F.col("r_lo")).alias("length"), F.col("p_hash").alias("primary_sha256"), F.col("r_hash").alias("replica_sha256"), state.alias("damage"))
 
 
 def damaged_copy(recs: DataFrame) -> DataFrame:
-    """A replica with known damage, for drills: the last character changed where page_id % 97 = 13, cut in half where page_id % 389 = 7."""
+    """A replica with known damage, for drills: the last character changed where page_id % 97 = 13, cut in half where page_id % 389 = 7, lost where page_id % 499 = 3, there twice where page_id % 701 = 9, and joined by one of its own (a negative page_id) where page_id % 599 = 5."""
     r, n = F.col("record"), F.char_length("record")
     flipped = F.concat(F.substring(r, F.lit(1), n - 5), F.lit("~"), F.substring(r, n - 3, F.lit(4)))
-    return recs.withColumn("record", F.when(F.col("page_id") % 389 == 7, F.substring(r, F.lit(1), F.floor(n / 2).cast("int"))).when(F.col("page_id") % 97 == 13, flipped).otherwise(r))
+    changed = recs.withColumn("record", F.when(F.col("page_id") % 389 == 7, F.substring(r, F.lit(1), F.floor(n / 2).cast("int"))).when(F.col("page_id") % 97 == 13, flipped).otherwise(r))
+    own = F.col("page_id")
+    ids = F.when(own % 499 == 3, F.array().cast("array<bigint>")).when(own % 701 == 9, F.array(own, own)).when(own % 599 == 5, F.array(own, -own - 1)).otherwise(F.array(own))
+    return changed.withColumn("page_id", F.explode(ids))
