@@ -9,8 +9,11 @@ Items of fewer than SHORTEST tokens must be there token by token (their mask ign
 tokens holds one of SHORT_MASKS, and of 11 to 23 tokens one of LONG_MASKS; longer ones can be cut into stretches of 12 to
 23, of which one is as equal as the whole.
 
-The item index is broadcast in blocks of at most BLOCK_BYTES of item text; a larger benchmark takes more passes over the
-documents. Documents are never shuffled. Items without tokens are in no document; null and empty texts have no overlap; repeated rows are reported
+Seeds that one word repeated makes are kept as runs, and each diagonal is compared once, so that repetitive texts take time in
+proportion to their diagonals.
+
+The item index is broadcast in blocks of at most BLOCK_BYTES of item text (an index takes about 20 bytes for each byte of text); a larger
+benchmark takes more passes over the documents. Documents are never shuffled. Items without tokens are in no document; null and empty texts have no overlap; repeated rows are reported
 once each; null ids are returned as null. Case and composition of characters don't count, in any script; positions are
 those of the folded text's tokens.
 """
@@ -35,9 +38,11 @@ SHORT_MASKS = ("1111", "11011", "10111", "11101", "111001")
 LONG_MASKS = ("11111", "110111", "101111", "111011", "111101", "11010011")
 LONG = 11
 SHORTEST, LEAST_MATCHED, IDENTITY, PENALTY = 5, 13, 0.75, 2
-BLOCK_BYTES, BITS = 32 << 20, 22
+BLOCK_BYTES, BITS = 4 << 20, 22
 #: Hits, and then tokens, that are compared at once.
 PIECE = 1 << 19
+#: Hits that are held before they are made distinct and compared.
+MOST_HITS = 1 << 22
 
 
 def folded(text: str) -> str:
@@ -86,16 +91,13 @@ class Index:
                 at.append(np.arange(len(s), dtype=np.int32))
         none = np.empty(0, np.int32)
         seeds = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds = seeds[order]
-        self.item = (np.concatenate(item) if item else none)[order]
-        self.at = (np.concatenate(at) if at else none)[order]
+        self.seeds, self.item, self.at, self.run = in_runs(seeds, np.concatenate(item) if item else none, np.concatenate(at) if at else none)
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[(self.seeds >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
     def hits(self, h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Distinct rows (text, item, diagonal) with enough equal tokens, for texts' tokens h[start:stop]."""
-        found = [np.empty((0, 3), np.int64)]
+        """Distinct rows (text, item, diagonal, equal tokens, overlap's tokens) with enough equal tokens, for texts' tokens h[start:stop]. Each diagonal is compared once, however many seeds hit it."""
+        found, kept = [np.empty((0, 3), np.int64)], []
         for mask in self.masks:
             s = masked(h, mask)
             if not len(s):
@@ -105,12 +107,24 @@ class Index:
             doc = np.searchsorted(stops, p, "right")
             ok = (hi > lo) & (p + len(mask) <= stops[np.minimum(doc, len(stops) - 1)])
             p, lo, n, doc = p[ok], lo[ok], (hi - lo)[ok], doc[ok]
+            # neighbouring places with one seed, as a run of one word makes them, are one place with a length
+            goes_on = (p[1:] == p[:-1] + 1) & (s[p[1:]] == s[p[:-1]]) & (doc[1:] == doc[:-1])
+            first = np.flatnonzero(np.concatenate(([True], ~goes_on))) if len(p) else p
+            length = np.diff(np.append(first, len(p)))
+            p, lo, n, doc = p[first], lo[first], n[first], doc[first]
             for i, j in pieces(n):
                 m = n[i:j]
                 k = np.repeat(lo[i:j], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                rows = np.stack([np.repeat(doc[i:j], m), self.item[k].astype(np.int64), np.repeat(p[i:j] - starts[doc[i:j]], m) - self.at[k]], 1)
-                found.append(self.equal_enough(rows, h, starts, stops))
-        return np.unique(np.concatenate(found), axis=0)
+                d, longest = np.repeat(doc[i:j], m), np.repeat(length[i:j], m) + self.run[k] - 1
+                low = np.repeat(p[i:j] - starts[doc[i:j]], m) - self.at[k] - self.run[k] + 1
+                for a, b in pieces(longest):
+                    far = np.arange(longest[a:b].sum()) - np.repeat(np.cumsum(longest[a:b]) - longest[a:b], longest[a:b])
+                    found.append(distinct(np.repeat(d[a:b], longest[a:b]), np.repeat(self.item[k[a:b]], longest[a:b]), np.repeat(low[a:b], longest[a:b]) + far))
+                if sum(map(len, found)) > MOST_HITS:
+                    kept.append(self.equal_enough(distinct(*np.concatenate(found).T), h, starts, stops))
+                    found = found[:1]
+        kept.append(self.equal_enough(distinct(*np.concatenate(found).T), h, starts, stops))
+        return np.unique(np.concatenate(kept), axis=0) if len(kept) > 1 else kept[0]
 
     def equal_enough(self, rows: np.ndarray, h: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The rows (text, item, diagonal) on whose whole diagonal as many tokens are equal as any result needs."""
@@ -118,14 +132,33 @@ class Index:
         a = np.maximum(0, -diagonal)
         n = np.minimum(self.sizes[item], stops[doc] - starts[doc] - diagonal) - a
         left, right = starts[doc] + diagonal + a, self.offsets[item] + a
-        keep = np.zeros(len(rows), bool)
+        equal = np.zeros(len(rows), np.int64)
         for i, j in pieces(n):
             m = n[i:j]
             first = np.cumsum(m) - m
             step = np.arange(m.sum()) - np.repeat(first, m)
             same = h[np.repeat(left[i:j], m) + step] == self.flat[np.repeat(right[i:j], m) + step]
-            keep[i:j] = np.add.reduceat(same, first, dtype=np.int64) >= self.least[item[i:j]]
-        return rows[keep]
+            equal[i:j] = np.add.reduceat(same, first, dtype=np.int64)
+        return np.column_stack((rows, equal, n))[equal >= self.least[item]]
+
+
+def distinct(doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Distinct rows (text, item, diagonal)."""
+    if not len(doc):
+        return np.empty((0, 3), np.int64)
+    order = np.lexsort((diagonal, item, doc))
+    rows = np.column_stack((doc, item, diagonal)).astype(np.int64)[order]
+    return rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))]
+
+
+def in_runs(seeds: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(seed, item, first place, places) by seed: neighbouring places of an item with one seed are one row."""
+    order = np.lexsort((at, item, seeds))
+    seeds, item, at = seeds[order], item[order], at[order]
+    if not len(seeds):
+        return seeds, item, at, at
+    first = np.flatnonzero(np.concatenate(([True], (seeds[1:] != seeds[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1))))
+    return seeds[first], item[first], at[first], np.diff(np.append(first, len(seeds))).astype(np.int32)
 
 
 def pieces(sizes: np.ndarray):
@@ -179,8 +212,12 @@ def search(x: Index, texts: list[bytes]) -> Iterator[tuple[int, int, list[tuple[
         stops = np.cumsum(counts)
         starts = stops - counts
         found: dict[tuple[int, int], list] = {}
-        for d, i, diagonal in x.hits(h, starts, stops).tolist():
-            if got := verified(h[starts[d] : stops[d]], x.items[i], diagonal):
+        for d, i, diagonal, equal, n in x.hits(h, starts, stops).tolist():
+            if equal == n:
+                # nothing to weigh up where all tokens are equal
+                a = max(0, -diagonal)
+                found.setdefault((d, i), []).append((a + diagonal, a, n, n))
+            elif got := verified(h[starts[d] : stops[d]], x.items[i], diagonal):
                 found.setdefault((d, i), []).append(got)
         for (d, i), each in found.items():
             yield lo + d, i, apart(each)

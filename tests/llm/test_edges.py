@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import re
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -298,7 +300,7 @@ def test_decontamination_of_reworded_items():
         h, counts, _ = tokens.words(texts, tokens.separators(True))
         stops = np.cumsum(counts)
         starts = stops - counts
-        found = {int(d) for d, i, diagonal in index.hits(h, starts, stops) if decontamination.verified(h[starts[d] : stops[d]], index.items[i], int(diagonal))}
+        found = {int(d) for d, i, diagonal, _, _ in index.hits(h, starts, stops) if decontamination.verified(h[starts[d] : stops[d]], index.items[i], int(diagonal))}
         allowed = n // 4 if n >= decontamination.SHORTEST else 0
         assert {d for d, c in enumerate(gone) if len(c) <= allowed} <= found
         assert all(len(c) <= allowed or n - len(c) >= decontamination.LEAST_MATCHED for c in (gone[d] for d in found))
@@ -325,6 +327,84 @@ def test_decontamination_in_blocks(spark, edge, monkeypatch):
 PAGES = "page_id long, url string, html string, text string, host string"
 
 
+def test_decontamination_of_repeated_words():
+    """Runs of one word, and of two in turn, are searched in time that grows with their diagonals."""
+    import time
+
+    for item, text, seconds in ((["a"] * 200, ["a"] * 20_000, 0.5), (["a", "b"] * 100, ["a", "b"] * 10_000, 5), (["a"] * 60 + ["b"] * 4 + ["a"] * 60, ["a"] * 5_000 + ["b"] * 3 + ["a"] * 5_000, 5)):
+        x = decontamination.Index([1], [" ".join(item).encode()])
+        began = time.time()
+        ((_, _, found),) = decontamination.search(x, [" ".join(text).encode()])
+        assert time.time() - began < seconds
+        spans = sorted(found)
+        assert all(a[0] + a[2] <= b[0] for a, b in zip(spans, spans[1:])) and max(f[3] for f in found) >= min(0.9 * len(item), len(text))
+
+
+def test_decontamination_of_substituted_passages_on_a_table(spark, sf):
+    """Items with every sixth word replaced, planted in documents of the given table: held against a plain search of all places."""
+    import random
+
+    rng = random.Random(4)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("length(text) < 4000").orderBy("doc_id").limit(120).collect()]
+    planted = []
+    for k, (i, text) in enumerate(docs):
+        j, passage = items[k % len(items)]
+        words = passage.split()
+        for at in rng.sample(range(len(words)), len(words) // 6):
+            words[at] = f"zz{at}"
+        own = text.split()
+        planted.append((i, " ".join(own[: len(own) // 2] + words + own[len(own) // 2 :])))
+    a = spark.createDataFrame(planted, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(a, b).collect()}
+    sure = {(i, items[k % len(items)][0]) for k, (i, _) in enumerate(docs)}
+    assert sure <= got
+    # no other pair that a plain search of all places finds is missed
+    fold = lambda t: [w for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", decontamination.folded(t).lower()) if w]
+    words = {j: fold(t) for j, t in items}
+    for i, text in planted[:40]:
+        x = fold(text)
+        for j, y in words.items():
+            most = max((sum(p == q for p, q in zip(x[d:], y)) for d in range(len(x) - len(y) + 1)), default=0)
+            if len(y) >= decontamination.SHORTEST and most >= decontamination.IDENTITY * len(y):
+                assert (i, j) in got
+
+
+def test_hashes_of_rests_tell_repetitive_blocks_apart():
+    """Complementary Thue-Morse blocks collide in any polynomial modulo a power of two."""
+    import numpy as np
+
+    h = np.array([1, 2], np.uint64)
+    for n in (1_024, 2_048, 4_096):
+        bits = np.bitwise_count(np.arange(n, dtype=np.uint64)) & 1
+        one, other = h[bits], h[1 - bits]
+        both = np.concatenate((one, other, one))
+        r = html_text.rests(both, np.repeat([n, 2 * n, 3 * n], n))
+        assert r[0] != r[n] and (r[:n] == r[2 * n :]).all() and len(set(r[: 2 * n].tolist())) > 2 * n - 8
+
+
+def test_line_dedup_of_many_rows_without_ids(spark):
+    """Each of 100,000 rows without an id is judged by its own text, and nothing is gathered for all of them."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a line that all rows hold\nown line number "), "id").alias("text"))
+    docs = docs.union(spark.createDataFrame([(5, "a line that all rows hold")], "doc_id long, text string"))
+    out = line_dedup.line_dedup(docs).select("document.*", "n_dropped")
+    assert out.where("doc_id is null and n_dropped = 1 and text like 'own line number%'").count() == 100_000
+    assert [tuple(r) for r in out.where("doc_id = 5").collect()] == [(5, "a line that all rows hold", 0)]
+
+
+def test_numbers_of_one_key_come_from_many_buckets(spark):
+    from fiberlake.llm.common import Ordering
+
+    rows = spark.range(20_000).selectExpr("cast(null as long) as k", "hash(id) as t", "id")
+    order = Ordering(rows, "k", "t")
+    assert len(order.first) > 2
+    got = order.numbered(rows, ["id"]).orderBy("row_number").select("row_number", "t").collect()
+    assert [r.row_number for r in got] == list(range(20_000)) and [r.t for r in got] == sorted(r.t for r in got)
+
+
 def test_warc(spark):
     page = lambda i: f"<p>page {i} é</p>"
     rows = [(i, f"http://h/{i}", page(i), "t", "h") for i in range(40)] + [(None, None, None, "t", "h"), (3, None, "", "t", "h"), (3, None, "", "t", "h")]
@@ -340,12 +420,31 @@ def test_warc(spark):
     assert nothing.count() == 0 and warc.audit(warc.tree(nothing), warc.tree(nothing)).count() == 0
 
 
+@pytest.mark.parametrize("lost,added,doubled", [(0, None, None), (5_000, None, None), (None, True, None), (None, None, 17), (4_100, True, 4_099)])
+def test_warc_lost_added_and_doubled_records(spark, lost, added, doubled):
+    """Whatever a replica loses or gains before it is numbered, only those records are reported, and untouched archives keep their roots."""
+    pages = spark.range(9_000).selectExpr("id as page_id", "concat('http://h/', id) as url", "concat('<p>', id % 7, '</p>') as html")
+    put = warc.placed(warc.measured(warc.records(pages)))
+    own = [(i, 1) for i in range(9_000) if i != lost] + ([(-4, 1)] if added else []) + ([(doubled, 1)] if doubled is not None else [])
+    replica = spark.createDataFrame(own, "page_id long, one int").selectExpr("page_id", "concat('http://h/', page_id) as url", "concat('<p>', page_id % 7, '</p>') as html")
+    trees = [warc.tree(put), warc.tree(warc.placed_like(warc.measured(warc.records(replica)), put))]
+    got = sorted((r.damage, r.page_id, r.record_no + r.archive * warc.ARCHIVE) for r in warc.audit(*trees).collect())
+    want = [("missing in replica", lost, lost)] if lost is not None else []
+    strange = ([-4] if added else []) + ([doubled] if doubled is not None else [])
+    want += [("missing in primary", i, 9_000 + k) for k, i in enumerate(strange)]
+    assert got == sorted(want)
+    roots = [{r.archive: r.hash for r in t.where(f"level = {warc.LEVELS}").collect()} for t in trees]
+    hit = {w[2] // warc.ARCHIVE for w in want}
+    assert {a for a in roots[0] if roots[0][a] == roots[1].get(a)} == set(roots[0]) - hit
+
+
 def test_warc_with_repeated_and_missing_ids(spark):
     """Rows of one page_id, or of none, keep their places in a damaged replica."""
     rows = [(1, f"http://h/{i}", f"<p>{i}</p>", "t", "h") for i in range(30)] + [(None, None, f"<p>{i}</p>", "t", "h") for i in range(30)]
     recs = warc.records(spark.createDataFrame(rows, PAGES))
     hurt = recs.selectExpr("page_id", "key", "if(record like '%<p>7</p>%', concat(record, 'x'), record) as record")
-    sides = [warc.tree(warc.placed(warc.measured(x))) for x in (recs, hurt)]
+    put = warc.placed(warc.measured(recs))
+    sides = [warc.tree(put), warc.tree(warc.placed_like(warc.measured(hurt), put))]
     assert sorted(r.damage for r in warc.audit(*sides).collect()) == ["length", "length"]
 
 
