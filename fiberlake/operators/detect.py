@@ -4,28 +4,101 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fiberlake.functions import geometry as g
 from fiberlake.operators.pixels import thin_edges
-from fiberlake.operators.rounds import cut
+from fiberlake.operators.rounds import components, cut
 from fiberlake.operators.seams import near_pairs
 
 
+#: Side of the blocks in which edge pixels are joined at once; a block is a row of at most SIDE * SIDE codes.
+SIDE = 256
+
+
+def runs_joined(places: np.ndarray, width: int) -> np.ndarray:
+    """For each of some places (y * width + x, ascending, x never 0 or width - 1) the first place of its eight-connected part.
+
+    Pixels side by side are one run; runs that touch in neighbouring rows are united by a union-find over arrays.
+    """
+    new = np.concatenate(([True], places[1:] != places[:-1] + 1))
+    start = places[new]
+    end = places[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(places) - 1]))]
+    # runs of the next row that reach into the columns of this run, one further on each side
+    lo, hi = np.searchsorted(end, start + width - 1), np.searchsorted(start, end + width + 1, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(start)), n)
+    b = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    label = np.arange(len(start))
+    while len(a):
+        one, other = label[a], label[b]
+        apart = one != other
+        if not apart.any():
+            break
+        a, b, one, other = a[apart], b[apart], one[apart], other[apart]
+        np.minimum.at(label, np.maximum(one, other), np.minimum(one, other))
+        while (label[label] != label).any():
+            label = label[label]
+    return start[label][np.cumsum(new) - 1]
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _parts(codes: pd.Series) -> pd.Series:
+    """Of each block's codes (place * 2 + strong, places with a rim of one): place, part's first place * 2 + strong, alternating."""
+    out, wide = [], SIDE + 2
+    for c in codes:
+        code = np.sort(np.asarray(c, np.int64))
+        place, strong = code >> 1, code & 1
+        first = runs_joined(place, wide)
+        parts, of = np.unique(first, return_inverse=True)
+        any_strong = np.zeros(len(parts), np.int64)
+        np.maximum.at(any_strong, of, strong)
+        out.append(np.column_stack((place, first * 2 + any_strong[of])).reshape(-1))
+    return pd.Series(out, dtype=object)
+
+
+def edge_parts(edges: DataFrame) -> DataFrame:
+    """image_id, x, y, px, py (the first pixel of the part of its block that it belongs to), strong (the part holds a strong pixel). edges: one row a pixel."""
+    bx, by = (F.floor(F.col(c) / F.lit(SIDE)) for c in "xy")
+    place = (F.col("y") - F.col("_by") * SIDE) * (SIDE + 2) + (F.col("x") - F.col("_bx") * SIDE) + 1
+    blocks = edges.withColumn("_bx", bx).withColumn("_by", by).groupBy("image_id", "_bx", "_by").agg(F.collect_list(place * 2 + F.col("strong").cast("int")).alias("_codes"))
+    found = blocks.select("image_id", "_bx", "_by", _parts("_codes").alias("_f"))
+    each = found.select("image_id", "_bx", "_by", F.explode(F.transform(F.sequence(F.lit(0), F.size("_f") - 1, F.lit(2)), lambda i: F.struct(F.get("_f", i).alias("p"), F.get("_f", i + 1).alias("q")))).alias("_e"))
+    first = F.shiftright("_e.q", 1)
+    x = lambda p: (F.col("_bx") * SIDE + p % (SIDE + 2) - 1).cast("int")
+    y = lambda p: (F.col("_by") * SIDE + F.floor(p / F.lit(SIDE + 2))).cast("int")
+    return each.select("image_id", x(F.col("_e.p")).alias("x"), y(F.col("_e.p")).alias("y"), x(first).alias("px"), y(first).alias("py"), (F.col("_e.q") % 2 == 1).alias("strong"))
+
+
 def hysteresis(edges: DataFrame) -> DataFrame:
-    """Edge pixels that are strong or joined to a strong one through neighbours; labels spread in rounds."""
-    kept = cut(edges.where("strong").select("image_id", "x", "y"))
-    weak = cut(edges.where("not strong").select("image_id", "x", "y"))
-    front = kept
-    around = F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i as i, j as j))))")
-    while True:
-        near = front.withColumn("_o", F.explode(around)).select("image_id", (F.col("x") + F.col("_o.i")).alias("x"), (F.col("y") + F.col("_o.j")).alias("y")).distinct()
-        front = cut(weak.join(near, ["image_id", "x", "y"], "left_semi"))
-        if not front.limit(1).count():
-            return kept
-        kept = kept.union(front)
-        weak = weak.join(front, ["image_id", "x", "y"], "left_anti")
+    """Edge pixels that are strong or joined to a strong one through neighbours.
+
+    Pixels are joined inside blocks first, each block in one step however long its chains are; only parts that touch a
+    part of another block go on to rounds, which are few since labels double their reach. edges: image_id, x, y, strong,
+    one row a pixel; no pixel at all gives none.
+    """
+    parts = cut(edge_parts(edges))
+    at_rim = lambda c: F.pmod(c, F.lit(SIDE)).isin(0, SIDE - 1)
+    rim = parts.where(at_rim(F.col("x")) | at_rim(F.col("y")))
+    part = lambda df: F.struct(df["image_id"], df["py"], df["px"])
+    block = lambda c: F.floor(c / F.lit(SIDE))
+    # each pair of neighbours once: the ones to the right and below
+    around = F.expr("array(struct(1 as i, 0 as j), struct(-1 as i, 1 as j), struct(0 as i, 1 as j), struct(1 as i, 1 as j))")
+    out = rim.select("image_id", "x", "y", part(rim).alias("a"), F.explode(around).alias("_o")).withColumn("nx", F.col("x") + F.col("_o.i")).withColumn("ny", F.col("y") + F.col("_o.j"))
+    out = out.where((block(F.col("nx")) != block(F.col("x"))) | (block(F.col("ny")) != block(F.col("y")))).select("image_id", F.col("nx").alias("x"), F.col("ny").alias("y"), "a")
+    links = cut(out.join(rim.select("image_id", "x", "y", part(rim).alias("b")), ["image_id", "x", "y"]).select("a", "b").distinct())
+    sure = parts.where("strong").select("image_id", "x", "y")
+    if not links.limit(1).count():
+        return sure
+    strong = parts.where("strong").select(part(parts).alias("node"), F.lit(True).alias("_s")).distinct()
+    joined = components(links).join(strong, "node", "left")
+    lit = joined.groupBy("label").agg(F.max("_s").alias("_lit")).where("_lit")
+    saved = joined.where("_s is null").join(lit, "label", "left_semi").select(F.col("node.image_id").alias("image_id"), F.col("node.py").alias("py"), F.col("node.px").alias("px"))
+    return sure.union(parts.where("not strong").join(saved, ["image_id", "py", "px"], "left_semi").select("image_id", "x", "y"))
 
 
 def edges(gray: DataFrame, low: int = 40, high: int = 120) -> DataFrame:
