@@ -212,21 +212,26 @@ def one_edit(a: Column, b: Column, at: Column, gap: Column) -> Column:
 
 def near_words(words: DataFrame, least: int = LIST, most: int = DICTIONARY) -> DataFrame:
     """word, near, n (of near): each word with each word at one edit. words: word, n, distinct."""
-    keys = keyed(words, dictionary(words, least, most))
-    a = keys.where("not gap").select("key", F.col("name").alias("a"), F.col("n").alias("a_n"), "at")
-    b = keys.select(F.col("key").alias("b_key"), F.col("name").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), "gap")
-    long = F.col("a").startswith("#") & F.col("b").startswith("#")
-    met = a.join(b, (F.col("key") == F.col("b_key")) & (F.col("at") == F.col("b_at")) & (F.col("a") != F.col("b")) & (long | F.when(F.col("a").startswith("#") | F.col("b").startswith("#"), F.col("gap")).otherwise(one_edit(F.col("a"), F.col("b"), F.col("at"), F.col("gap")))))
+    keys = keyed(words, dictionary(words, least, most)).repartition("key")
+    lists = keys.groupBy("key").agg(F.collect_list(F.struct("name", "n", "at", "gap")).alias("list")).where(F.size("list") > 1)
+    met = cut(lists.select("list", F.explode(F.filter("list", lambda x: ~x["gap"])).alias("a")).select("a", F.explode(F.filter("list", lambda x: candidate(F.col("a"), x))).alias("b")))
+    is_long = F.col("a.name").startswith("#") | F.col("b.name").startswith("#")
     big = words.where(F.length("word") >= SHOWN).select(F.when(F.length("word") > SHOWN, F.concat(F.lit("#"), F.sha2("word", 256))).otherwise(F.col("word")).alias("name"), "word")
-    named = lambda df, side: df.join(big.select(F.col("name").alias(side), F.col("word").alias(f"{side}_word")), side)
-    is_long = F.col("a").startswith("#") | F.col("b").startswith("#")
-    exact = named(named(met.where(is_long), "a"), "b").where(one_edit(F.col("a_word"), F.col("b_word"), F.col("at"), F.col("gap")))
-    columns = lambda a, b: [F.col(a).alias("a"), "a_n", F.col(b).alias("b"), "b_n", "gap"]
-    pairs = met.where(~is_long).select(*columns("a", "b")).union(exact.select(*columns("a_word", "b_word")))
+    named = lambda df, side: df.join(big.select(F.col("name").alias(f"{side}_name"), F.col("word").alias(f"{side}_word")), F.col(f"{side}.name") == F.col(f"{side}_name"))
+    exact = named(named(met.where(is_long), "a"), "b").where(one_edit(F.col("a_word"), F.col("b_word"), F.col("a.at"), F.col("b.gap")))
+    columns = lambda a, b: [F.col(a).alias("a"), F.col("a.n").alias("a_n"), F.col(b).alias("b"), F.col("b.n").alias("b_n"), F.col("b.gap").alias("gap")]
+    pairs = met.where(~is_long).select(*columns("a.name", "b.name")).union(exact.select(*columns("a_word", "b_word")))
     ways = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("n")), F.when(F.col("gap"), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("n"))))
     return pairs.select(F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("w.*")
 
 
+def candidate(a: Column, b: Column) -> Column:
+    """Whether b, of a's list, is at one edit from a; of long words only their hashes are known here, so they may be."""
+    long_a, long_b = a["name"].startswith("#"), b["name"].startswith("#")
+    told = F.when(long_a & long_b, F.lit(True)).when(long_a | long_b, b["gap"]).otherwise(one_edit(a["name"], b["name"], a["at"], b["gap"]))
+    return (a["name"] != b["name"]) & (a["at"] == b["at"]) & told
+
+
 def roots(forms: DataFrame) -> DataFrame:
     """word, root: the last form that forms lead to. forms: word, form. Each form occurs more often than its word, so chains end."""
     at = cut(forms.select("word", F.col("form").alias("root")))
