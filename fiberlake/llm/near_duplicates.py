@@ -14,7 +14,7 @@ Plan:
    far as they are of different classes, in blocks of bounded total set size.
 6. Links found there join classes, again by connected components.
 
-Components are found by label propagation with pointer jumping in Spark; labels are cut in the shared checkpoint folder.
+Components are found by labels that hang onto smaller ones in Spark; labels are tables in the shared checkpoint folder.
 A pair at the threshold shares no key with probability below 0.0005 for the default parameters. Nothing is capped: a
 leader with many unlinked members gets more blocks, and all pairs of blocks that can hold a link are visited.
 
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from fiberlake.llm import tokens
 from fiberlake.llm.common import cut
+from fiberlake.operators import rounds
 
 #: Shingles and sets of one block of members at most, on average; two blocks meet in one task.
 BLOCK_SHINGLES, BLOCK_SETS = 400_000, 1_000
@@ -259,17 +260,7 @@ def among(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """doc_id, component (smallest reachable) of every document that has a link. Stays in Spark; ends when no label changes."""
-    edges = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v").distinct())
-    labels = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).withColumnRenamed("u", "doc_id"))
-    while True:
-        seen = edges.join(labels, edges.v == labels.doc_id).groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(seen, labels.doc_id == seen.u, "left").select("doc_id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("doc_id").alias("at"), F.col("label").alias("to"))
-        new = cut(step.join(jump, step.label == jump["at"], "left").select("doc_id", "was", F.least("label", "to").alias("label")))
-        changed = new.where("label <> was").limit(1).count()
-        labels = new.select("doc_id", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+    return rounds.components(links).select(F.col("node").alias("doc_id"), F.col("label").alias("component"))
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
