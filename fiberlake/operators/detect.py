@@ -112,11 +112,42 @@ def edge_points(gray: DataFrame, keys: list[str], low: int = 40, high: int = 120
     return edges(one, low, high).select("image_id.*", "x", "y")
 
 
+ANGLES = 180
+#: rho is stored beside theta with this added, so that the code of both is never negative.
+RHO_0 = 1 << 32
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _block_votes(codes: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    """Of each block's points (y * SIDE + x): theta * 2 * RHO_0 + rho + RHO_0, votes, alternating."""
+    turn = np.radians(np.arange(ANGLES))
+    cos, sin, out = np.cos(turn), np.sin(turn), []
+    for c, i, j in zip(codes, bx, by):
+        c = np.asarray(c, np.int64)
+        x, y = (i * SIDE + c % SIDE).astype(float), (j * SIDE + c // SIDE).astype(float)
+        cells = []
+        for t in range(ANGLES):
+            rho = np.floor(np.floor((x * cos[t] + y * sin[t]) * 1e9 + 0.5) / 1e9 + 0.5).astype(np.int64)
+            low = rho.min()
+            n = np.bincount(rho - low)
+            at = np.flatnonzero(n)
+            cells.append(np.column_stack((t * 2 * RHO_0 + at + low + RHO_0, n[at])).reshape(-1))
+        out.append(np.concatenate(cells))
+    return pd.Series(out, dtype=object)
+
+
 def votes(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Each pixel votes for a line at each of 180 angles: keys, theta (degrees), rho (whole pixels), votes."""
-    a = points.withColumn("theta", F.explode(F.sequence(F.lit(0), F.lit(179))))
-    rho = g.half_up(g.rounded(F.col("x") * F.cos(F.radians("theta")) + F.col("y") * F.sin(F.radians("theta")), 9)).cast("int")
-    return a.withColumn("rho", rho).groupBy(*keys, "theta", "rho").agg(F.count(F.lit(1)).alias("votes"))
+    """Each pixel votes for a line at each of 180 angles: keys, theta (degrees), rho (whole pixels), votes.
+
+    The votes of a block of SIDE x SIDE pixels are counted where they arise; only its lines are shuffled.
+    """
+    bx, by = (F.floor(F.col(c) / F.lit(SIDE)) for c in "xy")
+    put = points.withColumn("_bx", bx).withColumn("_by", by)
+    blocks = put.groupBy(*keys, "_bx", "_by").agg(F.collect_list((F.col("y") - F.col("_by") * SIDE) * SIDE + F.col("x") - F.col("_bx") * SIDE).alias("_c"))
+    counted = blocks.select(*keys, _block_votes("_c", "_bx", "_by").alias("_v"))
+    cells = counted.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.size("_v") - 1, F.lit(2)), lambda i: F.struct(F.get("_v", i).alias("k"), F.get("_v", i + 1).alias("n")))).alias("_e"))
+    theta, rho = F.floor(F.col("_e.k") / F.lit(2 * RHO_0)).cast("int"), (F.col("_e.k") % (2 * RHO_0) - RHO_0).cast("int")
+    return cells.select(*keys, theta.alias("theta"), rho.alias("rho"), "_e.n").groupBy(*keys, "theta", "rho").agg(F.sum("n").alias("votes"))
 
 
 def peaks(all_votes: DataFrame, keys: list[str], least: int = 30) -> DataFrame:

@@ -174,26 +174,39 @@ def local_maxima(dist: DataFrame, box: int, least: float, value: str = "distance
 
 def sobel(gray: DataFrame) -> DataFrame:
     """gx, gy of dense grey images for inner pixels: separable, one shuffle for columns and one for rows."""
-    column, row = _line("y", "x"), _line("x", "y")
-    around = lambda c, w: (F.lag(c).over(w), F.col(c), F.lead(c).over(w))
-    above, here, below = around("g", column)
+    return _gradients(gray).where("gx is not null").select("image_id", "width", "height", "x", "y", "gx", "gy")
+
+
+def _around(c: str, w) -> tuple[Column, Column, Column]:
+    return F.lag(c).over(w), F.col(c), F.lead(c).over(w)
+
+
+def _gradients(gray: DataFrame) -> DataFrame:
+    """All pixels with gx and gy, null at the image's rim; rows lie in order within tasks."""
+    above, here, below = _around("g", _line("y", "x"))
     first = gray.withColumn("_smooth", above + 2 * here + below).withColumn("_step", below - above)
-    (s0, _, s2), (d0, d1, d2) = around("_smooth", row), around("_step", row)
-    both = first.withColumn("gx", s2 - s0).withColumn("gy", d0 + 2 * d1 + d2)
-    return both.where("x > 0 and y > 0 and x < width - 1 and y < height - 1").select("image_id", "width", "height", "x", "y", "gx", "gy")
+    row = _line("x", "y")
+    (s0, _, s2), (d0, d1, d2) = _around("_smooth", row), _around("_step", row)
+    inner = (F.col("x") > 0) & (F.col("y") > 0) & (F.col("x") < F.col("width") - 1) & (F.col("y") < F.col("height") - 1)
+    both = first.withColumn("_gx", s2 - s0).withColumn("_gy", d0 + 2 * d1 + d2)
+    return both.select("image_id", "width", "height", "x", "y", F.when(inner, F.col("_gx")).alias("gx"), F.when(inner, F.col("_gy")).alias("gy"))
 
 
 def thin_edges(gray: DataFrame, low: int = 40, high: int = 120) -> DataFrame:
-    """image_id, x, y, magnitude, strong: gradient ridges (|gx| + |gy|), kept where no neighbour across the edge is larger and the magnitude exceeds `low`."""
-    g = sobel(gray).withColumn("magnitude", F.abs("gx") + F.abs("gy"))
+    """image_id, x, y, magnitude, strong: gradient ridges (|gx| + |gy|), kept where no neighbour across the edge is larger and the magnitude exceeds `low`.
+
+    Neighbours come from windows over rows, then columns: pixels move three times in all, and nothing is joined.
+    """
+    g = _gradients(gray).withColumn("m", F.abs("gx") + F.abs("gy"))
+    left, _, right = _around("m", _line("x", "y"))
+    rows = g.withColumn("_row", F.struct(left.alias("left"), F.col("m").alias("here"), right.alias("right")))
+    column = _line("y", "x")
+    put = rows.withColumn("_above", F.lag("_row").over(column)).withColumn("_below", F.lead("_row").over(column)).where(F.col("m") > low)
     ax, ay = F.abs("gx"), F.abs("gy")
     # the sector of the gradient: along x, along y, or one of the diagonals (tan 22.5 and tan 67.5 degrees)
-    step_x = F.when(ay * 1000 < ax * 414, 1).when(ay * 1000 > ax * 2414, 0).otherwise(1)
-    step_y = F.when(ay * 1000 < ax * 414, 0).when(ay * 1000 > ax * 2414, 1).otherwise(F.when((F.col("gx") >= 0) == (F.col("gy") >= 0), 1).otherwise(-1))
-    p = g.where(F.col("magnitude") > low).withColumn("_sx", step_x).withColumn("_sy", step_y)
-    near = p.withColumn("_s", F.explode(F.array(F.lit(-1), F.lit(1)))).select("image_id", "x", "y", "magnitude", "_s", (F.col("x") + F.col("_s") * F.col("_sx")).alias("nx"), (F.col("y") + F.col("_s") * F.col("_sy")).alias("ny"))
-    m = g.select("image_id", F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("magnitude").alias("_m"))
+    along_x, along_y, falling = ay * 1000 < ax * 414, ay * 1000 > ax * 2414, (F.col("gx") >= 0) == (F.col("gy") >= 0)
+    pick = lambda x, y, down, up: F.when(along_x, F.col(x)).when(along_y, F.col(y)).when(falling, F.col(down)).otherwise(F.col(up))
+    before, after = pick("_row.left", "_above.here", "_above.left", "_below.left"), pick("_row.right", "_below.here", "_below.right", "_above.right")
     # of two equal neighbours the one before stays
-    beaten = F.max(F.when((F.col("_m") > F.col("magnitude")) | ((F.col("_m") == F.col("magnitude")) & (F.col("_s") < 0)), 1).otherwise(0))
-    kept = near.join(m, ["image_id", "nx", "ny"], "left").groupBy("image_id", "x", "y", "magnitude").agg(beaten.alias("_b")).where("_b = 0")
-    return kept.select("image_id", "x", "y", "magnitude", (F.col("magnitude") > high).alias("strong"))
+    kept = put.where(F.coalesce(before < F.col("m"), F.lit(True)) & F.coalesce(after <= F.col("m"), F.lit(True)))
+    return kept.select("image_id", "x", "y", F.col("m").alias("magnitude"), (F.col("m") > high).alias("strong"))
