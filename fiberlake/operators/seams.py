@@ -41,18 +41,22 @@ def dedup_once(fibers: DataFrame, tol: float = 4.0) -> DataFrame:
 
 def dedup_fibers(fibers: DataFrame, tol: float = 4.0) -> DataFrame:
     """Keeps every undecided fibre without an undecided better neighbour and drops its neighbours, in rounds, until all are decided."""
-    open_pairs = cut(dedup_candidates(fibers, tol))
-    dropped = None
+    gone = settled(dedup_candidates(fibers, tol))
+    return fibers.join(gone.withColumnRenamed("worse", "fiber_id"), ["image_id", "fiber_id"], "left_anti").select(*fibers.columns)
+
+
+def settled(pairs: DataFrame) -> DataFrame:
+    """image_id, worse: what goes if, in rounds, all that have no undecided better one stay and drop the worse ones beside them. pairs: image_id, better, worse."""
+    open_pairs = cut(pairs.select("image_id", "better", "worse"))
+    dropped = open_pairs.select("image_id", "worse").limit(0)
     while open_pairs.limit(1).count():
         worse = open_pairs.select("image_id", F.col("worse").alias("f")).distinct()
         best = open_pairs.select("image_id", F.col("better").alias("f")).distinct().join(worse, ["image_id", "f"], "left_anti")
-        gone = cut(open_pairs.join(best.withColumnRenamed("f", "better"), ["image_id", "better"], "left_semi").select("image_id", F.col("worse").alias("f")).distinct())
-        dropped = gone if dropped is None else dropped.union(gone)
-        left = open_pairs.join(gone.withColumnRenamed("f", "worse"), ["image_id", "worse"], "left_anti").join(gone.withColumnRenamed("f", "better"), ["image_id", "better"], "left_anti")
+        gone = cut(open_pairs.join(best.withColumnRenamed("f", "better"), ["image_id", "better"], "left_semi").select("image_id", "worse").distinct())
+        dropped = dropped.union(gone)
+        left = open_pairs.join(gone, ["image_id", "worse"], "left_anti").join(gone.withColumnRenamed("worse", "better"), ["image_id", "better"], "left_anti")
         open_pairs = cut(left.select("image_id", "better", "worse"))
-    if dropped is None:
-        return fibers
-    return fibers.join(dropped.withColumnRenamed("f", "fiber_id"), ["image_id", "fiber_id"], "left_anti").select(*fibers.columns)
+    return dropped
 
 
 def endpoints(fibers: DataFrame) -> DataFrame:
@@ -113,6 +117,22 @@ def stitch_fibers(fibers: DataFrame, tol: float = 6.0, angle_tol: float = 45.0)
     links = cut(match_ends(stitch_candidates(fibers, tol, angle_tol, same_tile=True)))
     if not links.limit(1).count():
         return fibers
+    placed = ordered_chains(links)
+    run = fibers.join(placed, ["image_id", "fiber_id"])
+    directed = run.withColumn("points", F.when(F.col("enter") == 0, F.col("points")).otherwise(F.reverse("points")))
+    first = lambda c: F.min_by(c, "place").alias(c)
+    joined = directed.groupBy("image_id", F.col("chain").alias("fiber_id")).agg(first("tile_id"), first("width"), F.transform(F.sort_array(F.collect_list(F.struct("place", "points"))), lambda s: s["points"]).alias("_p"))
+    same = lambda p, q: (F.abs(p["x"] - q["x"]) < 1e-6) & (F.abs(p["y"] - q["y"]) < 1e-6)
+    starts = F.transform(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: F.when(i == 0, F.get("_p", i)).when(same(F.element_at(F.get(F.col("_p"), i - 1), -1), F.get(F.get(F.col("_p"), i), F.lit(0))), F.slice(F.get(F.col("_p"), i), F.lit(2), F.size(F.get(F.col("_p"), i)))).otherwise(F.get(F.col("_p"), i)))
+    joined = measured(joined.withColumn("points", F.flatten(starts)).drop("_p"))
+    rest = fibers.join(placed.select("image_id", "fiber_id"), ["image_id", "fiber_id"], "left_anti")
+    typed = dict(fibers.dtypes)
+    cols = [F.col(c).cast(typed[c]).alias(c) if c in joined.columns else F.lit(None).cast(typed[c]).alias(c) for c in fibers.columns]
+    return rest.select(*fibers.columns).unionByName(joined.select(*cols))
+
+
+def ordered_chains(links: DataFrame) -> DataFrame:
+    """image_id, chain (its lower outer piece), fiber_id, enter (the end at which the chain comes in), place (ascending along the chain). links: image_id, a, a_end, b, b_end, gap; each end in one link at most."""
     # a side is one direction through a piece: entering at `end`, leaving at the other end
     both = links.select("image_id", "a", "a_end", "b", "b_end", "gap").union(links.select("image_id", "b", "b_end", "a", "a_end", "gap"))
     step = both.select("image_id", F.struct(F.col("a").alias("f"), (1 - F.col("a_end")).alias("in")).alias("side"), F.struct(F.col("b").alias("f"), F.col("b_end").alias("in")).alias("next"), "gap")
@@ -130,18 +150,7 @@ def stitch_fibers(fibers: DataFrame, tol: float = 6.0, angle_tol: float = 45.0)
     # each chain is seen in both directions: from each of its two outer ends. Keep the one that starts at the lower fibre.
     heads = at.groupBy("image_id", "to").agg(F.max_by("side", "steps").alias("head"))
     chosen = heads.where((F.col("head.f") < F.col("to.f")) | ((F.col("head.f") == F.col("to.f")) & (F.col("head.in") == 0)))
-    placed = at.join(chosen, ["image_id", "to"]).select("image_id", F.col("head.f").alias("chain"), F.col("side.f").alias("fiber_id"), F.col("side.in").alias("enter"), (-F.col("steps")).alias("place"))
-    run = fibers.join(placed, ["image_id", "fiber_id"])
-    directed = run.withColumn("points", F.when(F.col("enter") == 0, F.col("points")).otherwise(F.reverse("points")))
-    first = lambda c: F.min_by(c, "place").alias(c)
-    joined = directed.groupBy("image_id", F.col("chain").alias("fiber_id")).agg(first("tile_id"), first("width"), F.transform(F.sort_array(F.collect_list(F.struct("place", "points"))), lambda s: s["points"]).alias("_p"))
-    same = lambda p, q: (F.abs(p["x"] - q["x"]) < 1e-6) & (F.abs(p["y"] - q["y"]) < 1e-6)
-    starts = F.transform(F.sequence(F.lit(0), F.size("_p") - 1), lambda i: F.when(i == 0, F.get("_p", i)).when(same(F.element_at(F.get(F.col("_p"), i - 1), -1), F.get(F.get(F.col("_p"), i), F.lit(0))), F.slice(F.get(F.col("_p"), i), F.lit(2), F.size(F.get(F.col("_p"), i)))).otherwise(F.get(F.col("_p"), i)))
-    joined = measured(joined.withColumn("points", F.flatten(starts)).drop("_p"))
-    rest = fibers.join(placed.select("image_id", "fiber_id"), ["image_id", "fiber_id"], "left_anti")
-    typed = dict(fibers.dtypes)
-    cols = [F.col(c).cast(typed[c]).alias(c) if c in joined.columns else F.lit(None).cast(typed[c]).alias(c) for c in fibers.columns]
-    return rest.select(*fibers.columns).unionByName(joined.select(*cols))
+    return at.join(chosen, ["image_id", "to"]).select("image_id", F.col("head.f").alias("chain"), F.col("side.f").alias("fiber_id"), F.col("side.in").alias("enter"), (-F.col("steps")).alias("place"))
 
 
 def _without_cycles(sides: DataFrame, step: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fiberlake.functions import geometry as g
 from fiberlake.functions import params
-from fiberlake.operators import boundary, detect, fibers, pipeline, rounds, seams, tiles, tuning
+from fiberlake.operators import boundary, detect, fibers, pipeline, pixels, rounds, seams, tiles, tracing, tuning
 from fiberlake.plans import pixel_queries
 from fiberlake.plans.pixel_queries import GRAY, REGIONS, STATS, gray_lines, gray_of, line_columns, lines_sql, longs, r6, regions
 from fiberlake.sources import fixtures as fx
@@ -342,6 +342,17 @@ def seed_pairs(spark, d):
     return detect.seed_pairs(seeds, 6.0).select("image_id", "a", "b", "c", R(F.col("dist")).alias("dist"), R(F.col("cosine")).alias("cosine"))
 
 
+def trace_choice(spark, d):
+    """What one round of choosing links, on the vertices as seeds."""
+    return tracing.first_choices(tracing.facing_ends(fx.oriented_seeds(spark, d), 9.0, 40.0)).select("image_id", R(F.col("gap")).alias("gap"), *longs("a", "a_end", "b", "b_end"))
+
+
+def trace_fibers(spark, d):
+    """Curved fibres with widths from noisy grey pixels."""
+    gray = gray_of(fx.px_curves(spark, d)).select("image_id", "x", "y", "g", F.lit(fx.CURVED).alias("width"), F.lit(fx.CURVED).alias("height"))
+    return tracing.trace(pixels.gaussian_blur(gray, 1.0), F.lit(110)).select("image_id", "fiber_id", F.size("points").cast("long").alias("n"), *[R(F.col(c)).alias(c) for c in ("width", "length_arc", "length_end", "angle", "straightness")])
+
+
 def analyse(spark, d):
     p = fx.px_lines(spark, d)
     box = p.groupBy("image_id").agg(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(fx.SIDE).alias("width"), F.lit(fx.SIDE).alias("height"), F.lit(1.0).alias("downsample"))
@@ -523,6 +534,14 @@ select image_id, {', '.join(f"array_to_string([{a}[i] for i in range(1, len({a})
     "sweep": (sweep, lines_sql(_SWEEP, 20, f"select image_id // 10 image_id, image_id % 10 combo_id, count(*) n, {r6('max(length)')} longest from ranked where seg_id < 500 group by image_id")),
     "suggest": (suggest, None),
     "analyse": (analyse, None),
+    "trace_choice": (trace_choice, f"""{fx.with_tables('vertices')}, seeds as (select image_id, vertex_id id, x, y, cos(radians(vertex_id * 37 % 180)) ux, sin(radians(vertex_id * 37 % 180)) uy from vertices),
+met as (select a.image_id, a.id a, b.id b, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) d, ((b.x - a.x) * a.ux + (b.y - a.y) * a.uy) pa, ((b.x - a.x) * b.ux + (b.y - a.y) * b.uy) pb from seeds a join seeds b on a.image_id = b.image_id and a.id < b.id and abs(a.x - b.x) <= 9 and abs(a.y - b.y) <= 9),
+turned as (select *, floor(pa / d * 1000000000.0::double + 0.5::double) / 1000000000.0::double ca, floor(pb / d * 1000000000.0::double + 0.5::double) / 1000000000.0::double cb from met where d > 0 and d <= 9),
+ends as (select image_id, {r6('d * (3.0::double - abs(ca) - abs(cb))')} gap, a, case when ca >= 0 then 1 else 0 end a_end, b, case when cb >= 0 then 0 else 1 end b_end from turned where abs(ca) >= cos(radians(40)) and abs(cb) >= cos(radians(40))),
+sides as (select image_id, a f, a_end e, ends from ends union all select image_id, b, b_end, ends from ends),
+best as (select ends from (select *, row_number() over (partition by image_id, f, e order by ends.gap, ends.a, ends.a_end, ends.b, ends.b_end) r from sides) where r = 1 group by ends having count(*) = 2)
+select ends.image_id image_id, ends.gap gap, ends.a a, ends.a_end::bigint a_end, ends.b b, ends.b_end::bigint b_end from best"""),
+    "trace_fibers": (trace_fibers, None),
     "seed_pairs": (seed_pairs, f"""{fx.with_tables('vertices')}, p as (select a.image_id, a.vertex_id a, b.vertex_id b, a.x ax, a.y ay, b.x bx, b.y "by", sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) dist from vertices a join vertices b on a.image_id = b.image_id and a.vertex_id <> b.vertex_id and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 6),
 t as (select p.image_id, p.a, p.b, q.b c, p.dist, q.dist d2, ((p.bx - p.ax) * (q.bx - p.bx) + (p."by" - p.ay) * (q."by" - p."by")) / (p.dist * q.dist) cosine from p join p q on q.image_id = p.image_id and q.a = p.b and q.b <> p.a where p.dist > 0 and q.dist > 0), r as (select *, row_number() over (partition by image_id, a, b order by d2, c) k from t where cosine >= cos(radians(70.0::double)))
 select image_id, a, b, c, {r6('dist')} dist, {r6('cosine')} cosine from r where k = 1"""),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,34 @@ def truth_lines(spark, sf_dir) -> DataFrame:
     return drawn_lines(spark, sf_dir).select("image_id", F.col("k").alias("line_id"), F.array(at(F.lit(0.0)), at(F.col("n") - 1.0)).alias("points"))
 
 
+CURVED = 128
+
+
+def planted_curves(spark, sf_dir) -> DataFrame:
+    """Waves, two to an image: image_id, line_id, x, y (their axis, a row for each column of pixels)."""
+    k = F.col("s_suppkey").cast("long")
+    s = table(spark, sf_dir, "supplier").select(F.floor(k / 2).alias("image_id"), k.alias("line_id"), (32 + 64 * (k % 2)).alias("y0"), (4 + k * 5 % 9).alias("high"), (70 + k * 7 % 50).alias("long"), (k * 13 % 100).alias("turn"))
+    on = s.withColumn("x", F.explode(F.sequence(F.lit(8), F.lit(CURVED - 9))))
+    return on.select("image_id", "line_id", "x", (F.col("y0") + F.col("high") * F.sin(2 * math.pi * (F.col("x") / F.col("long") + F.col("turn") / 100))).alias("y"))
+
+
+def px_curves(spark, sf_dir) -> DataFrame:
+    """Dense noisy images of CURVED x CURVED with planted waves five pixels thick; their number grows with the suppliers."""
+    curves = planted_curves(spark, sf_dir)
+    on = curves.withColumn("o", F.explode(F.sequence(F.lit(-2), F.lit(2)))).select("image_id", "x", (F.floor(F.col("y") + 0.5) + F.col("o")).cast("int").alias("y"), F.lit(150).alias("v"))
+    side = F.sequence(F.lit(0), F.lit(CURVED - 1))
+    ground = curves.select("image_id").distinct().withColumn("x", F.explode(side)).withColumn("y", F.explode(side)).withColumn("v", F.lit(0))
+    x, y = F.col("x"), F.col("y")
+    noise = (x * x * 7 + y * y * 13 + x * y * 5 + F.col("image_id") * 11) % 61
+    return ground.union(on).groupBy("image_id", F.lit(0).alias("channel"), "x", "y").agg(F.max("v").alias("v")).select("image_id", "channel", "x", "y", (F.col("v") + noise).cast("double").alias("value"))
+
+
+def oriented_seeds(spark, sf_dir) -> DataFrame:
+    """The tracer's vertices as seeds with directions."""
+    turn = F.radians(F.col("vertex_id") * 37 % 180)
+    return vertices(spark, sf_dir).select("image_id", F.col("vertex_id").alias("seed_id"), "x", "y", F.cos(turn).alias("ux"), F.sin(turn).alias("uy"))
+
+
 def vertices(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     day_us = 86_400_000_000
