@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiberlake.functions.geometry import half_up
+from fiberlake.operators.rounds import Rounds, cut
 
 FINITE = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
@@ -87,21 +88,60 @@ def mask_outside(gray: DataFrame, mask: DataFrame) -> DataFrame:
     return out.withColumn("g", F.when(F.col("inside"), F.col("g")).otherwise(0))
 
 
-def channel_stats(pixels: DataFrame) -> DataFrame:
-    """Per image and channel over finite values: lo, hi, n, norm_lo, norm_hi (99.5 %), threshold (80 %); percentiles are nearest-rank.
+#: Values of one image and channel that a window may order; beyond, values are counted in buckets first.
+ORDERED, BUCKETS = 200_000, 2_048
+QUANTILES = {"_p": 0.995, "threshold": 0.80}
 
-    Values are counted first, so that a window runs over distinct values and not over pixels.
-    """
-    keys = ["image_id", "channel"]
-    counts = pixels.where(FINITE(F.col("value"))).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    ranked = counts.withColumn("n", F.sum("c").over(w)).withColumn("last", F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - 1)
 
-    def at(q: float) -> Column:
-        rank = half_up(F.lit(q) * (F.col("n") - 1))
-        return F.min(F.when(F.col("last") >= rank, F.col("value")))
+def order_statistics(values: DataFrame, keys: list[str], quantiles: dict[str, float], ordered: int = ORDERED) -> DataFrame:
+    """keys, n, lo, hi, and the nearest-rank quantiles of finite values (keys, value) by name. Exact.
 
-    s = ranked.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.max("n").alias("n"), at(0.995).alias("_p"), at(0.80).alias("threshold"))
+    Groups of `ordered` values or fewer are ordered, each distinct value once. Larger ones are narrowed down in passes over the data, all groups and quantiles at once: values between the
+    bounds of a quantile are counted in BUCKETS steps, and the bucket that holds its rank gives the next bounds. Steps are even; where that
+    leaves a quarter of the values or more in one, the next steps are a geometric series, as values of many magnitudes need. So no task orders more than `ordered` values
+    and BUCKETS counts of a group.
+    """
+    rank = lambda q: half_up(F.lit(q) * (F.col("n") - 1)).cast("long")
+    sizes = cut(values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
+    big = sizes.where(F.col("n") > ordered)
+    some_big = big.limit(1).count() > 0
+
+    few = values.join(big.select(*keys), keys, "left_anti") if some_big else values
+    w = Window.partitionBy(*keys)
+    counts = few.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
+    ranked = counts.withColumn("n", F.sum("c").over(w)).withColumn("_last", F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    small = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), *[F.min(F.when(F.col("_last") >= rank(q), F.col("value"))).alias(k) for k, q in quantiles.items()])
+    if not some_big:
+        return small
+
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), rank(q).alias("rank")) for k, q in quantiles.items()]))
+    bounds = big.withColumn("_q", wanted).select(*keys, F.col("_q.k").alias("_k"), F.col("_q.rank").alias("_rank"), F.col("n").alias("_n"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(False).alias("_series"))
+    rounds = Rounds(values.sparkSession)
+    bounds = rounds.kept(bounds)
+    each = [*keys, "_k"]
+    still_open = (F.col("_n") > ordered) & (F.col("_lo") < F.col("_hi"))
+    while bounds.where(still_open).limit(1).count():
+        share = (F.col("value") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        series = F.when(share <= 0, 0).otherwise(1 + F.floor((1 + F.log2(share) / 1_100) * (BUCKETS - 1)))
+        put = values.join(bounds.where(still_open), keys).where("value between _lo and _hi").withColumn("_b", F.when(F.col("_series"), series).otherwise(F.floor(share * BUCKETS)))
+        found = put.groupBy(*each, "_rank", "_n", "_series", "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+        before = F.sum("_c").over(Window.partitionBy(*each).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
+        held = found.withColumn("_before", before).where("_rank >= _before and _rank < _before + _c")
+        narrower = held.select(*each, (F.col("_rank") - F.col("_before")).alias("_rank"), F.col("_c").alias("_n"), "_lo", "_hi", (~F.col("_series") & (4 * F.col("_c") > F.col("_n"))).alias("_series"))
+        bounds = rounds.kept(narrower.unionByName(bounds.where(~still_open)))
+    bounds = cut(bounds)
+    rounds.remove()
+    near = values.join(bounds.where("_lo < _hi"), keys).where("value between _lo and _hi").groupBy(*each, "_rank", "value").agg(F.count(F.lit(1)).alias("_c"))
+    last = F.sum("_c").over(Window.partitionBy(*each).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    picked = near.withColumn("_last", last).where("_last >= _rank").groupBy(*each).agg(F.min("value").alias("_v")).unionByName(bounds.where("_lo = _hi").select(*each, F.col("_lo").alias("_v")))
+    large = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("_v"))).alias(k) for k in quantiles]).join(big, keys)
+    return small.unionByName(large.select(*small.columns))
+
+
+def channel_stats(pixels: DataFrame, ordered: int = ORDERED) -> DataFrame:
+    """Per image and channel over finite values: lo, hi, n, norm_lo, norm_hi (99.5 %), threshold (80 %); percentiles are nearest-rank."""
+    keys = ["image_id", "channel"]
+    s = order_statistics(pixels.where(FINITE(F.col("value"))).select(*keys, "value"), keys, QUANTILES, ordered)
     norm_hi = F.when(F.col("_p") > F.col("lo"), F.col("_p")).when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + 1.0)
     return s.select(*keys, "lo", "hi", "n", F.col("lo").alias("norm_lo"), norm_hi.alias("norm_hi"), "threshold")
 
