@@ -223,11 +223,11 @@ def retry_dense(gray: DataFrame, keys: list[str], budget: int, threshold: Column
     for _ in range(attempts - 1):
         t, s = steps[-1]
         steps.append((F.least(F.lit(254.0), t * 1.4 + 5.0), float(int(max(2.0, s) * 2.0))))
-    counts = gray.groupBy(*keys).agg(*[F.sum(F.when(F.col("g") > t, 1).otherwise(0)).alias(f"_n{i}") for i, (t, _) in enumerate(steps)], *[F.max(t).alias(f"_t{i}") for i, (t, _) in enumerate(steps)])
+    counts = gray.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"), *[F.sum(F.when(F.col("g") > t, 1).otherwise(0)).alias(f"_n{i}") for i, (t, _) in enumerate(steps)], *[F.max(t).alias(f"_t{i}") for i, (t, _) in enumerate(steps)])
     fits = [F.col(f"_n{i}") <= budget for i in range(attempts)]
     last = attempts - 1
     pick = lambda values: _first(fits, values, values[last])
-    return counts.select(*keys, pick([F.col(f"_t{i}") for i in range(attempts)]).alias("threshold"), pick([F.lit(s) for _, s in steps]).alias("spacing"), pick([F.col(f"_n{i}") for i in range(attempts)]).alias("foreground"), pick([F.lit(i + 1) for i in range(attempts)]).alias("attempts"), (~fits[0]).alias("raised"), _first(fits, [F.lit(True)] * attempts, F.lit(False)).alias("ok"))
+    return counts.select(*keys, pick([F.col(f"_t{i}") for i in range(attempts)]).alias("threshold"), pick([F.lit(s) for _, s in steps]).alias("spacing"), pick([F.col(f"_n{i}") for i in range(attempts)]).alias("foreground"), pick([F.lit(i + 1) for i in range(attempts)]).alias("attempts"), (~fits[0]).alias("raised"), _first(fits, [F.lit(True)] * attempts, F.lit(False)).alias("ok"), "pixels")
 
 
 def _first(tests, values, otherwise):

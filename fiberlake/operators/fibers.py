@@ -54,6 +54,25 @@ def filter_counts(fibers: DataFrame, least: float, most: float | None) -> DataFr
     return fibers.groupBy("image_id", "tile_id").agg(F.count(F.lit(1)).alias("n_traced"), count(long).alias("n_after_length"), count(~long).alias("n_length_dropped"), count(long & wide).alias("n_width_dropped"))
 
 
+def request_stats(traced: DataFrame, tile_runs: DataFrame, least: float, most: float | None) -> DataFrame:
+    """A row for each tile that was asked for, also one without fibres: image_id, tile_id, ok, n_traced, n_after_length, n_length_dropped, min_length_px, n_width_dropped, seed_spacing_used, seed_auto_raised, frac_above.
+
+    traced: fibres before any filter[, error: why a tracer gave up on a tile]; tile_runs: image_id, tile_id, ok, spacing, raised, foreground, pixels.
+    A tile is not ok if it stayed too dense or its tracer failed. frac_above is the share of pixels above the threshold that was used.
+    """
+    keys, failed = ["image_id", "tile_id"], None
+    if "error" in traced.columns:
+        failed = traced.where("error is not null").select(*keys).distinct().withColumn("_failed", F.lit(True))
+        traced = traced.where("error is null")
+    out = tile_runs.join(filter_counts(traced, least, most), keys, "left")
+    out = out.join(failed, keys, "left") if failed is not None else out.withColumn("_failed", F.lit(None).cast("boolean"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return out.select(
+        *keys, (F.col("ok") & F.col("_failed").isNull()).alias("ok"), zero("n_traced"), zero("n_after_length"), zero("n_length_dropped"), F.lit(float(least)).alias("min_length_px"), zero("n_width_dropped"),
+        F.col("spacing").alias("seed_spacing_used"), F.col("raised").alias("seed_auto_raised"), F.bround(F.col("foreground") / F.col("pixels"), 4).alias("frac_above"),
+    )
+
+
 def in_bounds(fibers: DataFrame, width, height) -> DataFrame:
     return fibers.where((F.col("center.x") >= 0) & (F.col("center.x") < width) & (F.col("center.y") >= 0) & (F.col("center.y") < height))
 
@@ -80,17 +99,18 @@ def tile_orientation(fibers: DataFrame) -> DataFrame:
 
 
 def run_diagnostics(tile_stats: DataFrame) -> DataFrame:
-    """Per image: tiles, failed tiles, sums of the counters, and advice. tile_stats: image_id, tile_id, ok, n_traced, n_length_dropped, n_width_dropped[, raised]."""
-    raised = F.col("raised") if "raised" in tile_stats.columns else F.lit(False)
+    """Per image: tiles, failed tiles, sums of the counters, the last tile's minimum length, and advice. tile_stats: image_id, tile_id, ok, n_traced, n_length_dropped, n_width_dropped[, seed_auto_raised, min_length_px]."""
+    given = lambda c, otherwise: F.col(c) if c in tile_stats.columns else otherwise
+    raised, shortest = given("seed_auto_raised", F.lit(False)), given("min_length_px", F.lit(None).cast("double"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     ok = lambda c: F.sum(F.when(F.col("ok"), F.col(c)).otherwise(0))
     a = tile_stats.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("tiles"), count(~F.col("ok")).alias("failed_tiles"), count(F.col("ok") & raised).alias("raised_tiles"),
-        ok("n_traced").alias("n_traced"), ok("n_length_dropped").alias("n_length_dropped"), ok("n_width_dropped").alias("n_width_dropped"),
+        F.max_by(F.when(F.col("ok"), shortest), F.when(F.col("ok") & shortest.isNotNull(), F.col("tile_id"))).alias("min_length_px"), ok("n_traced").alias("n_traced"), ok("n_length_dropped").alias("n_length_dropped"), ok("n_width_dropped").alias("n_width_dropped"),
     )
     advice = F.concat_ws(
         " ",
-        F.when((F.col("n_length_dropped") > 0) & (F.col("n_traced") > 0), F.concat(F.lit("traced "), "n_traced", F.lit(", "), "n_length_dropped", F.lit(" too short"), F.when(F.col("n_length_dropped") >= F.col("n_traced") * 0.5, F.lit(": lower the minimum length")).otherwise(F.lit("")), F.lit("."))),
+        F.when((F.col("n_length_dropped") > 0) & (F.col("n_traced") > 0), F.concat(F.lit("traced "), "n_traced", F.lit(", "), "n_length_dropped", F.lit(" too short"), F.coalesce(F.format_string(" (%.0f px or less)", "min_length_px"), F.lit("")), F.when(F.col("n_length_dropped") >= F.col("n_traced") * 0.5, F.lit(": lower the minimum length")).otherwise(F.lit("")), F.lit("."))),
         F.when(F.col("n_width_dropped") > 0, F.concat(F.col("n_width_dropped"), F.lit(" too wide."))),
         F.when(F.col("raised_tiles") > 0, F.concat(F.col("raised_tiles"), F.lit(" dense tiles coarsened."))),
         F.when(F.col("failed_tiles") > 0, F.concat(F.col("failed_tiles"), F.lit(" tiles failed: raise threshold, spacing or downsample."))),

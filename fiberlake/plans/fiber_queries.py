@@ -314,6 +314,16 @@ def sweep(spark, d):
     return f.groupBy("image_id", "combo_id").agg(F.count(F.lit(1)).alias("n"), R(F.max("length_arc")).alias("longest"))
 
 
+_TILE_ROWS = """select image_id * 10 + tile image_id, x - x0 x, y - y0 y, case when g > th then g else 0 end g from cut_px join runs using (image_id, tile) where ok"""
+_RUNS = """gray_px as (select image_id, x, y, g from gray), tile_boxes(tile, x0, y0) as (values (0, 0, 0), (1, 32, 0), (2, 0, 32), (3, 32, 32)),
+cut_px as (select * from gray_px, tile_boxes where x >= x0 and x < x0 + 64 and y >= y0 and y < y0 + 64),
+levels(k, th, sp) as (values (1, 60.0::double, 2.0::double), (2, 89.0::double, 4.0::double), (3, 129.6::double, 8.0::double), (4, 186.44::double, 16.0::double)),
+tried as (select image_id, tile, k, th, sp, count(*) filter (where g > th) c, count(*) px from cut_px, levels group by all),
+fits as (select image_id, tile, coalesce(min(k) filter (where c <= 400), 4) k, count(*) filter (where c <= 400) > 0 ok from tried group by all),
+runs as (select image_id, tile, th, sp, c, px, k > 1 or not ok raised, ok from fits join tried using (image_id, tile, k))"""
+_COUNTED = f"""{lines_sql(_TILE_ROWS, 18).replace("dense_px as (", _RUNS + ", dense_px as (", 1).replace("between 1 and 94", "between 1 and 62")},
+counted as (select image_id // 10 image_id, image_id % 10 tile, count(*) n, count(*) filter (where length > 22) long from ranked where seg_id < 500 group by all),
+report as (select r.image_id, r.tile tile_id, coalesce(n, 0)::bigint n_traced, coalesce(long, 0)::bigint n_after_length, coalesce(n - long, 0)::bigint n_length_dropped, 0::bigint n_width_dropped, ok, raised seed_auto_raised, 22.0::double min_length_px, sp seed_spacing_used, {r6('round_even(c / px, 4)')} frac_above from runs r left join counted c using (image_id, tile))"""
 _SWEEP = f"select image_id * 10 + combo_id image_id, x, y, case when g > level then g else 0 end g from gray, (values {', '.join(f'({i}, {v}::double)' for i, v in enumerate(LEVELS))}) c(combo_id, level)"
 
 
@@ -359,6 +369,22 @@ def analyse(spark, d):
     return pipeline.analyse(p, box, fx.rings(p), core=48, overlap=16, min_length=15, budget=1_000, least=18).select("image_id", "fiber_id", "tacs", "length_arc")
 
 
+def _report(spark, d) -> DataFrame:
+    p = fx.px_lines(spark, d)
+    box = p.groupBy("image_id").agg(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(fx.SIDE).alias("width"), F.lit(fx.SIDE).alias("height"), F.lit(1.0).alias("downsample"))
+    return pipeline.analyse_with_report(p, box, None, core=48, overlap=16, threshold=60.0, min_length=22, budget=400, least=18)[1]
+
+
+def request_stats(spark, d):
+    """The counters of each tile of an analysis; dense tiles are eased, those that stay dense fail."""
+    return _report(spark, d).select(*longs("image_id", "tile_id", "n_traced", "n_after_length", "n_length_dropped", "n_width_dropped"), "ok", "seed_auto_raised", *[R(F.col(c)).alias(c) for c in ("min_length_px", "seed_spacing_used", "frac_above")])
+
+
+def run_report(spark, d):
+    """What an analysis says of itself."""
+    return fibers.run_diagnostics(_report(spark, d)).select("image_id", *longs("tiles", "failed_tiles", "raised_tiles", "n_traced", "n_length_dropped", "n_width_dropped"), R(F.col("min_length_px")).alias("min_length_px"), "advice")
+
+
 def tile_health(spark, d):
     h = streams.tile_health(fx.tile_stats(spark, d))
     return h.select(F.unix_micros("window_start").alias("window_us"), *longs("tiles", "failed"), R(F.col("mean_traced")).alias("mean_traced"), R(F.col("std_traced")).alias("std_traced"))
@@ -534,6 +560,9 @@ select image_id, {', '.join(f"array_to_string([{a}[i] for i in range(1, len({a})
     "sweep": (sweep, lines_sql(_SWEEP, 20, f"select image_id // 10 image_id, image_id % 10 combo_id, count(*) n, {r6('max(length)')} longest from ranked where seg_id < 500 group by image_id")),
     "suggest": (suggest, None),
     "analyse": (analyse, None),
+    "request_stats": (request_stats, f"{_COUNTED} select image_id, tile_id::bigint tile_id, n_traced, n_after_length, n_length_dropped, n_width_dropped, ok, seed_auto_raised, min_length_px, seed_spacing_used, frac_above from report"),
+    "run_report": (run_report, f"""{_COUNTED}, a as (select image_id, count(*) tiles, count(*) filter (where not ok) f, count(*) filter (where ok and seed_auto_raised) r, coalesce(sum(n_traced) filter (where ok), 0)::bigint t, coalesce(sum(n_length_dropped) filter (where ok), 0)::bigint l, max(min_length_px) filter (where ok) m from report group by image_id)
+select image_id, tiles, f failed_tiles, r raised_tiles, t n_traced, l n_length_dropped, 0::bigint n_width_dropped, m min_length_px, concat_ws(' ', case when l > 0 and t > 0 then 'traced ' || t || ', ' || l || ' too short (22 px or less)' || case when l >= t * 0.5 then ': lower the minimum length' else '' end || '.' end, case when r > 0 then r || ' dense tiles coarsened.' end, case when f > 0 then f || ' tiles failed: raise threshold, spacing or downsample.' end) advice from a"""),
     "trace_choice": (trace_choice, f"""{fx.with_tables('vertices')}, seeds as (select image_id, vertex_id id, x, y, cos(radians(vertex_id * 37 % 180)) ux, sin(radians(vertex_id * 37 % 180)) uy from vertices),
 met as (select a.image_id, a.id a, b.id b, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) d, ((b.x - a.x) * a.ux + (b.y - a.y) * a.uy) pa, ((b.x - a.x) * b.ux + (b.y - a.y) * b.uy) pb from seeds a join seeds b on a.image_id = b.image_id and a.id < b.id and abs(a.x - b.x) <= 9 and abs(a.y - b.y) <= 9),
 turned as (select *, floor(pa / d * 1000000000.0::double + 0.5::double) / 1000000000.0::double ca, floor(pb / d * 1000000000.0::double + 0.5::double) / 1000000000.0::double cb from met where d > 0 and d <= 9),
