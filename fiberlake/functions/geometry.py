@@ -97,6 +97,8 @@ def shoelace(vertices: Column) -> Column:
     return F.abs(total) / 2
 
 
-def tacs_rgb(tacs: Column) -> Column:
-    """Object colours by class; fixed values."""
+def tacs_rgb(tacs: Column, preview: bool = False) -> Column:
+    """Colours by class; fixed values. Fibres without a class are grey as objects and lime in a preview."""
+    if preview:
+        return F.when(tacs == "TACS-3", "255,0,0").when(tacs == "TACS-2", "50,205,50").when(tacs == "TACS-1", "30,144,255").otherwise("0,255,0")
     return F.when(tacs == "TACS-3", "255,0,0").when(tacs == "TACS-2", "0,220,0").when(tacs == "TACS-1", "0,110,255").otherwise("128,128,128")

@@ -72,21 +72,22 @@ def rasterize_polygon(rings: DataFrame, regions: DataFrame) -> DataFrame:
     return filled.select("image_id", "annotation_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
 
 
-def rasterize_fibers(fibers: DataFrame, width: int, height: int, thickness: float = 5) -> DataFrame:
-    """Pixels (image_id, x, y) within half the thickness of a fibre's line."""
+def rasterize_fibers(fibers: DataFrame, width: int | str, height: int | str, thickness: float = 5) -> DataFrame:
+    """Pixels (image_id, x, y) within half the thickness of a fibre's line. width, height: of all images, or the names of columns that hold each image's."""
     half = max(1, round(thickness)) / 2
     p = F.col("points")
-    s = fibers.where(F.size(p) >= 2).select("image_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.get(p, i - 1).alias("a"), F.get(p, i).alias("b")))).alias("s"))
-    s = s.select("image_id", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    size = lambda n: F.col(n) if isinstance(n, str) else F.lit(n)
+    s = fibers.where(F.size(p) >= 2).select("image_id", size(width).alias("_w"), size(height).alias("_h"), F.explode(F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.get(p, i - 1).alias("a"), F.get(p, i).alias("b")))).alias("s"))
+    s = s.select("image_id", "_w", "_h", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
     lo = lambda a, b: F.greatest(F.ceil(F.least(a, b) - half), F.lit(0))
-    hi = lambda a, b, n: F.least(F.floor(F.greatest(a, b) + half), F.lit(n - 1))
-    rows = s.withColumn("_f", lo("ay", "by")).withColumn("_l", hi("ay", "by", height)).where("_f <= _l").withColumn("y", F.explode(F.sequence("_f", "_l")))
+    hi = lambda a, b, n: F.least(F.floor(F.greatest(a, b) + half), F.col(n) - 1)
+    rows = s.withColumn("_f", lo("ay", "by")).withColumn("_l", hi("ay", "by", "_h")).where("_f <= _l").withColumn("y", F.explode(F.sequence("_f", "_l")))
     # in a row, only the columns that the line's part near the row can reach
     steep = F.abs(F.col("by") - F.col("ay")) < 1e-9
     at = lambda v: F.col("ax") + (F.greatest(F.least("ay", "by"), F.least(F.greatest("ay", "by"), v)) - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
     xa, xb = F.when(steep, F.col("ax")).otherwise(at(F.col("y") - half)), F.when(steep, F.col("bx")).otherwise(at(F.col("y") + half))
     rows = rows.withColumn("_xa", xa).withColumn("_xb", xb)
-    cells = rows.withColumn("_f", lo("_xa", "_xb")).withColumn("_l", hi("_xa", "_xb", width)).where("_f <= _l").withColumn("x", F.explode(F.sequence("_f", "_l")))
+    cells = rows.withColumn("_f", lo("_xa", "_xb")).withColumn("_l", hi("_xa", "_xb", "_w")).where("_f <= _l").withColumn("x", F.explode(F.sequence("_f", "_l")))
     near = point_to_segment(F.col("x").cast("double"), F.col("y").cast("double"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= half
     return cells.where(near).select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
 

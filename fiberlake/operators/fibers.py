@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fiberlake.functions import geometry as g
@@ -194,7 +194,25 @@ def tuning_rows(best: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def append_measurements(rows: DataFrame, path: str) -> None:
-    """Appends tab-separated files with a header each."""
+    """Appends tab-separated lines, stamped with the time, to a report: a folder of text files, with one header line among them however often it is appended to. Nulls are empty."""
+    spark = rows.sparkSession
     stamped = rows.drop("area_id").select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "*")
-    stamped.write.mode("append").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    if not _exists(spark, path):
+        spark.createDataFrame([("\t".join(stamped.columns),)], "value string").coalesce(1).write.mode("append").text(path)
+    cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[\t\n\r]", " "), F.lit("")) for c in stamped.columns]
+    stamped.select(F.concat_ws("\t", *cells).alias("value")).write.mode("append").text(path)
+
+
+def read_measurements(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a report, all columns as strings, named by its header."""
+    lines = spark.read.text(path)
+    names = lines.where(F.col("value").startswith("timestamp\t")).first()[0].split("\t")
+    cells = F.split("value", "\t", -1)
+    return lines.where(~F.col("value").startswith("timestamp\t")).select(*[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(names)])
+

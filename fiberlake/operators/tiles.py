@@ -82,6 +82,9 @@ def tile_name(tiles: DataFrame, downsample, channel) -> DataFrame:
     return t.withColumn("file_name", name).drop("_d")
 
 
-def export_tile(pixels: DataFrame, tiles: DataFrame, tile_id: int, path: str) -> None:
-    """The grey pixels that a tracer sees for one tile of every image, a folder for each image."""
-    assign_tiles(pixels, tiles).where(F.col("tile_id") == tile_id).write.mode("overwrite").partitionBy("image_id", "tile_id").parquet(path)
+def export_tile(gray: DataFrame, tiles: DataFrame, tile_id: int, path: str, downsample=None, channel: int = 0) -> DataFrame:
+    """Writes the grey pixels that a tracer sees for one tile of every image, each tile in a folder that bears its name (file_name=...); returns image_id, tile_id, file_name."""
+    names = tile_name(tiles.where(F.col("tile_id") == tile_id), F.lit(1.0) if downsample is None else downsample, F.lit(str(channel))).select("image_id", "tile_id", "file_name")
+    seen = assign_tiles(gray, tiles).where(F.col("tile_id") == tile_id)
+    seen.join(names, ["image_id", "tile_id"]).write.mode("overwrite").partitionBy("file_name").parquet(path)
+    return names
