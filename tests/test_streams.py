@@ -21,10 +21,10 @@ def test_tiles_arrive_late_and_again(spark, tmp_path):
         streams.stream_detect(spark, src, PIXELS, sink, state, find).awaitTermination()
 
     arrive(line(0, 10) + line(1, 20))
-    assert {r.tile_id for r in spark.read.parquet(sink).collect()} == {0, 1}
+    assert {r.tile_id for r in streams.stored(spark, sink).collect()} == {0, 1}
     arrive(line(2, 30))
     arrive(line(1, 40))  # tile 1 again: it replaces itself
-    got = sorted((r.tile_id, r.points[0].y) for r in spark.read.parquet(sink).collect())
+    got = sorted((r.tile_id, r.points[0].y) for r in streams.stored(spark, sink).collect())
     want = sorted((r.tile_id, r.points[0].y) for r in find(spark.createDataFrame(line(0, 10) + line(1, 40) + line(2, 30), PIXELS)).collect())
     assert got == want and {(0, 10), (1, 40), (2, 30)} <= set(got) and (1, 20) not in got
 
@@ -51,6 +51,30 @@ def test_touched_images_are_post_processed_again(spark, tmp_path):
     assert set(ids(arrive([(5, 0, 1, 1, 0)]))) == {(0, 1), (0, 2)}
 
 
+def test_log_of_tiles(spark, tmp_path):
+    """A batch that runs again changes nothing, an entry that is being written doesn't show, compaction keeps the newest rows."""
+    top = f"{tmp_path}/log"
+    rows = lambda *r: spark.createDataFrame(r, "image_id long, tile_id int, fiber_id long")
+    seen = lambda: sorted(tuple(r) for r in streams.stored(spark, top).collect())
+    streams._append(rows((0, 0, 1), (0, 1, 1), (0, 1, 2)), top, streams.TILE, 0)
+    streams._append(rows((0, 1, 7), (3, 0, None)), top, streams.TILE, 1)
+    want = [(0, 0, 1), (0, 1, 7)]
+    assert seen() == want
+    streams._append(rows((0, 1, 7), (3, 0, None)), top, streams.TILE, 1)
+    assert seen() == want
+    streams._append(rows((0, 0, 99)), top, streams.TILE, 2)
+    (tmp_path / "log" / "batch=2" / "_SUCCESS").unlink()
+    assert seen() == want
+    streams._append(rows((0, 0, 5), (3, 0, 4)), top, streams.TILE, 2)
+    want = [(0, 0, 5), (0, 1, 7), (3, 0, 4)]
+    streams.compact(spark, top)
+    assert seen() == want
+    streams._append(rows((0, 0, None)), top, streams.TILE, 3)
+    streams.compact(spark, top)
+    assert seen() == want[1:]
+    assert sorted(p.name for p in (tmp_path / "log").iterdir()) == ["batch=3", "whole=2", "whole=3"]
+
+
 def test_a_late_window_is_dropped_behind_the_watermark(spark, tmp_path):
     src, out, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
     schema = "event_time timestamp, ok boolean, n_traced int"
