@@ -13,7 +13,7 @@ from fiberlake.operators import boundary, detect, fibers, pipeline, pixels, roun
 from fiberlake.plans import pixel_queries
 from fiberlake.plans.pixel_queries import GRAY, REGIONS, STATS, gray_lines, gray_of, line_columns, lines_sql, longs, r6, regions
 from fiberlake.sources import fixtures as fx
-from fiberlake.sources.pixels import fibers_from_json, fibers_to_json
+from fiberlake.sources.pixels import fibers_from_json, fibers_to_json, read_annotations, read_truth_lines
 from fiberlake.streaming import streams
 
 R = g.rounded
@@ -395,6 +395,20 @@ def _folder(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
+def annotations(spark, d):
+    """Outlines and hand-traced lines written as GeoJSON features, one a line, and read again: a row a vertex."""
+    path = _folder(spark)
+    pairs = lambda p: F.transform(p, lambda v: F.array(v["x"], v["y"]))
+    feature = lambda kind, name, coordinates: F.to_json(F.struct("image_id", "id", F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"), F.struct(F.struct(F.lit("Region").alias("name")).alias("classification"), F.lit(name).alias("name")).alias("properties"))).alias("value")
+    parts = _rings(spark, d).groupBy("image_id", F.col("annotation_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("part_id", F.array(pairs("vertices")).alias("v")))).alias("p"))
+    outlines = parts.select(feature("MultiPolygon", "outline", F.transform("p", lambda x: x["v"])))
+    lines = fx.gt_lines(fx.raw_fibers(spark, d)).withColumn("id", F.col("line_id").cast("int")).select(feature("LineString", "truth", pairs("points")))
+    outlines.union(lines).write.text(path)
+    rings = read_annotations(spark, path).select("image_id", "name", F.col("annotation_id").cast("long").alias("item"), F.col("part_id").cast("long").alias("part_id"), F.posexplode("vertices").alias("at", "v"))
+    truth = read_truth_lines(spark, path).select("image_id", "name", F.col("line_id").alias("item"), F.lit(0).cast("long").alias("part_id"), F.posexplode("points").alias("at", "v"))
+    return rings.union(truth).select("image_id", "name", "item", "part_id", *longs("at"), R(F.col("v.x")).alias("x"), R(F.col("v.y")).alias("y"))
+
+
 def stream_detect(spark, d):
     """Tiles arrive over several batches; a third of them come half read at first and whole later."""
     top = _folder(spark)
@@ -574,6 +588,8 @@ select ends.image_id image_id, ends.gap gap, ends.a a, ends.a_end::bigint a_end,
     "seed_pairs": (seed_pairs, f"""{fx.with_tables('vertices')}, p as (select a.image_id, a.vertex_id a, b.vertex_id b, a.x ax, a.y ay, b.x bx, b.y "by", sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) dist from vertices a join vertices b on a.image_id = b.image_id and a.vertex_id <> b.vertex_id and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 6),
 t as (select p.image_id, p.a, p.b, q.b c, p.dist, q.dist d2, ((p.bx - p.ax) * (q.bx - p.bx) + (p."by" - p.ay) * (q."by" - p."by")) / (p.dist * q.dist) cosine from p join p q on q.image_id = p.image_id and q.a = p.b and q.b <> p.a where p.dist > 0 and q.dist > 0), r as (select *, row_number() over (partition by image_id, a, b order by d2, c) k from t where cosine >= cos(radians(70.0::double)))
 select image_id, a, b, c, {r6('dist')} dist, {r6('cosine')} cosine from r where k = 1"""),
+    "annotations": (annotations, f"""{fx.with_tables('gt', 'rings')}, v as (select image_id, 'outline' as name, annotation_id::bigint item, part_id::bigint part_id, unnest(vertices) v, unnest(range(len(vertices))) at_ from rings union all select image_id, 'truth', line_id, 0, unnest(points), unnest(range(len(points))) from gt_lines)
+select image_id, name, item, part_id, at_::bigint "at", {r6('v.x')} x, {r6('v.y')} "y" from v"""),
     "stream_detect": (stream_detect, pixel_queries.QUERIES["detect"][1]),
     "tile_health": (tile_health, _HEALTH),
     "stream_equals_batch": (stream_equals_batch, _HEALTH),
