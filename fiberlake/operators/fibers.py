@@ -110,7 +110,7 @@ def run_diagnostics(tile_stats: DataFrame) -> DataFrame:
     )
     advice = F.concat_ws(
         " ",
-        F.when((F.col("n_length_dropped") > 0) & (F.col("n_traced") > 0), F.concat(F.lit("traced "), "n_traced", F.lit(", "), "n_length_dropped", F.lit(" too short"), F.coalesce(F.format_string(" (%.0f px or less)", "min_length_px"), F.lit("")), F.when(F.col("n_length_dropped") >= F.col("n_traced") * 0.5, F.lit(": lower the minimum length")).otherwise(F.lit("")), F.lit("."))),
+        F.when((F.col("n_length_dropped") > 0) & (F.col("n_traced") > 0), F.concat(F.lit("traced "), "n_traced", F.lit(", "), "n_length_dropped", F.lit(" too short"), F.when(F.col("min_length_px").isNotNull(), F.format_string(" (%.0f px or less)", "min_length_px")).otherwise(F.lit("")), F.when(F.col("n_length_dropped") >= F.col("n_traced") * 0.5, F.lit(": lower the minimum length")).otherwise(F.lit("")), F.lit("."))),
         F.when(F.col("n_width_dropped") > 0, F.concat(F.col("n_width_dropped"), F.lit(" too wide."))),
         F.when(F.col("raised_tiles") > 0, F.concat(F.col("raised_tiles"), F.lit(" dense tiles coarsened."))),
         F.when(F.col("failed_tiles") > 0, F.concat(F.col("failed_tiles"), F.lit(" tiles failed: raise threshold, spacing or downsample."))),

@@ -110,10 +110,13 @@ def score_supervised(fibers: DataFrame, lines: DataFrame, matches: DataFrame, mo
 def score_unsupervised(fibers: DataFrame, covered: DataFrame, width: int | str, height: int | str) -> DataFrame:
     """Per image (of one size, or of the sizes in the named columns of covered): coverage + 0.4 median straightness - 0.5 if degenerate - 0.3 runaway; -1 without foreground. covered: image_id, coverage (null or missing: no foreground). Images of covered without fibres have n = 0."""
     area = lambda n: F.col(n) if isinstance(n, str) else F.lit(n)
-    sized = covered.select("image_id", "coverage", F.greatest(F.lit(20), F.floor(area(width).cast("long") * area(height) / 2000)).alias("_cap"))
+    most = F.greatest(F.lit(20), F.floor(area(width).cast("long") * area(height) / 2000))
+    sized = covered.select("image_id", "coverage", most.alias("_cap"))
+    # an image that covered doesn't have has the size of all, or none known
+    cap = most if not isinstance(width, str) and not isinstance(height, str) else F.coalesce(F.col("_cap"), F.lit(20))
     a = fibers.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.percentile("straightness", F.lit(0.5)).alias("straightness"), F.stddev_pop("angle").alias("angle_std"))
     a = a.join(sized, "image_id", "full_outer").fillna(0, ["n"]).fillna(0.0, ["straightness", "angle_std"])
-    a = a.withColumn("degenerate", F.when(F.col("coverage").isNull(), True).otherwise((F.col("angle_std") < 8.0) & (F.col("n") > 3))).withColumn("runaway", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("n") / F.col("_cap") - 1.0)))
+    a = a.withColumn("degenerate", F.when(F.col("coverage").isNull(), True).otherwise((F.col("angle_std") < 8.0) & (F.col("n") > 3))).withColumn("runaway", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("n") / cap - 1.0)))
     score = F.when(F.col("coverage").isNull(), F.lit(-1.0)).otherwise(F.col("coverage") + 0.4 * F.col("straightness") - F.when(F.col("degenerate"), 0.5).otherwise(0.0) - 0.3 * F.col("runaway"))
     return a.select("image_id", "n", even_round(score, 4).alias("score"), even_round(F.coalesce("coverage", F.lit(0.0)), 3).alias("coverage"), even_round(F.col("straightness"), 3).alias("straightness"), even_round(F.col("angle_std"), 1).alias("angle_std"), "degenerate", even_round(F.col("runaway"), 3).alias("runaway"))
 
