@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fiberlake.functions import geometry as g
-from fiberlake.operators.pixels import thin_edges
 from fiberlake.operators.rounds import components, cut
 from fiberlake.operators.seams import near_pairs
 
@@ -81,7 +80,11 @@ def hysteresis(edges: DataFrame) -> DataFrame:
     part of another block go on to rounds, which are few since labels double their reach. edges: image_id, x, y, strong,
     one row a pixel; no pixel at all gives none.
     """
-    parts = cut(edge_parts(edges))
+    return joined_parts(cut(edge_parts(edges)))
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """The pixels of parts (as edge_parts gives them, written once) that hold a strong pixel or touch, through other blocks' parts, one that does."""
     at_rim = lambda c: F.pmod(c, F.lit(SIDE)).isin(0, SIDE - 1)
     rim = parts.where(at_rim(F.col("x")) | at_rim(F.col("y")))
     part = lambda df: F.struct(df["image_id"], df["py"], df["px"])
@@ -101,15 +104,96 @@ def hysteresis(edges: DataFrame) -> DataFrame:
     return sure.union(parts.where("not strong").join(saved, ["image_id", "py", "px"], "left_semi").select("image_id", "x", "y"))
 
 
+#: Columns and rows of other blocks that a block's gradients and their neighbours need.
+HALO = 2
+PLACES = SIDE * (SIDE + 2)
+
+
+def ridges(grey: np.ndarray, inner: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ridge, strong) of a grey array without its outer two rows and columns: thin_edges on one array. inner: pixels that have a gradient; NaN has none."""
+    smooth, step = grey[:-2] + 2 * grey[1:-1] + grey[2:], grey[2:] - grey[:-2]
+    gx, gy = np.zeros(grey.shape), np.zeros(grey.shape)
+    gx[1:-1, 1:-1] = smooth[:, 2:] - smooth[:, :-2]
+    gy[1:-1, 1:-1] = step[:, :-2] + 2 * step[:, 1:-1] + step[:, 2:]
+    m = np.abs(gx) + np.abs(gy)
+    m[~inner | np.isnan(m)] = -1
+    rows, columns = m.shape
+    at = lambda dx, dy: m[2 + dy : rows - 2 + dy, 2 + dx : columns - 2 + dx]
+    here, gx, gy = at(0, 0), gx[2:-2, 2:-2], gy[2:-2, 2:-2]
+    ax, ay = np.abs(gx) * 1000, np.abs(gy) * 1000
+    sector = [ay < np.abs(gx) * 414, ay > np.abs(gx) * 2414, (gx >= 0) == (gy >= 0)]
+    before = np.select(sector, [at(-1, 0), at(0, -1), at(-1, -1)], at(-1, 1))
+    after = np.select(sector, [at(1, 0), at(0, 1), at(1, 1)], at(1, -1))
+    # a neighbour without a gradient hinders nothing
+    ridge = (here >= 0) & (here > low) & (before < here) & (after <= here)
+    return ridge, ridge & (here > high)
+
+
+def setting_parts(gray: DataFrame, settings: list[tuple]) -> DataFrame:
+    """edge_parts of dense grey images (image_id, x, y, g, width, height) at each setting (level, low, high): image_id, setting (its place in the list), x, y, px, py, strong.
+
+    What is not above the level is background (None: all is kept). Pixels go to blocks once, however many settings there are; a block is thinned
+    and joined at all of them in one step.
+    """
+    wide = SIDE + 2 * HALO
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def found(places: pd.Series, values: pd.Series, bx: pd.Series, by: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        out = []
+        for p, v, i, j, w, h in zip(places, values, bx, by, width, height):
+            y, x = np.divmod(np.asarray(p, np.int64), wide)
+            grey = np.full((min(wide, y.max() + 1 + HALO), min(wide, x.max() + 1 + HALO)), np.nan)
+            grey[y, x] = v
+            in_y, in_x = (np.arange(n) + at * SIDE - HALO for n, at in zip(grey.shape, (j, i)))
+            inner = ((in_y > 0) & (in_y < h - 1))[:, None] & ((in_x > 0) & (in_x < w - 1))[None, :]
+            codes = []
+            for k, (level, low, high) in enumerate(settings):
+                ridge, strong = ridges(grey if level is None else np.where(grey > level, grey, 0.0), inner, low, high)
+                ry, rx = np.nonzero(ridge)
+                if not len(ry):
+                    continue
+                place = ry * (SIDE + 2) + rx + 1
+                first = runs_joined(place, SIDE + 2)
+                parts, of = np.unique(first, return_inverse=True)
+                any_strong = np.zeros(len(parts), np.int64)
+                np.maximum.at(any_strong, of, strong[ry, rx].astype(np.int64))
+                codes.append(((k * PLACES + place) * PLACES + first) * 2 + any_strong[of])
+            out.append(np.concatenate(codes) if codes else np.empty(0, np.int64))
+        return pd.Series(out, dtype=object)
+
+    def blocks(c: str, size: str) -> Column:
+        lo = F.greatest(F.lit(0), F.floor((F.col(c) - HALO) / F.lit(SIDE)).cast("int"))
+        hi = F.least(F.floor((F.col(size) - 1) / F.lit(SIDE)), F.floor((F.col(c) + HALO) / F.lit(SIDE))).cast("int")
+        return F.explode(F.when(lo == hi, F.array(lo)).otherwise(F.array(lo, hi)))
+
+    put = gray.withColumn("_bx", blocks("x", "width")).withColumn("_by", blocks("y", "height"))
+    place = ((F.col("y") - F.col("_by") * SIDE + HALO) * wide + F.col("x") - F.col("_bx") * SIDE + HALO).cast("int")
+    # both lists take the same rows in the same order: no value is null
+    listed = put.groupBy("image_id", "_bx", "_by").agg(F.collect_list(place).alias("_p"), F.collect_list(F.coalesce(F.col("g").cast("double"), F.lit(float("nan")))).alias("_g"), F.max("width").alias("_w"), F.max("height").alias("_h"))
+    each = listed.select("image_id", "_bx", "_by", F.explode(found("_p", "_g", "_bx", "_by", "_w", "_h")).alias("_e"))
+    part = F.shiftright("_e", 1)
+    each = each.select("image_id", "_bx", "_by", (F.col("_e") % 2 == 1).alias("strong"), (part % PLACES).alias("_q"), F.floor(part / F.lit(PLACES)).alias("_r"))
+    each = each.withColumn("setting", F.floor(F.col("_r") / F.lit(PLACES)).cast("int")).withColumn("_r", F.col("_r") % PLACES)
+    x = lambda p: (F.col("_bx") * SIDE + F.col(p) % (SIDE + 2) - 1).cast("int")
+    y = lambda p: (F.col("_by") * SIDE + F.floor(F.col(p) / F.lit(SIDE + 2))).cast("int")
+    return each.select("image_id", "setting", x("_r").alias("x"), y("_r").alias("y"), x("_q").alias("px"), y("_q").alias("py"), "strong")
+
+
+def setting_edges(gray: DataFrame, keys: list[str], settings: list[tuple]) -> DataFrame:
+    """keys, setting, x, y of the edge pixels of each group (a tile, say) of dense grey pixels (keys, x, y, g, width, height) at each setting (level, low, high)."""
+    one = gray.select(F.struct(*keys).alias("image_id"), "x", "y", "g", "width", "height")
+    parts = cut(setting_parts(one, settings).select(F.struct("image_id.*", "setting").alias("image_id"), "x", "y", "px", "py", "strong"))
+    return joined_parts(parts).select("image_id.*", "x", "y")
+
+
 def edges(gray: DataFrame, low: int = 40, high: int = 120) -> DataFrame:
     """Edge pixels of dense grey images: gradient ridges over two thresholds."""
-    return hysteresis(thin_edges(gray, low, high))
+    return edge_points(gray, ["image_id"], low, high)
 
 
 def edge_points(gray: DataFrame, keys: list[str], low: int = 40, high: int = 120) -> DataFrame:
     """keys, x, y of the edge pixels of each group (a tile, say) of dense grey pixels (keys, x, y, g, width, height)."""
-    one = gray.select(F.struct(*keys).alias("image_id"), "x", "y", "g", "width", "height")
-    return edges(one, low, high).select("image_id.*", "x", "y")
+    return setting_edges(gray, keys, [(None, low, high)]).drop("setting")
 
 
 ANGLES = 180
@@ -214,6 +298,12 @@ def detect(tile_pixels: DataFrame, keys: list[str], tracer=None, schema: str | N
     return tile_pixels.groupBy(*keys).applyInPandas(run, schema)
 
 
+def detect_settings(gray: DataFrame, keys: list[str], settings: list[tuple], **limits) -> DataFrame:
+    """detect() at each setting (level, low, high) with its place in the list as `setting`; what is not above the level is background."""
+    each = [*keys, "setting"]
+    return as_fibers(hough_segments(cut(setting_edges(gray, keys, settings)), each, **limits), each)
+
+
 def retry_dense(gray: DataFrame, keys: list[str], budget: int, threshold: Column | float = 5.0, spacing: float = 2.0, attempts: int = 4) -> DataFrame:
     """Per tile: the threshold and seed spacing at which its foreground fits the budget, eased up to attempts - 1 times; raised and ok say how it went.
 

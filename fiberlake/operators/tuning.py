@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fiberlake.functions import geometry as g
+from fiberlake.operators.detect import detect_settings
 from fiberlake.operators.rounds import cut
 from fiberlake.operators.seams import near_pairs
 
@@ -177,14 +178,33 @@ def refine_grid(best: DataFrame, round_: int) -> DataFrame:
 MOST_COMBOS = 10_000
 
 
+def few_rows(combos: DataFrame) -> list:
+    """The rows of combos, MOST_COMBOS at most, or an error."""
+    rows = combos.limit(MOST_COMBOS + 1).collect()
+    if len(rows) > MOST_COMBOS:
+        raise ValueError(f"more than {MOST_COMBOS} combos")
+    return rows
+
+
+def sweep_lines(gray: DataFrame, keys: list[str], combos: DataFrame, **limits) -> DataFrame:
+    """The built-in detector's lines for every group of dense grey pixels and combo (combo_id, level[, low, high]): detect()'s columns and combo_id.
+
+    The grey pixels are shuffled once, however many combos there are; combos of one setting share its lines until the last step.
+    """
+    of: dict[tuple, list] = {}
+    for r in few_rows(combos):
+        of.setdefault((r.level, *((r.low, r.high) if "low" in combos.columns else (40, 120))), []).append(r.combo_id)
+    ids = F.array(*[F.array(*[F.lit(i).cast(combos.schema["combo_id"].dataType) for i in same]) for same in of.values()]) if of else F.array().cast("array<array<long>>")
+    found = detect_settings(gray, keys, list(of), **limits)
+    return found.withColumn("combo_id", F.explode(F.get(ids, F.col("setting")))).drop("setting")
+
+
 def sweep(tiles_px: DataFrame, combos: DataFrame, detect) -> DataFrame:
     """detect() for every tile and combo. Combos are parameters: their rows (MOST_COMBOS at most, or an error) become part of the plan, so nothing is joined.
 
     With a tracer whose schema has an `error` column, a combo that fails on a tile gives a status row and doesn't stop the others.
     """
-    rows = combos.limit(MOST_COMBOS + 1).collect()
-    if len(rows) > MOST_COMBOS:
-        raise ValueError(f"more than {MOST_COMBOS} combos")
+    rows = few_rows(combos)
     each = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, combos.schema)]) for r in rows]) if rows else F.array().cast(f"array<{combos.schema.simpleString()}>")
     return detect(tiles_px.withColumn("_combo", F.explode(each)).select(*tiles_px.columns, "_combo.*"))
 

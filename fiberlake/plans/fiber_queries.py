@@ -303,9 +303,7 @@ LEVELS = (20.0, 90.0, 255.0)
 
 def _sweep(gray, combos):
     """Lines of every image and combo: what is not above the combo's level is background."""
-    keys = ["image_id", "combo_id"]
-    found = lambda p: detect.detect(p.withColumn("g", F.when(F.col("g") > F.col("level"), F.col("g")).otherwise(0)), keys, least=20)
-    return tuning.sweep(gray.drop("t"), combos, found)
+    return tuning.sweep_lines(gray, ["image_id"], combos, least=20)
 
 
 def sweep(spark, d):

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fiberlake.operators import detect, rounds
+from fiberlake.operators import detect, pixels, rounds, tuning
 
 EDGES = "image_id long, x int, y int, strong boolean"
 
@@ -86,3 +87,42 @@ def test_parts_of_runs():
                 todo = {q for p in todo for d in (1, 49, 50, 51) for q in (p + d, p - d) if q in members} - reached
                 reached = reached | todo
             assert f == min(members) and reached == members
+
+
+def noisy(spark, wide=530, high=270):
+    """One grey image over several blocks: scattered values and a slanted bar that crosses block borders."""
+    n = spark.range(wide * high).select(F.lit(1).cast("long").alias("image_id"), (F.col("id") % wide).cast("int").alias("x"), F.floor(F.col("id") / wide).cast("int").alias("y"))
+    bar = F.abs(F.col("y") * 2 - F.col("x")) < 9
+    return n.withColumn("g", F.when(bar, 200).otherwise(F.pmod(F.xxhash64("x", "y"), F.lit(60))).cast("int")).withColumn("width", F.lit(wide)).withColumn("height", F.lit(high))
+
+
+def test_block_edges_at_many_settings_equal_windows_at_each(spark):
+    gray = rounds.cut(noisy(spark))
+    settings = [(None, 40, 120), (30.0, 40, 120), (90.0, 10, 900), (255.0, 40, 120)]
+    got = detect.setting_edges(gray, ["image_id"], settings).select("setting", "x", "y").collect()
+    for k, (level, low, high) in enumerate(settings):
+        one = gray if level is None else gray.withColumn("g", F.when(F.col("g") > level, F.col("g")).otherwise(0))
+        want = detect.hysteresis(pixels.thin_edges(one, low, high)).select("x", "y").collect()
+        assert sorted((r.x, r.y) for r in got if r.setting == k) == sorted(map(tuple, want))
+        assert len(want) > 500 or k == 3 and not want
+
+
+def test_a_sweep_shuffles_pixels_once_and_equals_single_detections(spark):
+    gray = rounds.cut(noisy(spark, 300, 160))
+    exchanges = lambda n: detect.setting_parts(gray, [(float(i), 40, 120) for i in range(n)])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(1) == exchanges(60) == 1
+    combos = spark.createDataFrame([(7, 90.0), (3, 30.0), (9, 90.0)], "combo_id int, level double")
+    columns = ["fiber_id", "points", "angle", "length_arc"]
+    got = tuning.sweep_lines(gray, ["image_id"], combos, least=40).select("combo_id", *columns).collect()
+    for combo, level in ((7, 90.0), (3, 30.0), (9, 90.0)):
+        one = detect.detect(gray.withColumn("g", F.when(F.col("g") > level, F.col("g")).otherwise(0)), ["image_id"], least=40).select(*columns).collect()
+        assert one and sorted(map(str, one)) == sorted(str(r).replace(f"combo_id={combo}, ", "") for r in got if r.combo_id == combo)
+
+
+def test_edges_of_nothing_of_no_combo_and_of_values_that_are_missing(spark):
+    gray = rounds.cut(noisy(spark, 40, 30))
+    assert detect.setting_edges(gray.where("false"), ["image_id"], [(None, 40, 120)]).collect() == []
+    assert tuning.sweep_lines(gray, ["image_id"], spark.createDataFrame([], "combo_id int, level double")).collect() == []
+    holes = gray.withColumn("g", F.when(F.col("x") % 11 != 5, F.col("g")))
+    want = detect.hysteresis(pixels.thin_edges(holes)).collect()
+    assert sorted(map(tuple, detect.edges(holes).select("image_id", "x", "y").collect())) == sorted((r.image_id, r.x, r.y) for r in want)
