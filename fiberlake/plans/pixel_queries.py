@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiberlake.functions import geometry as g
 from fiberlake.functions.params import native_to_threshold
 from fiberlake.operators import detect, pixels, tiles
+from fiberlake.operators.rounds import cut, shared_folder
 from fiberlake.sources import fixtures as fx
+from fiberlake.sources.pixel_store import PixelStore
 
 R = g.rounded
 
@@ -57,6 +62,17 @@ def downsample(spark, d):
     return pixels.downsample(fx.px_multi(spark, d), 2.5).select("image_id", *longs("channel", "x", "y"), R(F.col("value")).alias("value"))
 
 
+REGION = (37.0, 20.0, 52.0, 68.0)
+
+
+def region_reads(spark, d):
+    """One region of every image from the pixel store, and the means over 4 x 4 pixels of the whole images, which start from its second level."""
+    store = PixelStore(f"{shared_folder(spark)}/pixels-{uuid.uuid4().hex}", levels=3, block=16)
+    store.write(fx.px_multi(spark, d))
+    every = [(1, store.read(spark, [(None, *REGION)])), (4, store.read(spark, [(None, 0.0, 0.0, None, None)], 4.0))]
+    return reduce(DataFrame.union, [p.select("image_id", *longs("channel", "x", "y"), F.lit(k).cast("long").alias("d"), R(F.col("value")).alias("value")) for k, p in every])
+
+
 def channel_clamp(spark, d):
     return pixels.select_channel(fx.px_multi(spark, d), 99).select("image_id", *longs("channel", "x", "y"), R(F.col("value")).alias("value"))
 
@@ -121,8 +137,8 @@ def sobel_edges(spark, d):
 
 
 def gray_lines(spark, d) -> DataFrame:
-    """Dense grey images with planted lines."""
-    return gray_of(fx.px_lines(spark, d)).select("image_id", "x", "y", "g", "t", F.lit(fx.SIDE).alias("width"), F.lit(fx.SIDE).alias("height"))
+    """Dense grey images with planted lines, drawn once and written: statistics read them more than once."""
+    return gray_of(cut(fx.px_lines(spark, d))).select("image_id", "x", "y", "g", "t", F.lit(fx.SIDE).alias("width"), F.lit(fx.SIDE).alias("height"))
 
 
 def _points(spark, d) -> DataFrame:
@@ -226,6 +242,7 @@ QUERIES = {
     "foreground_share": (foreground_share, f"{gray_sql('px_multi')} select image_id, channel::bigint channel, count(*) n, {r6('min(norm_lo)')} norm_lo, {r6('max(norm_hi)')} norm_hi, max(t) t, {r6('avg(case when g > t then 1.0::double else 0 end)')} share from gray group by image_id, channel"),
     "crop": (crop, f"{fx.with_tables('px_scan')} select image_id, channel::bigint channel, x::bigint x, y, {r6('value')} as value from px_scan, (select max(y) my from px_scan) where x >= 3 and x < 24 and y >= floor(my * 0.25::double + 0.2::double) and y < ceil(my * 0.25::double + 0.2::double + my * 0.5::double)"),
     "downsample": (downsample, f"{fx.with_tables('px_multi')} select image_id, channel::bigint channel, floor(x / 2.5::double)::bigint x, floor(y / 2.5::double)::bigint y, {r6("avg(value)")} as value from px_multi group by image_id, channel, floor(x / 2.5::double), floor(y / 2.5::double)"),
+    "region_reads": (region_reads, f"{fx.with_tables('px_multi')} select image_id, channel::bigint channel, x::bigint x, y, 1::bigint d, {r6('value')} as value from px_multi where x >= 37 and x < 89 and y >= 20 and y < 88 union all select image_id, channel, x // 4, y // 4, 4, {r6('avg(value)')} from px_multi group by image_id, channel, x // 4, y // 4"),
     "channel_clamp": (channel_clamp, f"{fx.with_tables('px_multi')} select image_id, channel::bigint channel, x::bigint x, y, {r6('value')} as value from px_multi where channel = (select max(channel) from px_multi)"),
     "channel_stats": (channel_stats, f"{fx.with_tables('px_multi', 'px_scan')}, both_px as (select image_id, channel, value from px_multi union all select -1, channel, value from px_scan), {STATS.format(px='both_px')} select image_id::bigint image_id, channel::bigint channel, n::bigint n, {', '.join(f'{r6(c)} {c}' for c in ('lo', 'hi', 'norm_lo', 'norm_hi', 'threshold'))} from stats"),
     "to_gray": (to_gray, f"{gray_sql('px_scan')} select image_id, channel::bigint channel, x::bigint x, y, g from gray"),
