@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiberlake.functions import geometry as g
+from fiberlake.operators.pixels import FINITE
+from fiberlake.operators.rounds import cut
 
 
 def split_parts(rings: DataFrame) -> DataFrame:
@@ -31,21 +33,78 @@ def point_to_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, b
     return g.distance(x, y, ax + t * dx, ay + t * dy)
 
 
-def nearest_boundary(fibers: DataFrame, rings: DataFrame, zone: float = 100.0) -> DataFrame:
-    """distance_to_boundary and angle_to_tangent of each fibre's centre within the zone (null beyond): its nearest outline segment, the first of equal ones.
+def crossed_cells(segs: DataFrame, size: float, grown: bool = False) -> DataFrame:
+    """segs (ax, ay, bx, by) once for each grid cell _gx, _gy of this size that a segment crosses, or, grown, that has a point within `size` of it.
 
-    A segment is sent to the grid cells (as wide as the zone) that its box reaches, grown by one cell.
+    The segment is cut at the borders of each column of cells (widened if grown): the rows that this piece reaches are its cells there, so cells grow
+    with a segment's length and not with its box.
+    """
+    cell = lambda c: F.floor(c / F.lit(float(size)))
+    rim, wide = (1, size) if grown else (0, 0.0)
+    s = segs.withColumn("_gx", F.explode(F.sequence(cell(F.least("ax", "bx")) - rim, cell(F.greatest("ax", "bx")) + rim)))
+    dx = F.col("bx") - F.col("ax")
+    # a touch further on both sides than the column, lest rounding parts a piece from its end
+    border = lambda to, by: (to * F.lit(float(size)) + by - F.col("ax")) / dx
+    t0, t1 = border(F.col("_gx"), -wide - 1e-6), border(F.col("_gx") + 1, wide + 1e-6)
+    inside = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    y = lambda t, end: F.when(dx == 0, F.col(end)).otherwise(F.col("ay") + inside(t) * (F.col("by") - F.col("ay")))
+    s = s.withColumn("_y0", y(t0, "ay")).withColumn("_y1", y(t1, "by"))
+    rows = F.sequence(cell(F.least("_y0", "_y1") - 1e-6) - rim, cell(F.greatest("_y0", "_y1") + 1e-6) + rim)
+    return s.withColumn("_gy", F.explode(rows)).drop("_y0", "_y1")
+
+
+FIBER = ("image_id", "tile_id", "fiber_id")
+
+
+def _nearest(met: DataFrame) -> DataFrame:
+    """Of pairs of fibres and segments with distance _d the nearest of each fibre, the first of equal ones."""
+    best = met.groupBy(*FIBER).agg(F.min(F.struct(F.col("_d").alias("d"), "annotation_id", "part_id", "seg", g.acute_difference(F.col("_angle"), F.col("tangent")).alias("a"))).alias("_b"))
+    return best.select(*FIBER, F.col("_b.d").alias("distance_to_boundary"), F.col("_b.a").alias("angle_to_tangent"))
+
+
+def nearest_boundary(fibers: DataFrame, rings: DataFrame, zone: float = 100.0, beyond: bool = False) -> DataFrame:
+    """distance_to_boundary and angle_to_tangent of each fibre's centre within the zone (null beyond, unless asked for): its nearest outline segment, the first of equal ones.
+
+    A segment is sent to the grid cells (as wide as the zone) that have a point within the zone of it. With beyond=True, fibres further away
+    search for theirs from coarse cells to fine ones; only fibres of images without any outline, or without a finite centre, have none then.
     """
     cell = lambda c: F.floor(c / F.lit(float(zone)))
     s = segments(rings)
-    span = lambda a, b: F.explode(F.sequence(cell(F.least(a, b)) - 1, cell(F.greatest(a, b)) + 1))
-    s = s.withColumn("_gx", span(F.col("ax"), F.col("bx"))).withColumn("_gy", span(F.col("ay"), F.col("by")))
-    f = fibers.select("image_id", "tile_id", "fiber_id", F.col("angle").alias("_angle"), F.col("center.x").alias("_x"), F.col("center.y").alias("_y"))
-    met = f.withColumn("_gx", cell(F.col("_x"))).withColumn("_gy", cell(F.col("_y"))).join(s, ["image_id", "_gx", "_gy"])
-    met = met.withColumn("_d", point_to_segment(F.col("_x"), F.col("_y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("_d") <= zone)
-    best = met.groupBy("image_id", "tile_id", "fiber_id").agg(F.min(F.struct(F.col("_d").alias("d"), "annotation_id", "part_id", "seg", g.acute_difference(F.col("_angle"), F.col("tangent")).alias("a"))).alias("_b"))
-    near = best.select("image_id", "tile_id", "fiber_id", F.col("_b.d").alias("distance_to_boundary"), F.col("_b.a").alias("angle_to_tangent"))
-    return fibers.drop("distance_to_boundary", "angle_to_tangent").join(near, ["image_id", "tile_id", "fiber_id"], "left")
+    f = fibers.select(*FIBER, F.col("angle").alias("_angle"), F.col("center.x").alias("_x"), F.col("center.y").alias("_y"))
+    met = f.withColumn("_gx", cell(F.col("_x"))).withColumn("_gy", cell(F.col("_y"))).join(crossed_cells(s, zone, grown=True), ["image_id", "_gx", "_gy"])
+    near = _nearest(met.withColumn("_d", point_to_segment(F.col("_x"), F.col("_y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).where(F.col("_d") <= zone))
+    if beyond:
+        near = cut(near)
+        near = near.unionByName(_far(f.join(near, [*FIBER], "left_anti"), s, zone))
+    return fibers.drop("distance_to_boundary", "angle_to_tangent").join(near, [*FIBER], "left")
+
+
+def _far(f: DataFrame, segs: DataFrame, size: float) -> DataFrame:
+    """The nearest segments of fibres at any distance.
+
+    Cells that hold a piece of an outline form levels, each twice as coarse, up to a few cells an image. A fibre goes down the levels with the cells
+    that may hold its nearest segment: those not further off than the farthest corner of the best one. Only segments in the last cells are measured.
+    """
+    crossing = cut(crossed_cells(segs, size))
+    level = crossing.select("image_id", "_gx", "_gy").distinct()
+    levels = [cut(level)]
+    # one number comes to the driver: how many cells the widest image spans
+    span = levels[0].groupBy("image_id").agg(F.max("_gx") - F.min("_gx"), F.max("_gy") - F.min("_gy")).toDF("i", "x", "y").agg(F.max(F.greatest("x", "y"))).first()[0] or 0
+    for _ in range(int(span).bit_length()):
+        levels.append(cut(levels[-1].select("image_id", F.shiftright("_gx", 1).alias("_gx"), F.shiftright("_gy", 1).alias("_gy")).distinct()))
+    met = f.where(FINITE(F.col("_x")) & FINITE(F.col("_y"))).join(levels[-1], "image_id")
+    for k in range(len(levels) - 1, -1, -1):
+        wide = size * (1 << k)
+        if k < len(levels) - 1:
+            finer = levels[k].select("image_id", F.shiftright("_gx", 1).alias("_px"), F.shiftright("_gy", 1).alias("_py"), "_gx", "_gy")
+            met = met.select(*f.columns, F.col("_gx").alias("_px"), F.col("_gy").alias("_py")).join(finer, ["image_id", "_px", "_py"])
+        gap = lambda v, c: F.greatest(F.lit(0.0), F.col(c) * wide - F.col(v), F.col(v) - (F.col(c) + 1) * wide)  # noqa: B023, E731
+        most = lambda v, c: F.greatest(F.abs(F.col(v) - F.col(c) * wide), F.abs(F.col(v) - (F.col(c) + 1) * wide))  # noqa: B023, E731
+        bound = F.min(F.hypot(most("_x", "_gx"), most("_y", "_gy"))).over(Window.partitionBy(*FIBER))
+        met = met.withColumn("_bound", bound).where(F.hypot(gap("_x", "_gx"), gap("_y", "_gy")) <= F.col("_bound") * (1 + 1e-9) + 1e-6).select(*f.columns, "_gx", "_gy")
+        met = cut(met)
+    found = met.join(crossing, ["image_id", "_gx", "_gy"])
+    return _nearest(found.withColumn("_d", point_to_segment(F.col("_x"), F.col("_y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))))
 
 
 def classify_tacs(fibers: DataFrame, parallel: float = 30.0, perpendicular: float = 60.0, straight: float = 0.8) -> DataFrame:

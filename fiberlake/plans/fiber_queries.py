@@ -132,6 +132,12 @@ def nearest_boundary(spark, d):
     return boundary.nearest_boundary(traced(spark, d), _rings(spark, d)).select(*KEYS, R(F.col("distance_to_boundary")).alias("distance"), R(F.col("angle_to_tangent")).alias("angle"))
 
 
+def nearest_outline(spark, d):
+    """Distances beyond the zone as well."""
+    f = boundary.nearest_boundary(traced(spark, d), _rings(spark, d), zone=20.0, beyond=True)
+    return f.select(*KEYS, R(F.col("distance_to_boundary")).alias("distance"), R(F.col("angle_to_tangent")).alias("angle"))
+
+
 def classify_tacs(spark, d):
     return _classified(spark, d).select(*KEYS, "tacs")
 
@@ -527,6 +533,7 @@ select event_id, 'LL1' as key, case when event_id % 3 = 0 then '30' else (event_
 union all select event_id, 's_xlinkbox', case when event_id % 5 = 0 then 'wide' else round_even(b, 0)::bigint::varchar end from v union all select event_id, 'note', event_type from v"""),
     "fiber_json_roundtrip": (fiber_json_roundtrip, _metric(f"select image_id, tile_id, fiber_id, len(points) n, {r6('length_arc')} length_arc, {r6('center.y')} cy, width, null::varchar tacs from fibers")),
     "nearest_boundary": (nearest_boundary, f"{_NEAR} select image_id, tile_id, fiber_id, {r6('dist')} distance, {r6('ang')} angle from near"),
+    "nearest_outline": (nearest_outline, f"{_NEAR.replace(' where dist <= 100', '')} select image_id, tile_id, fiber_id, {r6('dist')} distance, {r6('ang')} angle from near"),
     "classify_tacs": (classify_tacs, f"{_NEAR} select image_id, tile_id, fiber_id, tacs from near"),
     "tacs_counts": (tacs_counts, f"{_NEAR}, c as (select image_id, coalesce(tacs, 'none') tacs from near) select image_id, coalesce(tacs, 'all') tacs, count(*) n from c group by rollup (image_id, tacs)"),
     "to_objects": (to_objects, f"{_NEAR}, {REGIONS} select n.image_id, fiber_id, coalesce(tacs, 'Fiber') \"class\", coalesce(tacs, 'Fiber') || ' ' || fiber_id \"name\", case tacs when 'TACS-3' then '255,0,0' when 'TACS-2' then '0,220,0' when 'TACS-1' then '0,110,255' end rgb, {r6('r.x + points[1].x * downsample')} x0, 5 + case when n.width is null then 0 else 1 end + case when dist is null then 0 else 2 end n_measurements, {r6('length_arc * (downsample * coalesce(pixel_size_um, 1))')} length, pixel_size_um is not null calibrated from near n join regions r on r.image_id = n.image_id"),

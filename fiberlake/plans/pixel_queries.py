@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fiberlake.functions import geometry as g
 from fiberlake.functions.params import native_to_threshold
 from fiberlake.operators import detect, pixels, tiles
-from fiberlake.operators.rounds import cut, shared_folder
+from fiberlake.operators.rounds import shared_folder
 from fiberlake.sources import fixtures as fx
 from fiberlake.sources.pixel_store import PixelStore
 
@@ -137,8 +137,8 @@ def sobel_edges(spark, d):
 
 
 def gray_lines(spark, d) -> DataFrame:
-    """Dense grey images with planted lines, drawn once and written: statistics read them more than once."""
-    return gray_of(cut(fx.px_lines(spark, d))).select("image_id", "x", "y", "g", "t", F.lit(fx.SIDE).alias("width"), F.lit(fx.SIDE).alias("height"))
+    """Dense grey images with planted lines."""
+    return gray_of(fx.px_lines(spark, d)).select("image_id", "x", "y", "g", "t", F.lit(fx.SIDE).alias("width"), F.lit(fx.SIDE).alias("height"))
 
 
 def _points(spark, d) -> DataFrame:
