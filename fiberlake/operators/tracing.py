@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiberlake.functions import geometry as g
-from fiberlake.operators import pixels
+from fiberlake.operators import pixels, ridge_blocks
 from fiberlake.operators.fibers import measured
-from fiberlake.operators.rounds import cut
+from fiberlake.operators.rounds import cut, written
 from fiberlake.operators.seams import match_ends, near_pairs, ordered_chains, settled
 
 
@@ -24,9 +24,18 @@ def spaced_maxima(dist: DataFrame, box: int, least: float, value: str = "distanc
 
     The larger stays, and of a plateau a scattered choice of pixels, in rounds: a long ridge of one height keeps a pixel every few steps, not its first one alone.
     """
+    return spaced(cut(ridges(dist, least, value)), box, value)
+
+
+def ridges(dist: DataFrame, least: float, value: str = "distance") -> DataFrame:
+    """Pixels of dense images at `least` or more that no neighbour exceeds."""
     row, column = Window.partitionBy("image_id", "y").orderBy("x").rowsBetween(-1, 1), Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(-1, 1)
     top = dist.withColumn("_r", F.max(value).over(row)).withColumn("_top", F.max("_r").over(column))
-    found = cut(top.where((F.col(value) >= least) & (F.col(value) == F.col("_top"))).drop("_r", "_top"))
+    return top.where((F.col(value) >= least) & (F.col(value) == F.col("_top"))).drop("_r", "_top")
+
+
+def spaced(found: DataFrame, box: int, value: str = "distance") -> DataFrame:
+    """found (image_id, x, y, value) thinned in rounds."""
     # a scattered order of places, so that rounds don't run along a plateau
     rank = F.struct(F.col(value).alias("v"), ((F.col("x") * 7_919 + F.col("y") * 104_729) % 65_537).alias("s"), (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))
     keyed = found.select("image_id", F.struct("y", "x").alias("p"), "x", "y", rank.alias("k"))
@@ -36,16 +45,26 @@ def spaced_maxima(dist: DataFrame, box: int, least: float, value: str = "distanc
     return found.join(gone, ["image_id", "y", "x"], "left_anti").select(*found.columns)
 
 
-def directed(gray: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
-    """Seeds with ux, uy: the direction along which grey values change least around them (structure tensor of a window of 2 reach + 1 pixels; dense grey images)."""
+def turned(seeds: DataFrame) -> DataFrame:
+    """ux, uy for xx, yy, xy (sums of products of gradients): the direction along which grey values change least."""
+    turn = F.atan2(2.0 * F.col("xy"), (F.col("xx") - F.col("yy")).cast("double")) / 2
+    return seeds.withColumn("ux", -F.sin(turn)).withColumn("uy", F.cos(turn)).drop("xx", "yy", "xy")
+
+
+def tensors(gray: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
+    """Seeds inside the rim with xx, yy, xy over a window of 2 reach + 1 pixels (dense grey images)."""
     grad = pixels.sobel(gray)
     parts = {"xx": F.col("gx") * F.col("gx"), "yy": F.col("gy") * F.col("gy"), "xy": F.col("gx") * F.col("gy")}
     row = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-reach, reach)
     column = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-reach, reach)
     by_row = grad.select("image_id", "x", "y", *[F.sum(e).over(row).alias(k) for k, e in parts.items()])
     by_both = by_row.select("image_id", "x", "y", *[F.sum(k).over(column).alias(k) for k in parts])
-    turn = F.atan2(2.0 * F.col("xy"), (F.col("xx") - F.col("yy")).cast("double")) / 2
-    return seeds.join(by_both, ["image_id", "x", "y"]).withColumn("ux", -F.sin(turn)).withColumn("uy", F.cos(turn)).drop(*parts)
+    return seeds.join(by_both, ["image_id", "x", "y"])
+
+
+def directed(gray: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
+    """Seeds with ux, uy: the direction along which grey values change least around them (structure tensor of a window of 2 reach + 1 pixels; dense grey images)."""
+    return turned(tensors(gray, seeds, reach))
 
 
 def facing_ends(seeds: DataFrame, reach: float, bend: float) -> DataFrame:
@@ -72,26 +91,47 @@ def first_choices(ends: DataFrame) -> DataFrame:
 
 
 def over_foreground(ends: DataFrame, mask: DataFrame, steps: int = 4) -> DataFrame:
-    """The pairs whose line, at `steps` - 1 places between the seeds, is foreground. mask: image_id, x, y of foreground pixels."""
+    """The pairs whose line, at `steps` - 1 places between the seeds, is foreground. mask: image_id, y, x, to: runs of foreground pixels that don't meet."""
     order = ["image_id", "gap", "a", "a_end", "b", "b_end"]
-    at = lambda c: g.half_up(F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * F.col("_i") / F.lit(steps)).cast("int").alias(c)
+    at = lambda c: g.half_up(F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * F.col("_i") / F.lit(steps)).cast("int").alias(f"_{c}")
     places = ends.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(steps - 1)))).select(*order, at("x"), at("y"))
-    return places.join(mask, ["image_id", "x", "y"]).groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == steps - 1).drop("_n")
+    met = places.join(mask.select("image_id", F.col("y").alias("_y"), "x", "to"), ["image_id", "_y"]).where("_x between x and to")
+    return met.groupBy(*order).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == steps - 1).drop("_n")
 
 
-def trace(gray: DataFrame, threshold: Column, spacing: int = 4, least: float = 2, reach: float = 13.0, bend: float = 40.0, window: int = 3, shortest: int = 3) -> DataFrame:
+def trace(gray: DataFrame, threshold: Column, spacing: int = 4, least: float = 2, reach: float = 13.0, bend: float = 40.0, window: int = 3, shortest: int = 3, sigma: float = 0.0, side: int = ridge_blocks.SIDE) -> DataFrame:
     """Fibres of dense grey images: image_id, fiber_id, points, width, and what is measured from the points.
 
-    gray: image_id, x, y, g, width, height. Foreground is above the threshold; seeds are ridge pixels of its distance map at `least` or more,
+    gray: image_id, x, y, g, width, height; blurred by sigma first, of which the threshold takes no part. Foreground is above the threshold; seeds are ridge pixels of its distance map at `least` or more,
     `spacing` apart; seeds within `reach` whose directions bend by `bend` degrees at most may be joined. Fibres of fewer than `shortest` seeds go.
     Points are pixels; the width is twice the mean distance to the background, less one, as rows of odd thickness have it.
+    Images are read in blocks of `side` x `side`; those with distances that reach further than a block sees go by windows over their pixel rows.
     """
-    mask = cut(gray.select("image_id", "x", "y", (F.col("g") > threshold).alias("inside")))
-    found = spaced_maxima(pixels.distance_transform(mask), spacing, least)
+    gray = gray.select("image_id", "x", "y", "g", "width", "height", threshold.cast("double").alias("_limit"))
+    said = written(ridge_blocks.said(gray, sigma, least, spacing, window, side))
+    doubted = said.where(F.col("kind") == ridge_blocks.DOUBT).select("image_id").distinct()
+    if doubted.limit(1).count():
+        by_rows = written(_said_by_rows(gray.join(doubted, "image_id", "left_semi"), sigma, least, window))
+        said = said.join(doubted, "image_id", "left_anti").unionByName(by_rows)
+    found = said.where(F.col("kind") == ridge_blocks.RIDGE).drop("kind", "to")
+    found = found.where("not open").unionByName(spaced(cut(found.where("open")), spacing))
     id_of = F.col("y").cast("long") * F.lit(1 << 32) + F.col("x")
-    seeds = cut(directed(gray, found, window).withColumn("seed_id", id_of).select("image_id", "seed_id", "x", "y", "distance", "ux", "uy"))
-    ends = over_foreground(facing_ends(seeds, reach, bend), mask.where("inside").select("image_id", "x", "y"))
+    seeds = cut(turned(found.where("not rim")).withColumn("seed_id", id_of).select("image_id", "seed_id", "x", "y", "distance", "ux", "uy"))
+    ends = over_foreground(facing_ends(seeds, reach, bend), said.where(F.col("kind") == ridge_blocks.RUN))
     links = match_ends(ends.withColumn("same_tile", F.lit(False)))
     placed = ordered_chains(cut(links)).withColumnRenamed("fiber_id", "seed_id").join(seeds, ["image_id", "seed_id"])
     paths = placed.groupBy("image_id", F.col("chain").alias("fiber_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y"))), lambda p: g.point(p["x"], p["y"])).alias("points"), (2 * F.avg("distance") - 1).alias("width"))
     return measured(paths.where(F.size("points") >= shortest))
+
+
+def _said_by_rows(gray: DataFrame, sigma: float, least: float, window: int) -> DataFrame:
+    """What ridge_blocks.said says, by windows over pixel rows, at any distance; all ridge pixels are open."""
+    limits = gray.select("image_id", "x", "y", "_limit")
+    gray = cut(pixels.gaussian_blur(gray.drop("_limit"), sigma))
+    mask = cut(gray.join(limits, ["image_id", "x", "y"]).select("image_id", "x", "y", (F.col("g") > F.col("_limit")).alias("inside")))
+    found = cut(ridges(pixels.distance_transform(mask), least).select("image_id", "x", "y", "distance"))
+    put = found.join(tensors(gray, found.select("image_id", "x", "y"), window), ["image_id", "x", "y"], "left")
+    none = F.lit(None)
+    tops = put.select("image_id", F.lit(ridge_blocks.RIDGE).alias("kind"), "x", "y", none.cast("int").alias("to"), "distance", F.lit(True).alias("open"), F.col("xx").isNull().alias("rim"), *[F.col(c).cast("double").alias(c) for c in ("xx", "yy", "xy")])
+    runs = mask.where("inside").select("image_id", F.lit(ridge_blocks.RUN).alias("kind"), "x", "y", F.col("x").alias("to"), *[none.cast(t).alias(c) for c, t in (("distance", "int"), ("open", "boolean"), ("rim", "boolean"), ("xx", "double"), ("yy", "double"), ("xy", "double"))])
+    return tops.unionByName(runs)
