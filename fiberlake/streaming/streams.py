@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiberlake.operators.rounds import unsent
+
 TILE = ["image_id", "tile_id"]
 
 
@@ -26,11 +28,11 @@ def stream_detect(
 
     def batch(df: DataFrame, number: int) -> None:
         tiles = df.select(*TILE).distinct()
-        _append(tiles.join(detect(df), TILE, "left"), sink, TILE, number)
+        _append(tiles.join(unsent(detect(df)), TILE, "left"), sink, TILE, number)
         if postprocess is not None:
             images = tiles.select("image_id").distinct()
             touched = stored(spark, sink).join(images, "image_id", "left_semi")
-            _append(images.join(postprocess(touched), "image_id", "left"), results, ["image_id"], number)
+            _append(images.join(unsent(postprocess(touched)), "image_id", "left"), results, ["image_id"], number)
 
     rows = spark.readStream.schema(schema)
     if files is not None:
